@@ -10,9 +10,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from tessera.plans import tokens
+    from tessera.plans import reports, tokens
 
-    return [tokens]
+    return [tokens, reports]
 
 
 def queries() -> dict[str, QueryFn]:
@@ -30,3 +30,9 @@ def oracle_sql() -> dict[str, str]:
     for mod in _modules():
         out.update(mod.oracle())
     return out
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans import reports
+
+    return reports.flagship(spark, sf_dir)
