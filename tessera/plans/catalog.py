@@ -10,9 +10,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from tessera.plans import reports, tokens
+    from tessera.plans import reports, sequences, tokens
 
-    return [tokens, reports]
+    return [tokens, reports, sequences]
 
 
 def queries() -> dict[str, QueryFn]:

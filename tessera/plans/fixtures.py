@@ -140,3 +140,21 @@ def f2_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ok",
         F.when(~F.col("ok"), F.lit("ScorerError: no logprobs")).alias("error"),
     )
+
+
+def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turn + next assistant turn, with a passage key of which some do
+    not exist: ``(conv_id * 37 + turn) % (n_docs + 50)`` (exercises J1)."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    n_docs = read_table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+    q = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = conv.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("text").alias("answer")
+    )
+    qa = q.join(a, (a["a_conv"] == q["conv_id"]) & (a["a_turn"] == q["turn"] + 1), "inner")
+    return qa.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("eval_id"),
+        ((F.col("conv_id") * 37 + F.col("turn")) % (n_docs + 50)).cast("string").alias("passage_id"),
+        "question",
+        "answer",
+    )
