@@ -10,9 +10,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from tessera.plans import reports, sequences, tokens
+    from tessera.plans import qa, reports, samples, scoring, sequences, tokens
 
-    return [tokens, reports, sequences]
+    return [tokens, reports, sequences, qa, samples, scoring]
 
 
 def queries() -> dict[str, QueryFn]:
