@@ -10,9 +10,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from tessera.plans import qa, reports, samples, scoring, sequences, tokens
+    from tessera.plans import perturb, qa, reports, samples, scoring, sequences, tokens
 
-    return [tokens, reports, sequences, qa, samples, scoring]
+    return [tokens, reports, sequences, qa, samples, scoring, perturb]
 
 
 def queries() -> dict[str, QueryFn]:
