@@ -91,8 +91,9 @@ def sentence_chunks(texts: DataFrame, key: str, text: str = "masked_text") -> Da
     t = t.withColumn("_ids", F.aggregate("_w", init, step)["ids"])
     ex = t.select(
         key,
-        F.posexplode(F.arrays_zip(F.col("_s").alias("s"), F.col("_w").alias("w"), F.col("_ids").alias("c"))).alias("i", "z"),
+        F.posexplode_outer(F.arrays_zip(F.col("_s").alias("s"), F.col("_w").alias("w"), F.col("_ids").alias("c"))).alias("i", "z"),
     )
+    ex = ex.where(F.col("i").isNotNull())
     g = ex.groupBy(key, F.col("z.c").alias("chunk_no")).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("z.s").alias("s")))), lambda x: x["s"]),

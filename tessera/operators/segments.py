@@ -74,13 +74,17 @@ def segment_steps(
     prefix_length: str = "prefix_length",
     question: str = "question",
     top_steps: str | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """Long table ``key, segment, pos, step`` for rows with a question token.
 
     Generated-answer steps (``top_steps``, optional, SURVEY P8/Q12) are
     appended after the prompt steps, so they follow the answer in order.
+    ``clustered``: the caller's rows are already hash-partitioned by ``key``.
     """
-    marked = prompt_markers(df, steps, prefix_length, question).repartition(key)
+    marked = prompt_markers(df, steps, prefix_length, question)
+    if not clustered:
+        marked = marked.repartition(key)
     n_prompt = F.size(F.col(steps))
     all_steps = F.col(steps)
     if top_steps is not None:
@@ -88,7 +92,8 @@ def segment_steps(
     ex = marked.select(
         key, "ctx_start", "ctx_end", "q_start", "q_end",
         F.least(F.col(prefix_length), n_prompt).alias("_pl"),
-        F.posexplode(all_steps).alias("pos", "step"),
+        # outer form: no inferred size() filter re-evaluating the steps
+        F.posexplode_outer(all_steps).alias("pos", "step"),
     ).where(F.col("step").isNotNull() & (F.size("step") > 0))
     is_prefix = F.col("pos") < F.col("_pl")
     ex = ex.withColumn(

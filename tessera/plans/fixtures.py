@@ -69,8 +69,14 @@ def f1_sequences(spark: SparkSession, sf_dir: str, mixed_k: bool = False) -> Dat
         )
         return make_step(tok, k, F.col("conv_id"), F.col("turn"), pos)
 
-    return conv.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("eval_id"),
+    # Hash-partition the narrow rows by eval_id before the CPU-heavy
+    # expansion: the expansion runs in parallel even when the scan is a
+    # single split, and later windows over eval_id reuse this partitioning.
+    rows = conv.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("eval_id"), "conv_id", "turn", "text"
+    ).repartition("eval_id")
+    return rows.select(
+        "eval_id",
         "conv_id",
         "turn",
         F.transform(split_tokens(F.col("text")), step).alias("steps"),
@@ -117,7 +123,7 @@ def f2_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "passage",
         ctx.alias("ctx"),
         ok.alias("ok"),
-    ).withColumn("prompt", prompt)
+    ).withColumn("prompt", prompt).repartition("eval_id")
 
     prompt_toks = split_tokens(F.concat(F.col("prompt"), F.lit(END_MARKERS)))
     answer_toks = split_tokens(F.col("answer"))

@@ -19,7 +19,8 @@ SEED = 42
 
 def f8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = f1_sequences(spark, sf_dir)
-    return seq.select("eval_id", F.inline(M.token_entropy(F.col("steps"))))
+    units = seq.select("eval_id", F.inline_outer(M.token_entropy(F.col("steps"))))
+    return units.where(F.col("index").isNotNull())
 
 
 def f8_candidates(ranked: DataFrame) -> DataFrame:

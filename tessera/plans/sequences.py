@@ -35,7 +35,7 @@ def q_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_steps(_ok(spark, sf_dir))
+    return segment_steps(_ok(spark, sf_dir), clustered=True)
 
 
 def q_segment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,13 @@ from tessera.plans.fixtures import f1_sequences
 
 def _units_rows(seq: DataFrame, units_fn) -> DataFrame:
     """Array shape -> one row per unit; row-local, no shuffle."""
-    return seq.select("eval_id", F.inline(units_fn(F.col("steps")))).select(
+    # inline_outer: the plain generator makes Catalyst infer a size() > 0
+    # filter that re-evaluates the whole metric expression below the
+    # projection; the outer form does not, and empty inputs are dropped here.
+    units = seq.select("eval_id", F.inline_outer(units_fn(F.col("steps")))).where(
+        F.col("index").isNotNull()
+    )
+    return units.select(
         F.col("eval_id").cast("bigint").alias("eval_id"),
         F.col("index").cast("bigint").alias("idx"),
         "text_unit",
@@ -50,16 +56,18 @@ def q_uncertain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_long(seq: DataFrame, value_fn=M.step_entropy) -> DataFrame:
+def token_long(seq: DataFrame, value_fn=M.step_entropy, clustered: bool = False) -> DataFrame:
     """Array shape -> long shape ``(eval_id, pos, token, value)``.
 
-    Repartition the (few, wide) sequence rows by ``eval_id`` once; the
+    Unless the caller's rows are already hash-partitioned by ``eval_id``
+    (``clustered``), repartition the (few, wide) sequence rows once; the
     exploded rows inherit that partitioning, so the word windows and the
     word aggregate add no further exchange.
     """
+    src = seq if clustered else seq.repartition("eval_id")
     return (
-        seq.repartition("eval_id")
-        .select("eval_id", F.posexplode("steps").alias("pos", "step"))
+        src
+        .select("eval_id", F.posexplode_outer("steps").alias("pos", "step"))
         .where(F.col("step").isNotNull() & (F.size("step") > 0))
         .select(
             "eval_id",
@@ -71,7 +79,7 @@ def token_long(seq: DataFrame, value_fn=M.step_entropy) -> DataFrame:
 
 
 def q_word_mean_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_units(token_long(f1_sequences(spark, sf_dir)), ["eval_id"])
+    words = word_units(token_long(f1_sequences(spark, sf_dir), clustered=True), ["eval_id"])
     return words.select(
         F.col("eval_id").cast("bigint").alias("eval_id"),
         F.col("index").cast("bigint").alias("idx"),
