@@ -10,9 +10,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from tessera.plans import perturb, qa, reports, samples, scoring, sequences, tokens, training
+    from tessera.plans import evalsets, perturb, qa, reports, samples, scoring, sequences, tokens, training
 
-    return [tokens, reports, sequences, qa, samples, scoring, perturb, training]
+    return [tokens, reports, sequences, qa, samples, scoring, perturb, evalsets, training]
 
 
 def queries() -> dict[str, QueryFn]:
