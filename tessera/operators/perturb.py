@@ -140,21 +140,25 @@ def inverse_prob_draws(cands: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def apply_draws(ranked: DataFrame, draws: DataFrame, key: str) -> DataFrame:
     """Rebuild the text with the draws in mask order (a mask
-    without a draw stays ``<mask>``) and the change set index -> draw."""
+    without a draw stays ``<mask>``) and the change set index -> draw.
+    ``n_masks`` / ``n_draws`` come from the same aggregate."""
     mw = Window.partitionBy(key, "masked").orderBy("index")
     r = ranked.withColumn("mask_no", F.when(F.col("masked"), F.row_number().over(mw) - 1))
     r = r.join(draws, [key, "mask_no"], "left")
     piece = F.when(F.col("masked"), F.coalesce(F.col("draw"), F.lit(MASK))).otherwise(F.col("text_unit"))
+    drawn = F.col("masked") & F.col("draw").isNotNull()
     g = r.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("index", piece.alias("t")))).alias("_u"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("masked") & F.col("draw").isNotNull(), F.struct("index", "draw")))
-        ).alias("_c"),
+        F.array_sort(F.collect_list(F.when(drawn, F.struct("index", "draw")))).alias("_c"),
+        F.count_if(F.col("masked")).alias("n_masks"),
+        F.count_if(drawn).alias("n_draws"),
     )
     return g.select(
         key,
         F.array_join(F.transform("_u", lambda x: x["t"]), "").alias("context"),
         F.map_from_entries("_c").alias("change_set"),
+        "n_masks",
+        "n_draws",
     )
 
 
@@ -167,11 +171,7 @@ def perturb(
     ranked = rank_units(units, key, n, ascending)
     draws = inverse_prob_draws(cands, key, seed)
     out = apply_draws(ranked, draws, key)
-    n_masks = ranked.where("masked").groupBy(key).agg(F.count(F.lit(1)).alias("_m"))
-    out = out.join(n_masks, key, "left").where(
-        F.coalesce(F.col("_m"), F.lit(0)) == F.size("change_set")
-    )
-    return out.drop("_m")
+    return out.where(F.col("n_masks") == F.col("n_draws")).drop("n_masks", "n_draws")
 
 
 def merge_perturbed(qa: DataFrame, ptb: DataFrame, key: str) -> DataFrame:

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 from tessera.functions.steps import SEQ
 
 # Fixed values from the reference: prompt markers and the segment names.
@@ -84,7 +86,7 @@ def segment_steps(
     """
     marked = prompt_markers(df, steps, prefix_length, question)
     if not clustered:
-        marked = marked.repartition(key)
+        marked = spread(marked, key)
     n_prompt = F.size(F.col(steps))
     all_steps = F.col(steps)
     if top_steps is not None:

@@ -43,12 +43,10 @@ def assemble(df: DataFrame, features: list[str], label: str = "Y") -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Tree learners pass over their input many times; cut the lineage once
-    (reliable checkpoint in the session's checkpoint folder) so the feature
-    pipeline and the split are not recomputed per pass."""
-    from tessera.session import ensure_checkpoint_dir
+    so the feature pipeline and the split are not recomputed per pass."""
+    from tessera.session import materialize as _m
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _m(df)
 
 
 def train_random_forest(train: DataFrame, n_trees: int = N_TREES, seed: int = SEED,

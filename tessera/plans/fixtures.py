@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash32, hash_hex
 from tessera.functions.steps import STEP
+from tessera.session import spread
 from tessera.sources.tables import read_table
 
 # Fixed values of the fixtures (FIXTURES.md): alternatives per step and the
@@ -74,7 +75,8 @@ def f1_sequences(spark: SparkSession, sf_dir: str, mixed_k: bool = False) -> Dat
     # single split, and later windows over eval_id reuse this partitioning.
     rows = conv.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("eval_id"), "conv_id", "turn", "text"
-    ).repartition("eval_id")
+    )
+    rows = spread(rows, "eval_id")
     return rows.select(
         "eval_id",
         "conv_id",
@@ -123,7 +125,8 @@ def f2_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "passage",
         ctx.alias("ctx"),
         ok.alias("ok"),
-    ).withColumn("prompt", prompt).repartition("eval_id")
+    ).withColumn("prompt", prompt)
+    base = spread(base, "eval_id")
 
     prompt_toks = split_tokens(F.concat(F.col("prompt"), F.lit(END_MARKERS)))
     answer_toks = split_tokens(F.col("answer"))

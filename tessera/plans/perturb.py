@@ -12,6 +12,7 @@ from tessera.operators import perturb as B
 from tessera.operators.words import BLANK_CLASS
 from tessera.plans.fixtures import f1_sequences, qa_pairs
 from tessera.plans.tokens import _f1_sql
+from tessera.session import materialize
 
 N_MASKS = 3
 SEED = 42
@@ -56,13 +57,15 @@ def q_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_inverse_prob_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = B.rank_units(f8_units(spark, sf_dir), "eval_id", N_MASKS)
+    ranked = B.rank_units(materialize(f8_units(spark, sf_dir)), "eval_id", N_MASKS)
     d = B.inverse_prob_draws(f8_candidates(ranked), "eval_id", SEED)
     return d.select(F.col("eval_id").cast("bigint"), F.col("mask_no").cast("bigint"), "draw")
 
 
 def q_perturb_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = f8_units(spark, sf_dir)
+    # The units are read by the masking and the candidate branches: persist
+    # them once, as the reference persists its scores table between stages.
+    units = materialize(f8_units(spark, sf_dir))
     ranked = B.rank_units(units, "eval_id", N_MASKS)
     ptb = B.perturb(units, f8_candidates(ranked), "eval_id", N_MASKS, seed=SEED)
     merged = B.merge_perturbed(qa_pairs(spark, sf_dir), ptb, "eval_id")

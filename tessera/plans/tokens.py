@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 from tessera.functions import metrics as M
 from tessera.operators.words import BLANK_CLASS, word_units
 from tessera.plans.fixtures import f1_sequences
@@ -64,7 +66,7 @@ def token_long(seq: DataFrame, value_fn=M.step_entropy, clustered: bool = False)
     exploded rows inherit that partitioning, so the word windows and the
     word aggregate add no further exchange.
     """
-    src = seq if clustered else seq.repartition("eval_id")
+    src = seq if clustered else spread(seq, "eval_id")
     return (
         src
         .select("eval_id", F.posexplode_outer("steps").alias("pos", "step"))

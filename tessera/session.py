@@ -64,3 +64,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Used where a result is read by several branches of a plan or by many
+    passes (tree learners), so it is computed once and survives executor
+    loss. Never ``localCheckpoint``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df, *cols):
+    """Hash-partition narrow rows by ``cols`` before a CPU-heavy expansion.
+
+    An explicit partition count (the session's shuffle partitions) keeps
+    AQE from coalescing the small pre-expansion shuffle into a few tasks;
+    later windows and aggregates on the same keys reuse the partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *cols)
