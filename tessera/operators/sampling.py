@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_u
+from tessera.session import materialize
 
 BUCKETS = 4096
 
@@ -69,7 +70,7 @@ def _cut(counts: DataFrame, keys: list[str], bucket: str, quota: DataFrame) -> D
     )
 
 
-def hashed_take(
+def hashed_flag(
     df: DataFrame,
     id_col: str,
     seed: int,
@@ -77,44 +78,75 @@ def hashed_take(
     frac: float | None = None,
     strata: list[str] | None = None,
 ) -> DataFrame:
-    """Rows with the smallest ``(hash_u(seed, id), id)``: ``n`` per stratum,
-    or ``round(frac * stratum size)`` (half up) per stratum."""
+    """Adds ``draw`` and ``taken``: whether the row is among the ``n`` (or
+    ``round(frac * stratum size)``, half up) smallest ``(draw, id)`` of its
+    stratum.
+
+    Only small per-stratum tables are computed (bucket counts, cut points,
+    and the ``(draw, id)`` threshold inside the boundary sub-bucket); the
+    flag is then a column expression, so no row is joined back by id.
+    """
     keys = list(strata or [])
     u = hash_u(F.lit(seed), F.col(id_col))
-    x = df.withColumn("_u", u).withColumn("_b1", F.floor(F.col("_u") * BUCKETS).cast("long"))
+    x = (
+        df.withColumn("_u", u)
+        .withColumn("_b1", F.floor(F.col("_u") * BUCKETS).cast("long"))
+        .withColumn("_b2", F.floor((F.col("_u") * BUCKETS - F.col("_b1")) * BUCKETS).cast("long"))
+    )
 
-    sizes = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    c1 = x.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("c"))
+    sizes = c1.groupBy(*keys).agg(F.sum("c").alias("_n"))
     if n is not None:
         quota = sizes.select(*keys, F.lit(n).cast("long").alias("quota"))
     else:
         quota = sizes.select(*keys, F.floor(F.col("_n") * F.lit(frac) + F.lit(0.5)).cast("long").alias("quota"))
+    # The per-stratum tables are tiny but read several times each: they are
+    # materialised once (three passes over the input in total, then a map).
+    cut1 = materialize(_cut(c1, keys, "_b1", quota).withColumnRenamed("k", "_k1")
+                       .withColumnRenamed("before", "_before1"))
 
-    c1 = x.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("c"))
-    cut1 = (_cut(c1, keys, "_b1", quota).withColumnRenamed("k", "_k1")
-            .withColumnRenamed("before", "_before1").drop("quota"))
-    x1 = _join_small(x, cut1, keys)
-    below1 = x1.where(F.col("_b1") < F.col("_k1"))
-
-    edge = x1.where(F.col("_b1") == F.col("_k1")).withColumn(
-        "_b2", F.floor((F.col("_u") * BUCKETS - F.col("_b1")) * BUCKETS).cast("long")
-    )
-    quota2 = _join_small(cut1, quota, keys)
-    quota2 = quota2.select(*keys, (F.col("quota") - F.col("_before1")).alias("quota"))
+    edge = _join_small(x, cut1.drop("quota"), keys).where(F.col("_b1") == F.col("_k1"))
+    quota2 = cut1.select(*keys, (F.col("quota") - F.col("_before1")).alias("quota"))
     c2 = edge.groupBy(*keys, "_b2").agg(F.count(F.lit(1)).alias("c"))
-    cut2 = (_cut(c2, keys, "_b2", quota2).withColumnRenamed("k", "_k2")
-            .withColumnRenamed("before", "_before2").withColumnRenamed("quota", "_q2"))
-    x2 = _join_small(edge, cut2, keys)
-    below2 = x2.where(F.col("_b2") < F.col("_k2"))
-
-    w = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_u", id_col)
-    last = (
-        x2.where(F.col("_b2") == F.col("_k2"))
-        .withColumn("_rn", F.row_number().over(w))
+    cut2 = materialize(_cut(c2, keys, "_b2", quota2).withColumnRenamed("k", "_k2")
+                       .withColumnRenamed("before", "_before2").withColumnRenamed("quota", "_q2"))
+
+    # Rows of the boundary sub-bucket (about N / B^2) are ranked; the last
+    # winner's (draw, id) is the stratum's threshold.
+    w = Window.partitionBy(*keys).orderBy("_u", id_col)
+    last = _join_small(edge, cut2, keys).where(F.col("_b2") == F.col("_k2"))
+    thr = materialize(
+        last.withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") <= F.col("_q2") - F.col("_before2"))
+        .groupBy(*keys)
+        .agg(F.max(F.struct("_u", F.col(id_col).alias("_id"))).alias("_thr"))
+    )
+    limits = _join_small(cut1.drop("quota"), cut2.drop("_q2", "_before2"), keys)
+    if keys:
+        limits = limits.join(thr, keys, "left")
+    else:
+        limits = limits.withColumn("_thr", thr.select("_thr").scalar())
+    y = _join_small(x, limits, keys)
+    in_edge = F.struct(F.col("_u"), F.col(id_col).alias("_id")) <= F.col("_thr")
+    taken = (F.col("_b1") < F.col("_k1")) | (
+        (F.col("_b1") == F.col("_k1"))
+        & ((F.col("_b2") < F.col("_k2")) | ((F.col("_b2") == F.col("_k2")) & F.coalesce(in_edge, F.lit(False))))
+    )
+    return y.withColumn("taken", taken).withColumnRenamed("_u", "draw").drop(
+        "_b1", "_b2", "_k1", "_before1", "_k2", "_thr"
     )
-    cols = df.columns + ["_u"]
-    out = below1.select(*cols).unionByName(below2.select(*cols)).unionByName(last.select(*cols))
-    return out.withColumnRenamed("_u", "draw")
+
+
+def hashed_take(
+    df: DataFrame,
+    id_col: str,
+    seed: int,
+    n: int | None = None,
+    frac: float | None = None,
+    strata: list[str] | None = None,
+) -> DataFrame:
+    """Rows with the smallest ``(hash_u(seed, id), id)`` per stratum."""
+    return hashed_flag(df, id_col, seed, n, frac, strata).where("taken").drop("taken")
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -128,9 +160,7 @@ def stratified_split(
     df: DataFrame, id_col: str, label_col: str, test_frac: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Adds ``is_test`` -- ``round(test_frac * n_label)`` rows per label
-    with the smallest draws; the row id is kept."""
-    test_ids = hashed_take(df.select(id_col, label_col), id_col, seed, frac=test_frac,
-                           strata=[label_col]).select(id_col, F.lit(True).alias("is_test"))
-    return df.join(test_ids, id_col, "left").withColumn(
-        "is_test", F.coalesce(F.col("is_test"), F.lit(False))
-    )
+    with the smallest draws; the row id is kept. A map over the rows plus
+    small per-label tables (no join by id)."""
+    out = hashed_flag(df, id_col, seed, frac=test_frac, strata=[label_col])
+    return out.withColumnRenamed("taken", "is_test").drop("draw")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sampling import seeded_sample, stratified_split
+from tessera.session import materialize
 from tessera.sources.tables import read_table
 
 SEED = 42
@@ -37,7 +38,9 @@ def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = f9_rows(spark, sf_dir)
+    # The split reads its input in three counting passes and one map; the
+    # derived training rows are persisted once, like a training table file.
+    rows = materialize(f9_rows(spark, sf_dir))
     split = stratified_split(rows, "id", "Y", TEST_FRAC, SEED)
     return split.where("is_test").select(F.col("id").cast("bigint"), F.col("Y").cast("bigint").alias("y"))
 
