@@ -78,7 +78,25 @@ def q_perturb_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_prompt_perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts over the perturbed context; the passage is the fallback
+    when a row has no perturbed context (SURVEY Q7)."""
+    from tessera.operators.prompts import context_prompts
+    from tessera.sources.tables import read_table
+
+    units = materialize(f8_units(spark, sf_dir))
+    ranked = B.rank_units(units, "eval_id", N_MASKS)
+    ptb = B.perturb(units, f8_candidates(ranked), "eval_id", N_MASKS, seed=SEED).select("eval_id", "context")
+    qa = qa_pairs(spark, sf_dir).join(ptb, "eval_id", "left")
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("passage_id"), F.col("text").alias("passage")
+    )
+    out = context_prompts(qa, docs, context_col="context")
+    return out.select(F.col("eval_id").cast("bigint"), "ok", "prompt")
+
+
 QUERIES = {
+    "prompt_perturbed": q_prompt_perturbed,
     "mask_top_units": q_mask_top_units,
     "sentence_chunks": q_sentence_chunks,
     "inverse_prob_draw": q_inverse_prob_draw,
@@ -190,6 +208,23 @@ select eval_id::BIGINT as eval_id, chunk::BIGINT as chunk_no, text, n_words::BIG
 from ch
 """,
         "inverse_prob_draw": f8 + "select eval_id::BIGINT as eval_id, mask_no::BIGINT as mask_no, draw from draws",
+        "prompt_perturbed": f8 + """,
+qa as (
+  select q.conv_id * 100 + q.turn as eval_id, q.text as question,
+         cast((q.conv_id * 37 + q.turn) % ((select count(*) from documents) + 50) as varchar) as passage_id
+  from conversations q
+  join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
+       and q.role = 'user' and a.role = 'assistant'
+),
+j as (
+  select qa.eval_id, qa.question, coalesce(p.context, d.text) as ctx
+  from qa left join (select * from ptb where n_m = n_d) p using (eval_id)
+  left join documents d on cast(d.doc_id as varchar) = qa.passage_id
+)
+select eval_id::BIGINT as eval_id, ctx is not null as ok,
+       case when ctx is not null then 'context: ' || ctx || chr(10) || 'question: ' || question end as prompt
+from j
+""",
         "perturb_join": f8 + """,
 qa as (
   select q.conv_id * 100 + q.turn as eval_id

@@ -119,7 +119,20 @@ def q_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f2.where(~F.col("ok")).select(F.col("eval_id").cast("bigint"), "passage_id", "error")
 
 
+def q_segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per answer, count/mean/min/max/stddev of token entropy in each
+    segment, pivoted wide (the training table's feature columns)."""
+    from tessera.operators.training import segment_features
+
+    seg = _segments(spark, sf_dir).select(
+        "eval_id", "segment", M.step_entropy(F.col("step")).alias("value")
+    )
+    wide = segment_features(seg)
+    return round_doubles(wide.withColumn("eval_id", F.col("eval_id").cast("bigint")))
+
+
 QUERIES = {
+    "segment_features": q_segment_features,
     "sequence_scores": q_sequence_scores,
     "segment_tokens": q_segment_tokens,
     "segment_token_ll": q_segment_token_ll,
@@ -295,6 +308,22 @@ select eval_id::BIGINT as eval_id, segment,
 from sent
 """,
         "segment_word_entropy": words_sql,
+        "segment_features": "with " + SEG_SQL + ", "
+        + "fx as (select eval_id, "
+        + ", ".join(
+            f"count(h) filter (where segment = '{sg}') as {sg}_n, "
+            f"coalesce(round(avg(h) filter (where segment = '{sg}'), 6), 0.0) as {sg}_mean, "
+            f"coalesce(round(min(h) filter (where segment = '{sg}'), 6), 0.0) as {sg}_min, "
+            f"coalesce(round(max(h) filter (where segment = '{sg}'), 6), 0.0) as {sg}_max, "
+            f"coalesce(round(stddev_samp(h) filter (where segment = '{sg}'), 6), 0.0) as {sg}_std"
+            for sg in ("instruct", "context", "question", "answer")
+        )
+        + " from sent group by eval_id) select eval_id::BIGINT as eval_id, "
+        + ", ".join(
+            f"{sg}_n::BIGINT as {sg}_n, {sg}_mean, {sg}_min, {sg}_max, {sg}_std"
+            for sg in ("instruct", "context", "question", "answer")
+        )
+        + " from fx",
         "prompt_ctx": "with " + QA_SQL + """
 select qa.eval_id::BIGINT as eval_id, qa.passage_id,
        d.text is not null as ok,
