@@ -11,16 +11,19 @@ not depend on partitioning and a SQL oracle can repeat it.
 
 Input: the answers in long form, one row per answer:
 ``passage_id, passage, question_idx, question, answer_idx, answer, label``
-(nested items are exploded into this by :func:`explode_items`). The windows
-are partitioned by the question key; a question's answer list is small.
+(nested items are exploded into this by :func:`explode_items`). Ranks inside a
+question come from a range-partitioned global numbering, not from a window
+over the question, so one question holding a large share of all answers is
+still spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_u
+from tessera.operators.ranking import group_rank
 
 QKEY = ["passage_id", "question_idx"]
 
@@ -47,32 +50,32 @@ def explode_items(items: DataFrame) -> DataFrame:
 def ranked_answers(answers: DataFrame, seed: int = 42) -> DataFrame:
     """Split per question and rank each side by a hashed draw.
 
-    Adds ``is_correct``, ``n_correct``, ``n_wrong`` and ``rank`` (1-based,
-    within the question and side). Correct rank 1 is the reference.
+    Adds ``is_correct``, ``n_correct``, ``n_wrong``, ``rank`` (1-based within
+    the question and side; correct rank 1 is the reference) and ``_ref``
+    (the reference answer). Ranks come from :func:`group_rank` and the
+    per-question counts from an aggregate, so a question with a huge answer
+    list is not sorted in one task.
     """
     correct = F.col("label") == 1
     draw = hash_u(F.lit(seed), F.when(correct, F.lit("c")).otherwise(F.lit("w")),
                   F.col("passage_id"), F.col("question_idx"), F.col("answer_idx"))
-    side = Window.partitionBy(*QKEY, "is_correct").orderBy("draw", "answer_idx")
-    whole = Window.partitionBy(*QKEY)
-    return (
-        answers.withColumn("is_correct", correct)
-        .withColumn("draw", draw)
-        .withColumn("rank", F.row_number().over(side))
-        .withColumn("n_correct", F.sum(F.col("is_correct").cast("int")).over(whole))
-        .withColumn("n_wrong", F.sum((~F.col("is_correct")).cast("int")).over(whole))
+    a = answers.withColumn("is_correct", correct).withColumn("draw", draw)
+    ranked = group_rank(a, [*QKEY, "is_correct"], ["draw", "answer_idx"])
+    per_q = a.groupBy(*QKEY).agg(
+        F.count_if(F.col("is_correct")).cast("int").alias("n_correct"),
+        F.count_if(~F.col("is_correct")).cast("int").alias("n_wrong"),
+        F.min_by(
+            F.struct(F.col("answer_idx").alias("idx"), F.col("answer").alias("text")),
+            F.when(F.col("is_correct"), F.struct("draw", "answer_idx")),
+        ).alias("_ref"),
     )
+    return ranked.drop("group_size").join(per_q, QKEY, "inner")
 
 
 def _with_reference(ranked: DataFrame) -> DataFrame:
-    """Keep questions with a correct answer; attach the reference by a
-    window over the question (no self-join)."""
-    ref = F.when(F.col("is_correct") & (F.col("rank") == 1), F.struct(
-        F.col("answer_idx").alias("idx"), F.col("answer").alias("text")))
-    whole = Window.partitionBy(*QKEY)
-    return ranked.where(F.col("n_correct") >= 1).withColumn(
-        "_ref", F.max(ref).over(whole)
-    )
+    """Keep questions with a correct answer (the reference is attached
+    by :func:`ranked_answers`)."""
+    return ranked.where(F.col("n_correct") >= 1)
 
 
 def flat_generations(answers: DataFrame, seed: int = 42) -> DataFrame:

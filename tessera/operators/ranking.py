@@ -216,3 +216,27 @@ def global_row_number(
     return tagged.withColumn(
         "row_id", F.element_at(offs, F.col("_pid").cast("int") + 1) + F.col("_local")
     ).drop("_pid", "_local")
+
+
+def group_rank(
+    df: DataFrame, group_cols: list[str], order_cols: list[str], n_parts: int | None = None
+) -> DataFrame:
+    """1-based ``rank`` inside each group by ``order_cols`` (unique within a
+    group), plus ``group_size``, without a window partitioned by the group.
+
+    A window would sort a whole group in one task; here the rows get a dense
+    global id over ``group_cols + order_cols`` (range partitioning splits a
+    hot group across tasks), the group's first id and size come from an
+    aggregate (partial, so a hot group collapses map-side), and the rank is
+    ``row_id - first + 1``. The group table has one row per group; AQE
+    broadcasts it when small and splits a skewed side of the join otherwise.
+    """
+    ided = global_row_number(df, group_cols + order_cols, n_parts)
+    starts = ided.groupBy(*group_cols).agg(
+        F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("group_size")
+    )
+    return (
+        ided.join(starts, group_cols, "inner")
+        .withColumn("rank", (F.col("row_id") - F.col("_first") + 1).cast("int"))
+        .drop("_first", "row_id")
+    )
