@@ -321,6 +321,38 @@ def median_by_label(g: DataFrame) -> DataFrame:
     )
 
 
+def score_box(g: DataFrame) -> DataFrame:
+    """R13 box summary: ``n, min, q1, median, q3, max, mean`` of all finite
+    scores; quartiles interpolate linearly between order statistics
+    (position ``(n - 1) p``), read exactly off the prefix table."""
+    pt = prefix_table(finite(g))
+    below = F.col("below_pos") + F.col("below_neg")
+    cnt = F.col("pos") + F.col("neg")
+    n = F.col("P") + F.col("N")
+
+    def at(rank: Column) -> Column:
+        """Value of the 0-based order statistic ``rank``."""
+        return F.max(F.when((below <= rank) & (below + cnt > rank), F.col("score")))
+
+    def quant(p: float) -> list[Column]:
+        h = (n - 1) * p
+        lo = F.floor(h)
+        hi = F.least(lo + 1, n - 1)
+        return [at(lo), at(hi), F.max(h - lo)]
+
+    qs = {name: quant(p) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    aggs = [F.min("score").alias("min"), F.max("score").alias("max"),
+            (F.sum(F.col("score") * cnt) / F.sum(cnt)).alias("mean"), F.max(n).alias("n")]
+    for name, (lo, hi, fr) in qs.items():
+        aggs += [lo.alias(f"_{name}_lo"), hi.alias(f"_{name}_hi"), fr.alias(f"_{name}_f")]
+    a = pt.agg(*aggs)
+    out = [F.col("n").cast("bigint").alias("n"), "min"]
+    for name in qs:
+        lo, hi, fr = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
+        out.append((lo + (hi - lo) * fr).alias(name))
+    return a.select(*out, "max", "mean")
+
+
 def _label_rows(g: DataFrame) -> DataFrame:
     """Distinct (label, score, cnt) rows from the score table."""
     return finite(g).select(

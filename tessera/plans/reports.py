@@ -70,6 +70,7 @@ OPS = {
     "mwu": R.mann_whitney_less,
     "median_by_label": R.median_by_label,
     "score_hist": R.score_hist,
+    "score_box": R.score_box,
     "score_kde": R.score_kde,
 }
 
@@ -293,6 +294,13 @@ select bin::BIGINT as bin, label::BIGINT as label,
        round(any_value(lo) + (bin - 1) * ((any_value(hi) - any_value(lo)) / 50), 6) as bin_lo,
        count(*)::BIGINT as n
 from b group by bin, label
+""",
+        "score_box": head
+        + """
+select count(*)::BIGINT as n, round(min(score), 6) as min,
+       round(quantile_cont(score, 0.25), 6) as q1, round(quantile_cont(score, 0.5), 6) as median,
+       round(quantile_cont(score, 0.75), 6) as q3, round(max(score), 6) as max, round(avg(score), 6) as mean
+from fin
 """,
         "score_kde": head
         + """
