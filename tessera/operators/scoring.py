@@ -116,6 +116,7 @@ def score_with_function(
     inputs: list[str],
     score_name: str = "score",
     concurrency: int = DEFAULT_CONCURRENCY,
+    progress=None,
 ) -> DataFrame:
     """Call an external scorer per row inside Arrow batches.
 
@@ -123,6 +124,8 @@ def score_with_function(
     float``; up to ``concurrency`` calls run at once per task (the outer
     parallelism is the number of partitions). Output: ``key, ok, score,
     error``; a raised exception becomes ``error = 'Type: message'``.
+    ``progress``: an optional Spark accumulator; each task adds the rows it
+    scored (the reference's progress counter), readable on the driver.
     """
     key_type = rows.schema[key].dataType
     schema = T.StructType(
@@ -149,6 +152,8 @@ def score_with_function(
             for pdf in batches:
                 recs = pdf.to_dict("records")
                 res = list(pool.map(one, recs))
+                if progress is not None:
+                    progress.add(len(res))
                 yield pd.DataFrame(
                     {
                         key: pdf[key],
