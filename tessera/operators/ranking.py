@@ -240,3 +240,53 @@ def group_rank(
         .withColumn("rank", (F.col("row_id") - F.col("_first") + 1).cast("int"))
         .drop("_first", "row_id")
     )
+
+
+def grouped_prefix_table(
+    g: DataFrame, group_cols: list[str], n_buckets: int | None = None
+) -> DataFrame:
+    """:func:`prefix_table` for many score tables at once, keyed by
+    ``group_cols`` (e.g. one per boosting iteration): ``g(group..., score,
+    pos, neg)``. Cut points and offsets are per-group tables (one row per
+    group, arrays of the bucket count) joined on the group keys; the window
+    is partitioned by group and bucket.
+    """
+    b = n_buckets or default_buckets(g)
+    n_bounds = b - 1
+    if n_bounds > 0:
+        fractions = [i / b for i in range(1, b)]
+        bounds = g.groupBy(*group_cols).agg(
+            F.percentile_approx("score", fractions, max(10000, 20 * b)).alias("_bounds")
+        )
+        gb = g.join(bounds, group_cols, "inner").withColumn(
+            "bucket", bucket_of(F.col("_bounds"), F.col("score"), n_bounds)
+        ).drop("_bounds")
+    else:
+        gb = g.withColumn("bucket", F.lit(0))
+    totals = gb.groupBy(*group_cols, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    tot = F.collect_list(F.struct("bucket", "p", "n"))
+
+    def offs(field: str) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(b - 1)),
+            lambda k: F.aggregate(
+                F.filter(F.col("_tot"), lambda t: t["bucket"] < k), F.lit(0).cast("long"),
+                lambda s, t: s + t[field],
+            ),
+        )
+
+    offsets = (
+        totals.groupBy(*group_cols)
+        .agg(tot.alias("_tot"), F.sum("p").cast("long").alias("P"), F.sum("n").cast("long").alias("N"))
+        .select(*group_cols, offs("p").alias("_off_pos"), offs("n").alias("_off_neg"), "P", "N")
+    )
+    w = Window.partitionBy(*group_cols, "bucket").orderBy("score").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    j = gb.join(offsets, group_cols, "inner")
+    return j.select(
+        *group_cols, "score", "pos", "neg", "bucket",
+        (F.element_at("_off_pos", F.col("bucket") + 1) + F.coalesce(F.sum("pos").over(w), F.lit(0))).alias("below_pos"),
+        (F.element_at("_off_neg", F.col("bucket") + 1) + F.coalesce(F.sum("neg").over(w), F.lit(0))).alias("below_neg"),
+        "P", "N",
+    )

@@ -47,9 +47,9 @@ def q_gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_gbt_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: test log-loss after each boosting iteration (all iterations)."""
+    """T5: test log-loss, AUC and F1 after each boosting iteration."""
     model, test = _gbt(spark, sf_dir, with_eval_set=False)
-    return round_doubles(TR.gbt_iterations(model, test))
+    return round_doubles(TR.iteration_metrics(model, test))
 
 
 def q_rf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
