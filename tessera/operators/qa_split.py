@@ -124,6 +124,11 @@ def nested_questions(answers: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
+def flat_from_items(items: DataFrame, seed: int = 42) -> DataFrame:
+    """Nested reading items (S1) in, flat generation rows out."""
+    return flat_generations(explode_items(items), seed)
+
+
 def class_balance(flat: DataFrame) -> DataFrame:
     """Rows per label."""
     return flat.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

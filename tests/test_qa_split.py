@@ -37,3 +37,29 @@ def test_explode_items(spark):
     assert sorted(r["label"] for r in flat) == [0, 1]
     nested = Q.nested_questions(Q.explode_items(df)).collect()
     assert len(nested) == 1 and len(nested[0]["generation_correct"]) == 1
+
+
+def test_items_file_to_flat_rows(spark, tmp_path):
+    import json
+
+    from tessera.sources import io
+
+    p = tmp_path / "items.jsonl"
+    item = {"idx": 3, "passage": {"text": "P", "questions": [{"idx": 1, "question": "q", "answers": [
+        {"idx": i, "text": f"a{i}", "label": int(i < 3)} for i in range(6)]}]}}
+    p.write_text(json.dumps(item) + "\n")
+    items, bad = io.read_items(spark, str(p))
+    flat = Q.flat_from_items(items).collect()
+    assert bad.count() == 0
+    assert sorted(r["label"] for r in flat) == [0, 0, 1, 1]
+    ref = {r["reference_answer_idx"] for r in flat}
+    assert len(ref) == 1 and ref.pop() not in {r["answer_idx"] for r in flat}
+
+
+def test_embed_instruct(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.prompts import embed_instruct
+
+    r = spark.createDataFrame([("hello",)], "t string").select(embed_instruct("Find answers", F.col("t")).alias("x")).first()
+    assert r["x"] == "Instruct: Find answers\nQuery:hello"
