@@ -61,11 +61,28 @@ def masked_texts(ranked: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _count_le(sorted_arr: Column, x: Column, steps: int = 32) -> Column:
+    """Number of elements ``<= x`` in an ascending int array (binary search)."""
+
+    def step(acc: Column, _k: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        right = F.element_at(sorted_arr, mid + 1) <= x
+        return F.when(
+            lo < hi,
+            F.when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))),
+        ).otherwise(acc)
+
+    init = F.struct(F.lit(0).alias("lo"), F.size(sorted_arr).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda a: a["lo"])
+
+
 def sentence_chunks(texts: DataFrame, key: str, text: str = "masked_text") -> DataFrame:
     """Sentences split after every '.', empty pieces dropped, packed
     greedily: a chunk is closed when ``words + next >= 200`` and it is not
-    empty. The greedy fold runs inside the row (``aggregate``); a text is one
-    row, so its sentence count is bounded by the text length.
+    empty. The greedy fold runs inside the row (``aggregate``), linear in
+    the sentence count.
 
     Output: ``key, chunk_no, text, n_words, n_masks, has_mask``.
     """
@@ -73,22 +90,26 @@ def sentence_chunks(texts: DataFrame, key: str, text: str = "masked_text") -> Da
     t = texts.select(key, sents.alias("_s")).withColumn(
         "_w", F.transform("_s", lambda s: word_count(s))
     )
+    # The fold only records where chunks start (appended once per chunk, so
+    # the array grows with the chunk count, not the sentence count); each
+    # sentence's chunk number is then a binary search over those starts.
     init = F.struct(
-        F.lit(0).alias("cur"), F.lit(0).alias("chunk"), F.lit(0).alias("n"),
-        F.array().cast("array<int>").alias("ids"),
+        F.lit(0).alias("cur"), F.lit(0).alias("i"),
+        F.array().cast("array<int>").alias("starts"),
     )
 
     def step(acc: Column, w: Column) -> Column:
-        flush = (acc["cur"] + w >= CHUNK_WORDS) & (acc["n"] > 0)
-        chunk = F.when(flush, acc["chunk"] + 1).otherwise(acc["chunk"])
+        flush = (acc["cur"] + w >= CHUNK_WORDS) & (acc["i"] > 0)
         return F.struct(
             F.when(flush, w).otherwise(acc["cur"] + w).alias("cur"),
-            chunk.alias("chunk"),
-            (acc["n"] + 1).alias("n"),
-            F.concat(acc["ids"], F.array(chunk)).alias("ids"),
+            (acc["i"] + 1).alias("i"),
+            F.when(flush, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    t = t.withColumn("_ids", F.aggregate("_w", init, step)["ids"])
+    t = t.withColumn("_starts", F.aggregate("_w", init, step)["starts"])
+    t = t.withColumn(
+        "_ids", F.transform("_s", lambda _s, i: _count_le(F.col("_starts"), i))
+    )
     ex = t.select(
         key,
         F.posexplode_outer(F.arrays_zip(F.col("_s").alias("s"), F.col("_w").alias("w"), F.col("_ids").alias("c"))).alias("i", "z"),
