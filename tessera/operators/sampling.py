@@ -44,10 +44,8 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], checked: bool
         if checked and small.count() <= MAX_BROADCAST_ROWS:
             small = F.broadcast(small)
         return big.join(small, keys, "inner")
-    out = big
-    for c in small.columns:
-        out = out.withColumn(c, small.select(c).scalar())
-    return out
+    one = small.select(F.struct(*small.columns).alias("_one")).scalar()
+    return big.withColumn("_one", one).select("*", "_one.*").drop("_one")
 
 
 def _cut(counts: DataFrame, keys: list[str], bucket: str, quota: DataFrame) -> DataFrame:
