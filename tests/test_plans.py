@@ -23,3 +23,24 @@ def test_no_global_window_or_python(spark, name):
             assert "windowspecdefinition(" in line
             spec = line.split("windowspecdefinition(", 1)[1]
             assert not spec.startswith("specifiedwindowframe") and not spec.split(",")[0].strip().endswith("ASC NULLS FIRST"), line
+
+
+def test_no_cartesian_or_stray_python_anywhere(spark):
+    """Every registered query: no cartesian / nested-loop join; Python only
+    in the external-scorer query."""
+    import sys
+
+    sys.path.insert(0, "scripts")
+    from plan_report import formatted, nodes
+
+    from tessera.plans import training
+
+    allowed_python = {"scorer_batch"}
+    for name, fn in E.queries().items():
+        if name in training.QUERIES:  # model fitting runs at build time
+            continue
+        ns = nodes(formatted(fn(spark, SF_SMALL))).values()
+        kinds = {n for n, _ in ns}
+        assert not kinds & {"BroadcastNestedLoopJoin", "CartesianProduct"}, name
+        if name not in allowed_python:
+            assert not kinds & {"ArrowEvalPython", "BatchEvalPython", "MapInPandas"}, name
