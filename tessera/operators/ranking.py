@@ -248,8 +248,9 @@ def grouped_prefix_table(
     """:func:`prefix_table` for many score tables at once, keyed by
     ``group_cols`` (e.g. one per boosting iteration): ``g(group..., score,
     pos, neg)``. Cut points and offsets are per-group tables (one row per
-    group, arrays of the bucket count) joined on the group keys; the window
-    is partitioned by group and bucket.
+    group) and per-(group, bucket) running offsets (a window over the small
+    totals table), joined on the keys; the window over scores is
+    partitioned by group and bucket.
     """
     b = n_buckets or default_buckets(g)
     n_bounds = b - 1
@@ -263,30 +264,25 @@ def grouped_prefix_table(
         ).drop("_bounds")
     else:
         gb = g.withColumn("bucket", F.lit(0))
+    # Offsets: a running sum over the small (group, bucket) totals table,
+    # partitioned by group (B rows each), joined back on (group, bucket).
     totals = gb.groupBy(*group_cols, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    tot = F.collect_list(F.struct("bucket", "p", "n"))
-
-    def offs(field: str) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(b - 1)),
-            lambda k: F.aggregate(
-                F.filter(F.col("_tot"), lambda t: t["bucket"] < k), F.lit(0).cast("long"),
-                lambda s, t: s + t[field],
-            ),
-        )
-
-    offsets = (
-        totals.groupBy(*group_cols)
-        .agg(tot.alias("_tot"), F.sum("p").cast("long").alias("P"), F.sum("n").cast("long").alias("N"))
-        .select(*group_cols, offs("p").alias("_off_pos"), offs("n").alias("_off_neg"), "P", "N")
+    run = Window.partitionBy(*group_cols).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group_cols)
+    offsets = totals.select(
+        *group_cols, "bucket",
+        F.coalesce(F.sum("p").over(run), F.lit(0)).cast("long").alias("_off_pos"),
+        F.coalesce(F.sum("n").over(run), F.lit(0)).cast("long").alias("_off_neg"),
+        F.sum("p").over(whole).cast("long").alias("P"),
+        F.sum("n").over(whole).cast("long").alias("N"),
     )
     w = Window.partitionBy(*group_cols, "bucket").orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    j = gb.join(offsets, group_cols, "inner")
+    j = gb.join(offsets, [*group_cols, "bucket"], "inner")
     return j.select(
         *group_cols, "score", "pos", "neg", "bucket",
-        (F.element_at("_off_pos", F.col("bucket") + 1) + F.coalesce(F.sum("pos").over(w), F.lit(0))).alias("below_pos"),
-        (F.element_at("_off_neg", F.col("bucket") + 1) + F.coalesce(F.sum("neg").over(w), F.lit(0))).alias("below_neg"),
+        (F.col("_off_pos") + F.coalesce(F.sum("pos").over(w), F.lit(0))).alias("below_pos"),
+        (F.col("_off_neg") + F.coalesce(F.sum("neg").over(w), F.lit(0))).alias("below_neg"),
         "P", "N",
     )
