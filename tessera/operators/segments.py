@@ -9,7 +9,8 @@ Shape: the markers are row-local (array shape, ``locate``); character
 offsets need a running sum of token lengths, done in the long shape with a
 window partitioned by ``eval_id``. The sequence rows are repartitioned by
 ``eval_id`` once; explode, windows and the per-segment aggregates reuse that
-partitioning (a partition key is one sequence, bounded by the model context).
+partitioning. A window key is the steps of one input row, so no key holds
+more than one row's elements; ``eval_id`` must be unique per row.
 
 Decisions (SURVEY 8.2): original positions are used for every step (Q3); an
 empty step counts as a null step (Q4); a row without a question token goes to
