@@ -11,7 +11,8 @@ not blank. As a set computation (SURVEY 7.4):
 
 Both are running windows over ``(key..., pos)``; the caller partitions the
 long shape by the key once and every window here reuses that partitioning.
-A key is one token sequence, whose length the model's context bounds.
+A key is one token sequence (the steps of one array-shape row), whose length
+the model's context bounds; ``eval_id`` must be unique per row.
 """
 
 from __future__ import annotations
