@@ -143,14 +143,21 @@ def iteration_metrics(model, test: DataFrame, id_col: str = "id") -> DataFrame:
     return losses.join(auc, "iteration", "left").join(f1, "iteration", "left")
 
 
-def model_facts(model, test: DataFrame) -> DataFrame:
-    """Tree count, feature and class counts, feature importances."""
+def model_facts(model, test: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """Tree count, feature and class counts, feature importances; for
+    boosted trees with an eval set also the best iteration and its loss
+    (``evaluateEachIteration`` on the eval rows)."""
     spark = test.sparkSession
+    n_trees = model.getNumTrees if hasattr(model, "getNumTrees") else len(model.trees)
     rows = [
-        ("trees", float(model.getNumTrees) if hasattr(model, "getNumTrees") else float(len(model.trees))),
+        ("trees", float(n_trees)),
         ("features", float(model.numFeatures)),
         ("classes", float(model.numClasses)),
     ]
+    if valid is not None and hasattr(model, "evaluateEachIteration"):
+        losses = model.evaluateEachIteration(valid)
+        best = min(range(len(losses)), key=lambda i: (losses[i], i))
+        rows += [("best_iteration", float(best + 1)), ("best_loss", float(losses[best]))]
     for i, v in enumerate(model.featureImportances.toArray()):
         rows.append((f"importance_{i}", float(v)))
     return spark.createDataFrame(rows, "name string, value double")

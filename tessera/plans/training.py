@@ -68,7 +68,16 @@ def q_model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(TR.model_facts(model, test))
 
 
+def q_gbt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 for boosting: trees kept by early stopping, best iteration/loss."""
+    train, test = _split(spark, sf_dir)
+    train = train.withColumn("is_valid", hash_u(F.lit("valid"), F.col("id")) < 0.1)
+    model = TR.train_gbt(train, max_iter=CHECK_ITERATIONS)
+    return round_doubles(TR.model_facts(model, test, valid=train.where("is_valid")))
+
+
 QUERIES = {
+    "gbt_facts": q_gbt_facts,
     "rf_predictions": q_rf_predictions,
     "gbt_predictions": q_gbt_predictions,
     "gbt_iterations": q_gbt_iterations,
