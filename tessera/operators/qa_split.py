@@ -60,14 +60,17 @@ def ranked_answers(answers: DataFrame, seed: int = 42) -> DataFrame:
     draw = hash_u(F.lit(seed), F.when(correct, F.lit("c")).otherwise(F.lit("w")),
                   F.col("passage_id"), F.col("question_idx"), F.col("answer_idx"))
     a = answers.withColumn("is_correct", correct).withColumn("draw", draw)
+    # group_rank materialises its layout; the per-question counts and the
+    # reference are read from it rather than from the (recomputed) input.
     ranked = group_rank(a, [*QKEY, "is_correct"], ["draw", "answer_idx"])
-    per_q = a.groupBy(*QKEY).agg(
+    ref = F.when(
+        F.col("is_correct") & (F.col("rank") == 1),
+        F.struct(F.col("answer_idx").alias("idx"), F.col("answer").alias("text")),
+    )
+    per_q = ranked.groupBy(*QKEY).agg(
         F.count_if(F.col("is_correct")).cast("int").alias("n_correct"),
         F.count_if(~F.col("is_correct")).cast("int").alias("n_wrong"),
-        F.min_by(
-            F.struct(F.col("answer_idx").alias("idx"), F.col("answer").alias("text")),
-            F.when(F.col("is_correct"), F.struct("draw", "answer_idx")),
-        ).alias("_ref"),
+        F.max(ref).alias("_ref"),
     )
     return ranked.drop("group_size").join(per_q, QKEY, "inner")
 
