@@ -439,3 +439,26 @@ def score_kde(g: DataFrame, points: int = KDE_POINTS) -> DataFrame:
         (mm["lo"] + (mm["hi"] - mm["lo"]) * F.col("i") / (points - 1)).alias("x"),
         "density",
     )
+
+
+def report_plan(scored: DataFrame, score: str = "score", label: str = "label") -> dict[str, DataFrame]:
+    """The whole binary report for one scored set, as named tables.
+
+    The distinct-score table is materialised once; every table below reads
+    it. Write them together with :func:`tessera.sources.io.write_report`.
+    """
+    g = score_table(scored, score, label)
+    return {
+        "youden": youden(g),
+        "class_report": class_report(g),
+        "scalars": report_scalars(g),
+        "roc": roc_points(g),
+        "pr": pr_points(g),
+        "auc_ap": auc_ap(g),
+        "confusion": confusion(g),
+        "mann_whitney": mann_whitney_less(g),
+        "medians": median_by_label(g),
+        "histogram": score_hist(g),
+        "box": score_box(g),
+        "kde": score_kde(g),
+    }

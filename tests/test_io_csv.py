@@ -49,3 +49,17 @@ def test_scorer_progress_accumulator(spark):
     assert acc.value == 300
     bad = [r for r in out if not r["ok"]]
     assert len(bad) == 6 and bad[0]["error"] == "RuntimeError: boom"
+
+
+def test_report_plan_bundle(spark):
+    from tessera.operators.report import report_plan
+
+    d = tempfile.mkdtemp(prefix="tessera-plan-")
+    df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (float("inf"), 1)], "score double, label int")
+    tables = report_plan(df)
+    io.write_report(tables, os.path.join(d, "rep"))
+    out = spark.read.parquet(os.path.join(d, "rep"))
+    titles = {r["title"] for r in out.select("title").distinct().collect()}
+    assert titles == set(tables)
+    auc = out.where("title = 'auc_ap' and name = ':auc'").first()["value"]
+    assert auc == 0.75
