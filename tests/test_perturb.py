@@ -72,3 +72,18 @@ def test_masking_and_apply(spark):
     # the second mask has no draw and stays
     assert out["context"] == "AX<mask> d" and dict(out["change_set"]) == {1: "X"}
     assert B.perturb(u, cands, "k", 2).count() == 0
+
+
+def test_draw_frequencies_follow_inverse_weights(spark):
+    # scores 0.1 / 0.3 / 0.6 -> weights 0.9 / 0.7 / 0.4 over 2.0
+    base = spark.range(0, 20000).select(F.col("id").alias("k"))
+    c = base.select(
+        "k", F.lit(0).alias("mask_no"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("cand_no"), F.lit(f" t{i}").alias("token_str"),
+                                      F.lit(s).alias("score")) for i, s in enumerate([0.1, 0.3, 0.6])])).alias("c"),
+    ).select("k", "mask_no", "c.*")
+    d = B.inverse_prob_draws(c, "k")
+    freq = {r["draw"]: r["count"] / 20000 for r in d.groupBy("draw").count().collect()}
+    assert freq["t0"] == pytest.approx(0.45, abs=0.015)
+    assert freq["t1"] == pytest.approx(0.35, abs=0.015)
+    assert freq["t2"] == pytest.approx(0.20, abs=0.015)
