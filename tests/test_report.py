@@ -83,3 +83,14 @@ def test_median_exact(spark):
     import statistics
     assert got[1] == statistics.median([s for s, y in rows if y == 1])
     assert got[0] == statistics.median([s for s, y in rows if y == 0])
+
+
+def test_auc_equals_u_over_n1n0(spark):
+    from conftest import SF_MID
+    import __spark_entry__ as E
+
+    q = E.queries()
+    for suffix in ["", "_docs", "_ppl"]:
+        a = q["auc_ap" + suffix](spark, SF_MID).first()
+        m = q["mwu" + suffix](spark, SF_MID).first()
+        assert a["auc"] == pytest.approx(m["u1"] / (m["n1"] * m["n0"]), abs=2e-6)

@@ -82,3 +82,14 @@ def test_top_logprob_steps_append_to_answer(spark):
                                f"eval_id int, question string, prefix_length int, prompt_logprob {SEQ.simpleString()}, top {SEQ.simpleString()}")
     seg = segment_steps(df, top_steps="top").where("segment = 'answer'").orderBy("pos")
     assert [r["step"][0]["decoded_token"] for r in seg.collect()] == ["g1", "g2"]
+
+
+def test_segment_counts_within_steps(spark):
+    from conftest import SF_SMALL
+    from tessera.plans.fixtures import f2_prompts
+
+    f2 = f2_prompts(spark, SF_SMALL).where("ok")
+    seg = segment_steps(f2).groupBy("eval_id").agg(F.count(F.lit(1)).alias("n_seg"))
+    steps = f2.select("eval_id", F.size(F.filter("prompt_logprob", lambda s: s.isNotNull())).alias("n_steps"))
+    bad = seg.join(steps, "eval_id").where(F.col("n_seg") > F.col("n_steps")).count()
+    assert bad == 0 and seg.count() == f2.count()
