@@ -1,22 +1,22 @@
 """Exact Jaccard join on word shingles by T-occurrence search.
 
 1. Every whole text becomes its set of 64-bit shingle hashes; equal sets are
-   one node (128-bit fingerprint), so copies are never expanded.
-2. In hash order, two sets with at least the threshold share k of their first
-   s - T + k members (T the least overlap a set of s members can have).  Those
-   prefixes are the inverted lists; copies of a member inside a batch are
-   merged before the shuffle, so a very common shingle sends one row a batch.
-   A set with fewer than k shared prefix members has no link and is done.
-3. Sets that share their first listed members are searched together in blocks
-   of at most ``BLOCK`` sets: lists are sorted by length, the longest are set
-   aside (DivideSkip), the short ones are merged, and the candidates are
-   probed in the long lists by binary search.  Links become components.
-4. What is left is exact: of every list, the pairs between different
-   components (each set using only its rarest lists, as many as leave k - 1
-   out) are verified on the whole sets.  No list or group is capped.
-
-Shingles are compared by 64-bit hashes of 64-bit word hashes, nodes by 128-bit
-fingerprints.
+   one node (64-bit fingerprint), so copies are never expanded.
+2. In hash order, two linked sets share k of their first s - T + k members (T
+   the least overlap a set of s members can have).  Those prefixes are the
+   inverted lists; equal members inside a batch are merged before the shuffle,
+   so a very common shingle sends one row a batch.  A set with fewer than k
+   shared prefix members has no link and is done.
+3. Of each set's prefix only the rarest lists stay, as many as leave k - 1
+   out: linked sets still share one.  Inside a list, in order of size,
+   neighbours of compatible sizes are joined; the components of these joints
+   are clusters that hold both sides of every link.
+4. Each cluster is searched exactly, in blocks of about ``BLOCK`` shingles and,
+   for larger clusters, in all pairs of blocks.  A search sets the longest
+   lists aside (DivideSkip), merges the short ones, and probes the candidates
+   for the long lists by binary search.  No list or cluster is capped.
+
+Shingles and nodes are compared by 64-bit hashes.
 
 Defined results: null or wordless texts have an empty set, link with nothing
 and are their own component; repeated rows and ids stay rows of their own; a
@@ -38,9 +38,10 @@ from tessera.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK = 256
-#: Lists that choose the blocks a set is searched in.
-KEYS = 2
+#: Shingles of a block: a work unit, not a limit.
+BLOCK = 1_000_000
+#: Lists this many times longer than the mean are set aside.
+LONG = 4
 #: Bits of the bitmap of documents whose sets are read again (fixed size, 2 MB).
 BITMAP = 1 << 24
 CACHE_WORDS = 500_000
@@ -83,6 +84,10 @@ def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def _node(s: np.ndarray) -> int | None:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None
+
+
 def least_overlap(n: int, percent: int = PERCENT) -> int:
     """What a set of n members shares at least with any set it links with."""
     return -(-n * percent // 100)
@@ -90,7 +95,7 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 
 def spare(n: int) -> int:
     """k: prefix members a linked pair must share, by the smaller set's size."""
-    return 1 + n // 20
+    return 1 + n // 10
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -115,10 +120,10 @@ def _sets(percent: int, size: int):
                 for text in part.column(1).cast(pa.binary()).to_pylist():
                     s = shingle_set(text, size)
                     counts.append(len(s))
-                    nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    nodes.append(_node(s))
                     prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(prefixes, kind)],
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(prefixes, kind)],
                     ["doc_id", "node", "n", "prefix"],
                 )
 
@@ -126,58 +131,76 @@ def _sets(percent: int, size: int):
 
 
 def _postings(batches):
-    """(token, first node, number of nodes, further nodes) with one row a token and batch."""
+    """(token, node, further nodes or null), one row a token and batch; copies of a node count once."""
     for batch in batches:
-        nodes = np.array([*batch.column(0).to_pylist(), b""], dtype=object)[:-1]
-        lists = batch.column(1)
+        nodes, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+        lists = batch.column(1).take(pa.array(first))
         tokens = lists.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(nodes)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        owner = np.repeat(nodes, lists.value_lengths().to_numpy(zero_copy_only=False).astype(int))
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.array([], dtype=int)
-        ends = np.r_[starts[1:], len(tokens)].astype(int)
-        more = [b"".join(nodes[owner[a + 1 : b]]) if b - a > 1 else None for a, b in zip(starts, ends)]
+        new = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(tokens)].astype(int)[: len(starts)]
+        more = np.full(len(starts), None, dtype=object)
+        for k in np.flatnonzero(ends - starts > 1):
+            more[k] = owner[starts[k] + 1 : ends[k]].astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens[starts], pa.int64()), pa.array(nodes[owner[starts]], pa.binary()),
-             pa.array(ends - starts, pa.int64()), pa.array(more, pa.binary())],
-            ["token", "node", "held", "more"],
+            [pa.array(tokens[starts], pa.int64()), pa.array(owner[starts], pa.int64()), pa.array(more, pa.binary())],
+            ["token", "node", "more"],
         )
 
 
+def _spread(batches):
+    """(token, df, node) of every node of a posting."""
+    for batch in batches:
+        out = []
+        for token, df, node, more in zip(*(c.to_pylist() for c in batch.columns)):
+            out.append((token, df, node))
+            if more is not None:
+                out += [(token, df, int(x)) for x in np.frombuffer(more, "<i8")]
+        cols = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "df", "node"])
+
+
 class Block:
     """Inverted lists over a few whole sets, searched by T-occurrence (DivideSkip)."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets, self.sizes = sets, np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), self.sizes)
-        tokens = np.concatenate(sets) if sets else np.array([], dtype=np.int64)
+        tokens = np.concatenate(sets)
         order = np.argsort(tokens, kind="stable")  # owners stay in order inside a list
-        self.tokens, first = np.unique(tokens[order], return_index=True)
-        self.first, self.owner = np.r_[first, len(tokens)], owner[order]
+        self.owner, tokens = owner[order], tokens[order]
+        self.tokens, first, self.held = np.unique(tokens, return_index=True, return_counts=True)
+        self.first = first
 
     def search(self, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Sets that share at least ``least`` members with ``query`` (all in the block), and how many."""
         at = np.searchsorted(self.tokens, query)
-        begin, end = self.first[at], self.first[at + 1]
-        order = np.argsort(end - begin, kind="stable")
-        begin, end = begin[order], end[order]
+        held = self.held[at]
+        shared = held > 1
+        at, held, query = at[shared], held[shared], query[shared]
+        if not len(at):
+            return np.array([], dtype=int), np.array([], dtype=int)
         # Set the long lists aside: a hit must occur least - aside times in the short ones.
-        longest = int(end[-1] - begin[-1])
-        aside = min(least - 1, int(least / (0.1 * np.log2(longest + 1) + 1)))
-        short = len(query) - aside
-        merged = np.concatenate([self.owner[a:b] for a, b in zip(begin[:short], end[:short])])
-        found, counts = np.unique(merged, return_counts=True)
-        keep = counts >= least - aside
-        found, counts = found[keep], counts[keep]
-        for k, (a, b) in enumerate(zip(begin[short:], end[short:])):
-            left = aside - k
-            if not len(found):
-                break
-            alive = counts + left >= least
-            found, counts = found[alive], counts[alive]
-            held = self.owner[a:b]
-            pos = np.searchsorted(held, found)
-            counts = counts + ((pos < len(held)) & (held[np.minimum(pos, len(held) - 1)] == found))
+        order = np.argsort(held, kind="stable")
+        at, held, query = at[order], held[order], query[order]
+        aside = min(least - 1, int((held > LONG * held.mean()).sum()))
+        short = len(at) - aside
+        begin, length = self.first[at[:short]], held[:short]
+        ends = np.cumsum(length)
+        # All short lists one after another, then merged by counting.
+        spots = np.arange(ends[-1] if short else 0) + np.repeat(begin - (ends - length), length)
+        counts = np.bincount(self.owner[spots], minlength=len(self.sets))
+        found = np.flatnonzero(counts >= max(1, least - aside))
+        counts = counts[found]
+        if aside:
+            long = np.sort(query[short:])
+            for k, j in enumerate(found):
+                held_by = self.sets[j]
+                pos = np.minimum(np.searchsorted(held_by, long), len(held_by) - 1)
+                counts[k] += int((held_by[pos] == long).sum())
         keep = counts >= least
         return found[keep], counts[keep]
 
@@ -197,7 +220,7 @@ class Block:
                 break  # all in one component
             found, shared = self.search(s, least_overlap(len(s), percent))
             union = len(s) + self.sizes[found] - shared
-            for j in found[100 * shared >= percent * union]:
+            for j in found[(100 * shared >= percent * union) & (found != i)]:
                 a, b = top(i), top(int(j))
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -206,28 +229,29 @@ class Block:
 
 
 def _search(percent: int):
-    """Rows sorted by block: edges from each set to the first set of its component in the block."""
+    """Rows sorted by (cluster, part): edges from each set to the first one of its component there."""
 
     def edges(nodes, sets):
         least = Block(sets).groups(percent) if len(sets) > 1 else [0]
         return [(nodes[i], nodes[j]) for i, j in enumerate(least) if i != j]
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         key, nodes, sets = None, [], []
         for batch in batches:
             out = []
             arrays = batch.column(3)
-            values, offsets = arrays.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(arrays.value_lengths().to_numpy(zero_copy_only=False))]
-            for r, (k, part, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                # BLOCK is a work unit only: step 4 compares what falls into different blocks.
-                if (k, part) != key or len(sets) >= BLOCK:
+            values = arrays.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(arrays.value_lengths().to_numpy(zero_copy_only=False))
+            for r, (cluster, part, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if (cluster, part) != key:
                     out += edges(nodes, sets)
-                    key, nodes, sets = (k, part), [], []
-                nodes.append(node)
-                sets.append(values[offsets[r] : offsets[r + 1]])
+                    key, nodes, sets = (cluster, part), [], []
+                if not nodes or nodes[-1] != node:  # copies of a node stand together
+                    nodes.append(node)
+                    sets.append(values[ends[r - 1] if r else 0 : ends[r]].copy())
             if out:
                 yield batch_of(out)
         rows = edges(nodes, sets)
@@ -251,9 +275,9 @@ def _whole(shared, size: int):
                 nodes, sets = [], []
                 for text in part.column(1).cast(pa.binary()).to_pylist():
                     s = shingle_set(text, size)
-                    nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, kind)], ["node", "shingles"])
+                    nodes.append(_node(s))
+                    sets.append(np.sort(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, kind)], ["node", "shingles"])
 
     return run
 
@@ -276,74 +300,58 @@ def _bitmap(ids: DataFrame) -> bytes:
 def shingle_counts(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCENT, size=SHINGLE) -> DataFrame:
     """doc_id, node (fingerprint of the set; null if empty), n, prefix."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_sets(percent, size), "doc_id long, node binary, n long, prefix array<long>")
+    return narrow.mapInArrow(_sets(percent, size), "doc_id long, node long, n long, prefix array<long>")
 
 
-def links(docs: DataFrame, sets: DataFrame, id_col="doc_id", text_col="text", percent=PERCENT, size=SHINGLE) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all links."""
-    spark = docs.sparkSession
-    reps = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = reps.select("node", "prefix").mapInArrow(_postings, "token long, node binary, held long, more binary")
-    listed = posted.withColumn("df", F.sum("held").over(Window.partitionBy("token"))).filter("df > 1")
-    one_by_one = F.concat(
-        F.array("node"),
-        F.when(
-            F.col("held") > 1,
-            F.transform(F.sequence(F.lit(1), (F.col("held") - 1).cast("int")), lambda i: F.substring("more", i * 16 - 15, F.lit(16))),
-        ).otherwise(F.array().cast("array<binary>")),
+def clusters(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Sets that can have a link (node, rep, n), and their clusters (node, component)."""
+    posted = sets.filter("n > 0").select("node", "prefix").mapInArrow(_postings, "token long, node long, more binary")
+    by_token = Window.partitionBy("token")
+    held = F.lit(1) + F.coalesce(F.length("more"), F.lit(0)) / 8
+    listed = posted.select(
+        "token", F.sum(held.cast("long")).over(by_token).alias("df"), "node", "more",
+        ((F.min("node").over(by_token) < F.max("node").over(by_token)) | (F.count("more").over(by_token) > 0)).alias("_two"),
     )
-    shared = listed.select("token", "df", F.explode(one_by_one).alias("node"))
+    shared = listed.filter("_two").select("token", "df", "node", "more").mapInArrow(_spread, "token long, df long, node long")
     # Per set: its shared prefix members, at most its prefix length.
-    members = shared.groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("members"))
-    sizes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    members = shared.groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("members"))
+    sizes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     least = lambda n: F.ceil(n * percent / F.lit(100)).cast("long")
-    t = least(F.col("n"))
-    need = F.least(F.floor(t / 20) + 1, least(t))
+    need = F.least(F.floor(least(F.col("n")) / 10) + 1, least(least(F.col("n"))))
     left = written(
-        members.join(sizes, "node").withColumn("need", need).filter(F.size("members") >= F.col("need"))
-        .select(
+        members.join(sizes, "node").withColumn("need", need).filter(F.size("members") >= F.col("need")).select(
             "node", "rep", "n",
-            F.slice(F.array_sort(F.transform("members", lambda m: m["token"])), 1, KEYS).alias("keys"),
             F.slice(F.array_sort("members"), F.lit(1), (F.size("members") - F.col("need") + 1).cast("int")).alias("rare"),
         )
     )
-    bitmap = spark.sparkContext.broadcast(_bitmap(left))
-    narrow = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    whole = narrow.select("d", "t", F.xxhash64("d").bitwiseAND(F.lit(BITMAP - 1)).alias("s")).mapInArrow(
-        _whole(bitmap, size), "node binary, shingles array<long>"
-    )
-    whole = whole.filter("node is not null").join(left.select("node", "n", "keys"), "node").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles")
-    )
-    whole = written(whole)
+    lists = left.select("node", "n", F.explode("rare").alias("m")).select("node", "n", F.col("m.token").alias("token"))
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    chained = lists.select("node", "n", F.lag("node").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("pn"))
+    joints = chained.filter(F.col("pn") * 100 >= F.col("n") * percent).select(F.col("node").alias("a"), F.col("prev").alias("b"))
+    return left.select("node", "rep", "n"), components(joints)
 
-    # Step 3: blocks of sets with a common key; large ones are dealt by size, then by node.
-    keyed = whole.select("node", "n", "shingles", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    dealt = keyed.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("c") / BLOCK)))
-    blocks = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node").select("key", "part", "node", "shingles")
-    near = written(blocks.mapInArrow(_search(percent), "a binary, b binary"))
-    named = components(near)
 
-    # Step 4: between components, all pairs that a list allows.
-    lists = left.select("node", "n", F.explode("rare").alias("m")).select("node", "n", F.col("m.token").alias("token"))
-    lists = lists.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = written(lists)
-    held = lists.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(
-        F.max_by("component", "c").alias("major"), F.count("*").alias("kinds")
-    ).filter("kinds > 1")
-    open_lists = lists.join(held, "token")
-    minor = open_lists.filter("component <> major").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    other = open_lists.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    fits = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
-    pairs = minor.join(other, "token").filter((F.col("xc") != F.col("yc")) & fits)
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    a = whole.select(F.col("node").alias("x"), F.col("shingles").alias("xs"))
-    b = whole.select(F.col("node").alias("y"), F.col("shingles").alias("ys"))
-    common = F.size(F.array_intersect("xs", "ys"))
-    both = pairs.join(a, "x").join(b, "y").withColumn("i", common)
-    far = both.filter(F.col("i") * 100 >= (F.size("xs") + F.size("ys") - F.col("i")) * percent)
-    return near.union(far.select(F.col("x").alias("a"), F.col("y").alias("b")))
+def links(docs: DataFrame, sets: DataFrame, id_col="doc_id", text_col="text", percent=PERCENT, size=SHINGLE) -> DataFrame:
+    """Edges (a, b) between nodes; their components are those of all links."""
+    spark = docs.sparkSession
+    left, named = clusters(sets, percent)
+    named = named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
+    wanted = written(left.join(named, "node"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+    narrow = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+    spotted = narrow.select("d", "t", F.xxhash64("d").bitwiseAND(F.lit(BITMAP - 1)).alias("s"))
+    whole = spotted.mapInArrow(_whole(bitmap, size), "node long, shingles array<long>")
+    # Blocks of about BLOCK shingles; a cluster of several is searched in all pairs of blocks.
+    blocks = wanted.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("nb"))
+    placed = wanted.join(blocks, "component").select("node", "component", "nb", F.pmod(F.xxhash64("node"), "nb").alias("k"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
+    # The pair (k, k) is part of every pair with k, so it is searched alone only in clusters of one block.
+    placed = placed.select("node", "component", "nb", "k", others).filter("nb = 1 or o <> k")
+    part = F.least("k", "o") * F.col("nb") + F.greatest("k", "o")
+    placed = placed.select("node", "component", part.alias("part"))
+    dealt = whole.filter("node is not null").join(placed, "node")
+    dealt = dealt.repartition("component", "part").sortWithinPartitions("component", "part", "node")
+    return dealt.select("component", "part", "node", "shingles").mapInArrow(_search(percent), "a long, b long")
 
 
 def jaccard_components(
