@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, jaccard, packing
+from tessera.llm import decontamination, jaccard, packing, pii, queries, toxicity
 from tessera.llm.common import table, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go."""
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), queries.TOXICITY)
+    return toxicity.keep_clean(docs, chain)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked documents stays: its least id."""
     return jaccard.keep_one(docs)
@@ -20,14 +26,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes its kind in angle brackets; no document goes."""
+    return pii.mask(docs, pii.fit(docs), length_col="n_chars")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of all documents."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
     ("packing", pack_sequences),
 ]
 

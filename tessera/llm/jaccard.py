@@ -372,8 +372,16 @@ def jaccard_components(
     )
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """Documents, with all their columns, of which each component keeps its least id once."""
-    named = jaccard_components(docs, **kw).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    rest = docs.join(named.distinct(), docs[kw.get("id_col", "doc_id")] == F.col("_gone"), "left_anti")
-    return rest
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """Documents, with all their columns, of which each component keeps its least id once.
+
+    Rows that repeat an id are one document.  Rows without an id cannot be
+    told apart, so all of them stay.
+    """
+    named = written(jaccard_components(docs, id_col=id_col, **kw).select(F.col("doc_id").alias("_id"), "component_id"))
+    rest = docs.join(named.filter("component_id <> _id").select("_id").distinct(), F.col(id_col) == F.col("_id"), "left_anti")
+    repeated = named.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id")
+    if repeated.isEmpty():
+        return rest
+    once = rest.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return rest.join(repeated, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)

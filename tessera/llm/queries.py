@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, jaccard, packing, quality, tokenfile, urls
+from tessera.llm import chat, decontamination, hmm, jaccard, packing, pii, quality, tokenfile, toxicity, urls
 from tessera.llm.common import table
 from tessera.session import ensure_checkpoint_dir
 
@@ -31,6 +31,10 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def q_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(1).select(
@@ -43,6 +47,16 @@ def q_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns)).drop("identical")
 
 
+#: Categories of the shared labels, in chain order.
+TOXICITY = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= chain.thresholds[chain.categories.index("toxic")])
+
+
 def q_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -54,6 +68,11 @@ def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path).drop("ids")
 
 
+def q_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -69,9 +88,12 @@ def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": q_packing,
     "op2_quality_rules": q_quality,
+    "op3_hmm_scoring": q_hmm,
     "op4_chat_formatting": q_chat,
+    "op5_toxicity": q_toxicity,
     "op6_url_filters": q_urls,
     "op7_token_files": q_tokens,
+    "op8_pii": q_pii,
     "op9_decontamination": q_decontamination,
     "op10_jaccard_join": q_jaccard,
 }
