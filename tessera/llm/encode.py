@@ -1,14 +1,16 @@
 """Tokenizing whole texts inside tasks with the ``tokenizers`` library.
 
-The byte-level vocabulary splits a text into pieces by a fixed pattern and
-merges bytes inside each piece only.  Texts made of plain Latin characters
-are split here by the same pattern and each distinct piece goes through the
-library once per worker; any other text goes through the library whole.
+A byte-level vocabulary splits a text into pieces by a fixed pattern and
+merges bytes inside each piece only.  For such vocabularies, texts made of
+plain Latin characters are split here by the same pattern, and each distinct
+piece goes through the library's model once per worker; any other text, and
+any other kind of vocabulary, goes through the library whole.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import sys
@@ -22,7 +24,7 @@ _PIECES = re.compile(
 _NOT_PLAIN = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
 
 #: Pieces kept per worker; beyond it the cache starts anew (results do not change).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
@@ -35,6 +37,29 @@ def u32(ids) -> bytes:
     return a.tobytes()
 
 
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as itself if it prints, else as the next free character from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)}
+
+
+class _Pieces(dict):
+    """Id bytes of pieces, filled by the library's model."""
+
+    def __init__(self, model):
+        self._model = model
+        names = _byte_characters()
+        plain = [c for c in map(chr, range(0x180)) if not _NOT_PLAIN.search(c)]
+        self._table = {ord(c): "".join(names[b] for b in c.encode()) for c in plain}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = u32([t.id for t in self._model.tokenize(piece.translate(self._table))])
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to little-endian id bytes."""
 
@@ -44,27 +69,21 @@ class Encoder:
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # their strings are ordinary text
-        self._cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [u32(e.ids) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        split = about["pre_tokenizer"] or {}
+        self._by_piece = (
+            about["model"]["type"] == "BPE" and about["normalizer"] is None and split.get("type") == "ByteLevel"
+            and split.get("use_regex", True) and not split.get("add_prefix_space")
+        )
+        self._pieces = _Pieces(self._tok.model)
 
     def one(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text):
-            return self._whole([text])[0]
-        pieces = _PIECES.findall(text)
-        cache = self._cache
-        new = [p for p in set(pieces) if p not in cache]
-        extra = {}
-        if new:
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-                new = list(set(pieces))
-            for p, ids in zip(new, self._whole(new)):
-                (cache if len(p) <= CACHE_CHARS else extra)[p] = ids
-        if extra:
-            return b"".join([extra.get(p) or cache[p] for p in pieces])
-        return b"".join(map(cache.__getitem__, pieces))
+        if not self._by_piece or _NOT_PLAIN.search(text):
+            return u32(self._tok.encode(text, add_special_tokens=False).ids)
+        if len(self._pieces) > CACHE_PIECES:
+            self._pieces.clear()
+        return b"".join(map(self._pieces.__getitem__, _PIECES.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
