@@ -52,13 +52,19 @@ def words_of(text: Column) -> Column:
 
 
 def sorted_windows(words: Column, window: int = REPEAT_WINDOW) -> Column:
-    """Windows of words with their positions, sorted, so that equal ones are neighbours."""
+    """Windows of words with their positions, sorted, so that equal ones are neighbours (empty if none are)."""
     spans = F.transform(
         F.sequence(F.lit(1), F.size(words) - (window - 1)),
         lambda i: F.struct(F.array_join(F.slice(words, i, window), " ").alias("w"), i.alias("i")),
     )
+    # Hashes first: windows whose hashes all differ are all different.
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.size(words) - window),
+        lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(window))),
+    )
+    repeats = F.when(F.size(words) > window, F.size(F.array_distinct(hashes)) < F.size(words) - (window - 1))
     none = F.array().cast("array<struct<w:string,i:int>>")
-    return F.when(F.size(words) > window, F.array_sort(spans)).otherwise(none)
+    return F.when(repeats, F.array_sort(spans)).otherwise(none)
 
 
 def repeated_starts(windows: Column) -> Column:
