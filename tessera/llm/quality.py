@@ -39,7 +39,6 @@ NAV_TERMS = (
     "next|previous|back|top|share|print|skip to content|read more|more"
 )
 MENU = rf"(?i)^[{BLANKS}|>/»·•-]*(({NAV_TERMS})[{BLANKS}|>/»·•-]*)+$"
-BARS = r"([|»·•][^|»·•]*)"
 BOILERPLATE = (
     r"(?i)(all rights reserved|copyright (\(c\)|©|[0-9])|©|cookie(s)? (policy|settings|notice)|uses cookies|"
     r"accept (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)|enable javascript|"
@@ -51,29 +50,32 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, rf"[{BLANKS}]+"), lambda w: w != "")
 
 
-def sorted_windows(words: Column, window: int = REPEAT_WINDOW) -> Column:
-    """Windows of words with their positions, sorted, so that equal ones are neighbours (empty if none are)."""
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (window - 1)),
-        lambda i: F.struct(F.array_join(F.slice(words, i, window), " ").alias("w"), i.alias("i")),
-    )
-    # Hashes first: windows whose hashes all differ are all different.
+def window_hashes(words: Column, window: int = REPEAT_WINDOW) -> Column:
     hashes = F.transform(
         F.sequence(F.lit(0), F.size(words) - window),
         lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(window))),
     )
-    repeats = F.when(F.size(words) > window, F.size(F.array_distinct(hashes)) < F.size(words) - (window - 1))
-    none = F.array().cast("array<struct<w:string,i:int>>")
-    return F.when(repeats, F.array_sort(spans)).otherwise(none)
+    return F.when(F.size(words) > window, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def sorted_windows(hashes: Column) -> Column:
+    """Window hashes with their positions, sorted, so that equal ones are neighbours (empty if none are)."""
+    spans = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(spans)).otherwise(none)
+
 
+def repeated_starts(windows: Column, words: Column, window: int = REPEAT_WINDOW) -> Column:
+    """Positions, in order, of windows equal to a neighbour: hashes first, then the words themselves."""
+
+    def same(s: Column, t: Column) -> Column:
+        return (s["h"] == t["h"]) & (F.slice(words, s["i"] + 1, window) == F.slice(words, t["i"] + 1, window))
 
-def repeated_starts(windows: Column) -> Column:
-    """Positions, in order, of windows equal to a neighbour in ``sorted_windows``."""
     starts = F.transform(
         windows,
-        lambda s, k: F.when((F.get(windows, k - 1)["w"] == s["w"]) | (F.get(windows, k + 1)["w"] == s["w"]), s["i"]),
+        lambda s, k: F.when(same(s, F.get(windows, k - 1)) | same(s, F.get(windows, k + 1)), s["i"]),
     )
-    return F.array_sort(F.filter(starts, lambda i: i.isNotNull()))
+    return F.sort_array(F.filter(starts, lambda i: i.isNotNull()))
 
 
 def covered(starts: Column, window: int = REPEAT_WINDOW) -> Column:
@@ -84,19 +86,30 @@ def covered(starts: Column, window: int = REPEAT_WINDOW) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _without(text: Column, pattern: str) -> Column:
+    """Characters left when the pattern's matches go."""
+    return F.length(F.regexp_replace(text, pattern, ""))
+
+
+def measured(lines: Column) -> Column:
+    """Lines with their characters in words, their symbols and their letters, each counted once."""
+    return F.transform(
+        lines,
+        lambda line: F.struct(
+            line.alias("line"),
+            _without(line, rf"[{BLANKS}]+").alias("size"),
+            (F.length(line) - _without(line, f"[{SYMBOLS}]")).alias("symbols"),
+            _without(line, r"[^\p{L}\p{M}\p{N}]+").alias("letters"),
+        ),
+    )
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation or boilerplate rule for one line with a word."""
-    solid = F.regexp_replace(line, rf"[{BLANKS}]+", "")
-    size = F.length(solid)
-    letters = F.length(F.regexp_replace(solid, r"[^\p{L}\p{M}\p{N}]", ""))
-    punctuation = (_count(solid, SYMBOLS) * 100 > size * MAX_SYMBOL_PERCENT) | (letters * 100 < size * MIN_LETTER_PERCENT)
-    n_words = F.size(words_of(line))
+def line_fails(m: Column) -> Column:
+    """Punctuation, navigation or boilerplate rule for one measured line with a word."""
+    line, size = m["line"], m["size"]
+    punctuation = (m["symbols"] * 100 > size * MAX_SYMBOL_PERCENT) | (m["letters"] * 100 < size * MIN_LETTER_PERCENT)
     bars = F.length(line) - F.length(F.translate(line, "|»·•", ""))
-    navigation = (n_words <= NAV_WORDS) & (line.rlike(MENU) | (bars >= NAV_BARS))
+    navigation = (line.rlike(MENU) | (bars >= NAV_BARS)) & (F.size(words_of(line)) <= NAV_WORDS)
     return punctuation | navigation | line.rlike(BOILERPLATE)
 
 
@@ -109,23 +122,25 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "_t",
         words_of(F.col("_t")).alias("_w"),
         F.filter(F.split("_t", "\n", -1), lambda line: line.rlike(rf"[^{BLANKS}]")).alias("_lines"),
-        _count(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.length("_t") - _without(F.col("_t"), f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
     )
-    base = base.withColumn("_o", sorted_windows(F.col("_w")))
-    base = base.withColumn("_s", repeated_starts(F.col("_o"))).drop("_o")
-    solid = lambda line: F.length(F.regexp_replace(line, rf"[{BLANKS}]+", "")).cast("long")
-    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, line: a + solid(line))
-    base = base.withColumn("_good", F.filter("_lines", lambda line: ~line_fails(line)))
+    base = base.withColumn("_h", window_hashes(F.col("_w")))
+    base = base.withColumn("_o", sorted_windows(F.col("_h"))).drop("_h")
+    base = base.withColumn("_s", repeated_starts(F.col("_o"), F.col("_w"))).drop("_o")
+    base = base.withColumn("_m", measured(F.col("_lines")))
+    base = base.withColumn("_good", F.filter("_m", lambda m: ~line_fails(m)))
+    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, m: a + m["size"])
+    base = base.withColumn("word_chars", total(F.col("_m"))).withColumn("_left", total(F.col("_good")))
     out = base.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
-        total(F.col("_lines")).alias("word_chars"),
+        "word_chars",
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered(F.col("_s")).alias("n_repeat_words"),
-        F.array_join("_good", "\n").alias("cleaned"),
-        (total(F.col("_lines")) - total(F.col("_good"))).alias("lost_chars"),
-        (F.size("_lines") - F.size("_good")).cast("long").alias("n_failed_lines"),
+        F.array_join(F.transform("_good", lambda m: m["line"]), "\n").alias("cleaned"),
+        (F.col("word_chars") - F.col("_left")).alias("lost_chars"),
+        (F.size("_m") - F.size("_good")).cast("long").alias("n_failed_lines"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
