@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,16 @@ def fold(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+#: Rows of an Arrow batch: whole texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, whatever folder the driver was started in."""
+    """Give Python workers this package, whatever folder the driver was started in, and batches of bounded size."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if not getattr(sc, "_tessera_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         base = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera")
@@ -45,6 +54,48 @@ def ship(spark: SparkSession) -> None:
         sc._tessera_shipped = True
 
 
+class Marks:
+    """A bitmap of fixed size in which the bit of every id's hash is set.
+
+    Splits a table without a shuffle into rows that may have one of the ids and
+    rows that cannot; only the former need an exact join.
+    """
+
+    BITS = 1 << 24  # 2 MB
+
+    def __init__(self, ids: DataFrame):
+        name = ids.columns[0]
+        one = F.expr(f"shiftleft(1L, cast(xxhash64(`{name}`) & 63 as int))")
+        words = ids.select(F.shiftright(self.spot(F.col(name)), 6).alias("w"), one.alias("v"))
+        bits = np.zeros(self.BITS // 64, dtype=np.int64)
+        for w, v in words.groupBy("w").agg(F.bit_or("v")).toLocalIterator():  # at most BITS / 64 rows
+            bits[w] = v
+        self._shared = ids.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    @classmethod
+    def spot(cls, id_: Column) -> Column:
+        return F.xxhash64(id_).bitwiseAND(F.lit(cls.BITS - 1))
+
+    def hit(self, spots) -> np.ndarray:
+        """In a task: which of the spots (an Arrow column) are marked."""
+        at = spots.to_numpy(zero_copy_only=False)
+        return ((self._shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) == 1
+
+    def split(self, df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose id is marked, and the others, each with all columns."""
+        spotted = df.withColumn("_mark_spot", self.spot(F.col(id_col).cast("long")))
+
+        def rows(wanted: bool):
+            def run(batches):
+                for batch in batches:
+                    kept = self.hit(batch.column(batch.num_columns - 1)) == wanted
+                    yield batch.select(range(batch.num_columns - 1)).filter(pa.array(kept))
+
+            return run
+
+        return tuple(spotted.mapInArrow(rows(w), df.schema) for w in (True, False))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -19,12 +19,12 @@ items of equal text each count.  Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
 
@@ -123,6 +123,21 @@ def _scanner(shared):
     return run
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
+    """Number of blocks, and a function that broadcasts the tables of one."""
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("t"))
+    tests = tests.filter("t is not null and item is not null")
+    size = tests.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // (6 * block_words)))  # about six characters a word
+
+    def tables(k: int):
+        block = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        rows = [(r["item"], r["t"].encode()) for r in block.toLocalIterator()]
+        return benchmark.sparkSession.sparkContext.broadcast(matchers(rows, window))
+
+    return blocks, tables
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -134,11 +149,7 @@ def find_contamination(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Per document: doc_id, n_words, hits (word ranges), items (sorted ids), n_hit, contaminated."""
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("t"))
-    tests = tests.filter("t is not null and item is not null")
-    size = tests.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // (6 * block_words)))  # about six characters a word
+    blocks, tables = _blocks(benchmark, item_col, item_text_col, window, block_words)
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.xxhash64(text_col) if blocks > 1 else F.lit(0).cast("long")).alias("_h"),
@@ -146,12 +157,9 @@ def find_contamination(
     )
     scans = []
     for k in range(blocks):
-        block = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        rows = [(r["item"], r["t"].encode()) for r in block.toLocalIterator()]
-        tables = spark.sparkContext.broadcast(matchers(rows, window))
         # The first scan keeps every row; the others only rows with hits, once each.
         source = narrow if not k else narrow.dropDuplicates(["doc_id", "_h"])
-        scan = source.mapInArrow(_scanner(tables), _OUT)
+        scan = source.mapInArrow(_scanner(tables(k)), _OUT)
         scans.append(scan if not k else scan.filter("size(items) > 0"))
     found = scans[0]
     if blocks > 1:
@@ -180,11 +188,34 @@ def find_contamination(
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """Documents, with all their columns, that no benchmark window occurs in."""
-    bad = find_contamination(docs, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[kw.get("id_col", "doc_id")] == bad["_bad"], "left_anti")
+#: Blocks searched in one task, one after the other; then the rows left are written.
+CHAINED = 4
+
+
+def remove_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Documents, with all their columns, that no benchmark window occurs in; no shuffle."""
+    blocks, tables = _blocks(benchmark, item_col, item_text_col, window, block_words)
+    where = docs.columns.index(text_col)
+
+    def clean(shared):
+        def run(batches):
+            for batch in batches:
+                texts = batch.column(where).cast(pa.binary()).to_pylist()
+                free = [not any(True for t in shared.value for _ in t.scan(w)) for w in map(words_of, texts)]
+                yield batch.filter(pa.array(free, pa.bool_()))
 
+        return run
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    for k in range(blocks):
+        docs = docs.mapInArrow(clean(tables(k)), docs.schema)
+        if k % CHAINED == CHAINED - 1 and k < blocks - 1:
+            docs = written(docs)
+    return docs

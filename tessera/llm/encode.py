@@ -24,7 +24,7 @@ _PIECES = re.compile(
 _NOT_PLAIN = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
 
 #: Pieces kept per worker; beyond it the cache starts anew (results do not change).
-CACHE_PIECES = 700_000
+CACHE_PIECES = 250_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 

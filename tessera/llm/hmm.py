@@ -44,9 +44,11 @@ HASHED = 1024
 HEAD = 300_000
 STRETCH = 512
 #: Distinct words of a batch that are counted before partial counts go out.
-BATCH_WORDS = 500_000
+BATCH_WORDS = 300_000
 #: Tokens whose state probabilities a worker holds at a time.
 TRAIN_TOKENS = 500_000
+#: Tokens of the texts that are scored side by side.
+SCORE_TOKENS = 4_000_000
 FOLDS = 10
 SMOOTH = 0.1
 #: Class ids: 0 is the end of a text, then own words, then hashed classes.
@@ -291,14 +293,23 @@ def train(encoded: DataFrame, class_counts: np.ndarray, states: int = STATES, ro
 
 
 def _score(shared):
+    def scored(model, class_log, rows, arrays):
+        flat, starts, lengths = _cut(arrays, None)
+        loglik = model.forward(flat, starts, lengths) / math.log(10.0)
+        sums = np.add.reduceat(class_log[flat], starts)
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(loglik - sums)], ["_row", "_chain"])
+
     def run(batches):
         model, class_log = shared.value
+        rows, arrays = [], []
         for batch in batches:
-            arrays = _classes(batch.column(1))
-            flat, starts, lengths = _cut(arrays, None) if arrays else (np.array([], "<u2"), *[np.array([], int)] * 2)
-            loglik = model.forward(flat, starts, lengths) / math.log(10.0)
-            sums = np.add.reduceat(class_log[flat], starts) if len(starts) else np.array([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(loglik - sums)], ["_row", "_chain"])
+            rows += batch.column(0).to_pylist()
+            arrays += _classes(batch.column(1))
+            if sum(map(len, arrays)) >= SCORE_TOKENS:  # many texts side by side in one recursion
+                yield scored(model, class_log, rows, arrays)
+                rows, arrays = [], []
+        if rows:
+            yield scored(model, class_log, rows, arrays)
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import Marks, written
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -42,9 +42,7 @@ PERCENT = 80
 BLOCK = 1_000_000
 #: Lists this many times longer than the mean are set aside.
 LONG = 4
-#: Bits of the bitmap of documents whose sets are read again (fixed size, 2 MB).
-BITMAP = 1 << 24
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -261,19 +259,15 @@ def _search(percent: int):
     return run
 
 
-def _whole(shared, size: int):
+def _whole(marks: Marks, size: int):
     kind = pa.list_(pa.int64())
 
     def run(batches):
-        bits = np.frombuffer(shared.value, dtype=np.uint64)
         for batch in batches:
-            spot = batch.column(2).to_numpy(zero_copy_only=False)
-            marked = (bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)
-            rows = np.flatnonzero(marked)
+            rows = batch.filter(pa.array(marks.hit(batch.column(1)))).column(0)
             for at in range(0, len(rows), 1000):
-                part = batch.take(pa.array(rows[at : at + 1000]))
                 nodes, sets = [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
+                for text in rows.slice(at, 1000).cast(pa.binary()).to_pylist():
                     s = shingle_set(text, size)
                     nodes.append(_node(s))
                     sets.append(np.sort(s.view(np.int64)))
@@ -282,21 +276,6 @@ def _whole(shared, size: int):
     return run
 
 
-def _spot(doc_id: str) -> Column:
-    return F.xxhash64(doc_id).bitwiseAND(F.lit(BITMAP - 1))
-
-
-def _bitmap(ids: DataFrame) -> bytes:
-    """BITMAP bits in which every id's bit is set."""
-    spot = _spot("rep")
-    one = F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))")
-    words = ids.select(F.shiftright(spot, 6).alias("w"), one.alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(BITMAP // 64, dtype=np.uint64)
-    for w, v in words.toLocalIterator():
-        out[w] = np.int64(v).astype(np.uint64)
-    return out.tobytes()
-
-
 def shingle_counts(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCENT, size=SHINGLE) -> DataFrame:
     """doc_id, node (fingerprint of the set; null if empty), n, prefix."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -333,14 +312,11 @@ def clusters(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
 
 def links(docs: DataFrame, sets: DataFrame, id_col="doc_id", text_col="text", percent=PERCENT, size=SHINGLE) -> DataFrame:
     """Edges (a, b) between nodes; their components are those of all links."""
-    spark = docs.sparkSession
     left, named = clusters(sets, percent)
     named = named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
     wanted = written(left.join(named, "node"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
-    narrow = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    spotted = narrow.select("d", "t", F.xxhash64("d").bitwiseAND(F.lit(BITMAP - 1)).alias("s"))
-    whole = spotted.mapInArrow(_whole(bitmap, size), "node long, shingles array<long>")
+    narrow = docs.select(F.col(text_col).cast("string").alias("t"), Marks.spot(F.col(id_col).cast("long")).alias("s"))
+    whole = narrow.mapInArrow(_whole(Marks(wanted.select("rep")), size), "node long, shingles array<long>")
     # Blocks of about BLOCK shingles; a cluster of several is searched in all pairs of blocks.
     blocks = wanted.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("nb"))
     placed = wanted.join(blocks, "component").select("node", "component", "nb", F.pmod(F.xxhash64("node"), "nb").alias("k"))
@@ -379,9 +355,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     told apart, so all of them stay.
     """
     named = written(jaccard_components(docs, id_col=id_col, **kw).select(F.col("doc_id").alias("_id"), "component_id"))
-    rest = docs.join(named.filter("component_id <> _id").select("_id").distinct(), F.col(id_col) == F.col("_id"), "left_anti")
+    gone = named.filter("component_id <> _id").select("_id").distinct()
+    # Only documents whose mark is set meet the ids in a join; the others pass as they are.
+    marked, others = Marks(gone).split(docs, id_col)
+    rest = others.unionByName(marked.join(gone, F.col(id_col) == F.col("_id"), "left_anti"))
     repeated = named.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id")
     if repeated.isEmpty():
         return rest
-    once = rest.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return rest.join(repeated, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)
+    marked, others = Marks(repeated).split(rest, id_col)
+    once = marked.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    single = marked.join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
+    return others.unionByName(single).unionByName(once)

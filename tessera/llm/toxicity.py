@@ -38,7 +38,7 @@ MIN_Z = 4.0
 OUT_OF_FOLD = 3
 ROUNDS = 300
 RIDGE = 1e-3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 _STRIP = b".,;:!?\"'()[]"
 
