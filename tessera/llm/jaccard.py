@@ -174,7 +174,7 @@ class Block:
         self.first = first
 
     def search(self, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sets that share at least ``least`` members with ``query`` (all in the block), and how many."""
+        """Other sets that share at least ``least`` members with ``query`` (a set of the block), and how many."""
         at = np.searchsorted(self.tokens, query)
         held = self.held[at]
         shared = held > 1

@@ -99,6 +99,69 @@ QUERIES = {
 }
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+
+DECONTAMINATION_SQL = rf"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), items as (
+  select distinct item, m, array_to_string(w[i : i + m - 1], ' ') as win
+  from (select item, w, least(10, len(w)) as m, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)
+), windows as (
+  select doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') as win
+  from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select distinct m from items) where len(w) >= m)
+), hits as (
+  select doc_id, i, windows.m, item from windows join items using (win)
+), n as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + m)) as p from hits) group by 1
+), names as (
+  select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by 1
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join n using (doc_id) left join names using (doc_id)
+"""
+
+JACCARD_SQL = rf"""
+with recursive w as (
+  select doc_id, {_WORDS.format(t=f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')")} as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from s group by 1),
+links as (
+  select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), edges as (
+  select x, y from links join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 80 * (p.n + q.n - i)
+), reach(doc_id, c) as (
+  select doc_id, doc_id from documents union select e.y, r.c from reach r join edges e on e.x = r.doc_id where r.c < e.y
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id
+from w left join n using (doc_id) join (select doc_id, min(c) as c from reach group by 1) m using (doc_id)
+"""
+
+URL_SQL = """
+with p as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), h as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '%s', '%s') as host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from p
+), rules(rh, rp, v) as (values %s),
+fits as (
+  select page_id, rh || rp as rule, v, row_number() over (partition by page_id order by length(rh || rp) desc, length(rh) desc) as k
+  from h join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+)
+select h.page_id, host, path, rule, coalesce(v, 'allow') as verdict from h left join fits on fits.page_id = h.page_id and k = 1
+""" % (UPPER, UPPER.lower(), ", ".join(str(r) for r in URL_RULES))
+
+
 def oracle() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {
+        "op6_url_filters": URL_SQL,
+        "op9_decontamination": DECONTAMINATION_SQL,
+        "op10_jaccard_join": JACCARD_SQL,
+    }
