@@ -186,13 +186,14 @@ def apply_draws(ranked: DataFrame, draws: DataFrame, key: str) -> DataFrame:
 def perturb(
     units: DataFrame, cands: DataFrame, key: str, n: int, ascending: bool = False, seed: int = 42
 ) -> DataFrame:
-    """B1-B14 end to end: ``key, context, change_set``. A key whose masks
-    lack candidates (a failed model call) is left out, so the B15 left join
-    gives it a null context (B14)."""
+    """B1-B14 end to end: ``key, context, change_set``. A mask without a draw
+    stays in the text. Only keys of which no mask got a draw although they
+    have masks (the model call failed) are left out, so the B15 left join
+    gives them a null context (B14)."""
     ranked = rank_units(units, key, n, ascending)
     draws = inverse_prob_draws(cands, key, seed)
     out = apply_draws(ranked, draws, key)
-    return out.where(F.col("n_masks") == F.col("n_draws")).drop("n_masks", "n_draws")
+    return out.where((F.col("n_masks") == 0) | (F.col("n_draws") > 0)).drop("n_masks", "n_draws")
 
 
 def merge_perturbed(qa: DataFrame, ptb: DataFrame, key: str) -> DataFrame:

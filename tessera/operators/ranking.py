@@ -105,27 +105,27 @@ def prefix_table(g: DataFrame, n_buckets: int | None = None) -> DataFrame:
     else:
         gb = g.withColumn("bucket", F.lit(0))
 
-    # Per-bucket totals folded into dense offset arrays (size b, bounded).
-    totals = gb.groupBy("bucket").agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("n")
+    # Per-bucket totals as one array with an entry for every bucket (size b,
+    # bounded), then running offsets in one pass over it.
+    zeros = g.sparkSession.range(b).select(
+        F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg")
     )
-    tot = F.collect_list(F.struct("bucket", "p", "n"))
+    totals = gb.select(F.col("bucket").cast("int").alias("bucket"), "pos", "neg").unionByName(zeros)
+    totals = totals.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    tot = F.array_sort(F.collect_list(F.struct("bucket", "p", "n")))
+
+    def running(field: str) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("off"), F.lit(0).cast("long").alias("s"))
+        return F.aggregate(
+            tot, start,
+            lambda acc, t: F.struct(F.array_append(acc["off"], acc["s"]).alias("off"), (acc["s"] + t[field]).alias("s")),
+            lambda acc: acc["off"],
+        )
+
     offsets = totals.select(
         F.struct(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(b - 1)),
-                lambda k: F.aggregate(
-                    F.filter(tot, lambda t: t["bucket"] < k), F.lit(0).cast("long"),
-                    lambda s, t: s + t["p"],
-                ),
-            ).alias("off_pos"),
-            F.transform(
-                F.sequence(F.lit(0), F.lit(b - 1)),
-                lambda k: F.aggregate(
-                    F.filter(tot, lambda t: t["bucket"] < k), F.lit(0).cast("long"),
-                    lambda s, t: s + t["n"],
-                ),
-            ).alias("off_neg"),
+            running("p").alias("off_pos"),
+            running("n").alias("off_neg"),
             F.coalesce(F.sum("p"), F.lit(0)).cast("long").alias("P"),
             F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("N"),
         )
@@ -158,21 +158,20 @@ def with_lower_neighbor(pt: DataFrame) -> DataFrame:
     """Add ``dn_pos, dn_neg``: the label counts of the next *lower* score.
 
     Inside a bucket this is a ``lag``; across a bucket edge it is the highest
-    score of the nearest lower non-empty bucket, read from a bounded scalar
-    subquery (one entry per bucket).
+    score of the nearest lower non-empty bucket, which a join on the bucket
+    brings (at most one row per bucket).
     """
-    edges = pt.groupBy("bucket").agg(
-        F.max_by(F.struct("pos", "neg"), F.col("score")).alias("top")
+    edges = pt.groupBy("bucket").agg(F.max_by(F.struct("pos", "neg"), F.col("score")).alias("top"))
+    chain = F.array_sort(F.collect_list(F.struct("bucket", "top")))
+    below = edges.select(
+        F.inline(F.transform(chain, lambda e, k: F.struct(e["bucket"].alias("bucket"), F.get(chain, k - 1)["top"].alias("_below"))))
     )
-    edge_arr = edges.select(F.collect_list(F.struct("bucket", "top"))).scalar()
-    below = F.array_max(F.filter(F.col("_edges"), lambda e: e["bucket"] < F.col("bucket")))
     w = Window.partitionBy("bucket").orderBy("score")
     return (
-        pt.withColumn("_edges", edge_arr)
-        .withColumn("_below", below)
-        .withColumn("dn_pos", F.coalesce(F.lag("pos").over(w), F.col("_below.top.pos")))
-        .withColumn("dn_neg", F.coalesce(F.lag("neg").over(w), F.col("_below.top.neg")))
-        .drop("_edges", "_below")
+        pt.join(below, "bucket")
+        .withColumn("dn_pos", F.coalesce(F.lag("pos").over(w), F.col("_below.pos")))
+        .withColumn("dn_neg", F.coalesce(F.lag("neg").over(w), F.col("_below.neg")))
+        .drop("_below")
     )
 
 

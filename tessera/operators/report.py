@@ -92,7 +92,7 @@ def auc_ap(g: DataFrame) -> DataFrame:
     pt = _counts_ge(prefix_table(finite(g)))
     stats = pt.agg(
         F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)).alias("auc_num"),
-        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap_num"),
+        F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap_num"),
         F.first("P").alias("P"),
         F.first("N").alias("N"),
     )
@@ -105,7 +105,7 @@ def auc_ap(g: DataFrame) -> DataFrame:
         F.col("P").cast("bigint").alias("n_pos"),
         F.col("N").cast("bigint").alias("n_neg"),
         nonfinite.cast("bigint").alias("n_nonfinite"),
-        F.try_divide(F.col("auc_num"), (F.col("P") * F.col("N")).cast("double")).alias("auc"),
+        F.try_divide(F.col("auc_num"), F.col("P").cast("double") * F.col("N")).alias("auc"),
         F.try_divide(F.col("ap_num"), F.col("P").cast("double")).alias("ap"),
     )
 
@@ -267,10 +267,10 @@ def mann_whitney_less(g: DataFrame) -> DataFrame:
     """
     pt = prefix_table(finite(g))
     below = F.col("below_pos") + F.col("below_neg")
-    t = F.col("pos") + F.col("neg")
+    t = (F.col("pos") + F.col("neg")).cast("double")  # t^3 passes the long range at two million ties
     agg = pt.agg(
         F.sum(F.col("pos") * (below + (t + 1) / 2.0)).alias("R1"),
-        F.sum((t * t * t - t).cast("double")).alias("ties"),
+        F.sum(t * t * t - t).alias("ties"),
         F.first("P").alias("n1"),
         F.first("N").alias("n0"),
     )
@@ -392,62 +392,71 @@ def score_kde(g: DataFrame, points: int = KDE_POINTS) -> DataFrame:
     """Gaussian KDE per label on ``points`` grid points over [min, max].
 
     Scott bandwidth ``std * n^(-1/5)`` (sample std per label, two-pass). The
-    grid is an array evaluated per distinct (label, score) row, exploded and
-    summed with map-side partial sums: work = ``points x distinct scores``.
+    whole grid is summed per partition with numpy, so a task sends at most
+    ``2 x points`` rows on, however many distinct scores it holds. A class of
+    one row, or of equal scores only, has no bandwidth: its density is null.
     """
     rows = _label_rows(g)
     means = rows.groupBy("label").agg(
         (F.sum(F.col("cnt") * F.col("score")) / F.sum("cnt")).alias("mu"),
         F.sum("cnt").alias("n"),
     )
+    spread = F.sum(F.col("cnt") * F.pow(F.col("score") - F.col("mu"), 2))
     stats = rows.join(means, "label").groupBy("label").agg(
-        F.sqrt(
-            F.sum(F.col("cnt") * F.pow(F.col("score") - F.col("mu"), 2)) / (F.first("n") - 1)
-        ).alias("sd"),
+        F.sqrt(F.try_divide(spread, F.first("n") - 1)).alias("sd"),
         F.first("n").alias("n"),
     )
+    stats = stats.select(
+        F.col("label").alias("_label"), "n", F.nullif(F.col("sd") * F.pow(F.col("n"), -0.2), F.lit(0.0)).alias("bw")
+    )
     mm = rows.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"))).scalar()
-    bw_list = stats.select(
-        F.collect_list(F.struct("label", (F.col("sd") * F.pow(F.col("n"), -0.2)).alias("bw"), "n"))
-    ).scalar()
-    # Subqueries are bound to columns before any lambda reads them.
-    x = rows.withColumn("_mm", mm).withColumn("_bws", bw_list)
-    x = x.withColumn("_mine", F.get(F.filter(F.col("_bws"), lambda e: e["label"] == F.col("label")), 0))
-    grid = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda i: F.col("_mm.lo") + (F.col("_mm.hi") - F.col("_mm.lo")) * i / (points - 1),
+    x = rows.join(stats, rows["label"] == F.col("_label")).select(
+        F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"),
+        F.col("cnt").cast("double").alias("cnt"), "bw", mm["lo"].alias("lo"), mm["hi"].alias("hi"),
     )
-    x = x.select(
-        "label",
-        F.posexplode(
-            F.transform(
-                grid,
-                lambda gx: F.col("cnt")
-                * F.exp(-F.pow((gx - F.col("score")) / F.col("_mine.bw"), 2) / 2),
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = {}
+        for batch in batches:
+            label, score, cnt, bw, lo, hi = (
+                batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(6)
             )
-        ).alias("i", "w"),
-        F.col("_mine.bw").alias("bw"),
-        F.col("_mine.n").alias("n"),
-    )
-    return x.groupBy("label", "i").agg(
-        (F.sum("w") / (F.first("n") * F.first("bw") * F.lit((2 * 3.141592653589793) ** 0.5))).alias(
-            "density"
-        )
-    ).select(
+            for at in range(0, len(label), 512):
+                part = slice(at, at + 512)
+                grid = lo[0] + (hi[0] - lo[0]) * np.arange(points) / (points - 1)
+                w = cnt[part, None] * np.exp(-(((grid - score[part, None]) / bw[part, None]) ** 2) / 2)
+                for k in np.unique(label[part]):
+                    total[int(k)] = total.get(int(k), 0.0) + w[label[part] == k].sum(axis=0)
+        for k, w in total.items():
+            yield pa.RecordBatch.from_pydict(
+                {"label": pa.array([k] * points, pa.int32()), "i": pa.array(range(points), pa.int32()), "w": pa.array(w)}
+            )
+
+    summed = x.mapInArrow(sums, "label int, i int, w double").groupBy("label", "i").agg(F.sum("w").alias("w"))
+    scale = F.col("n") * F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5)
+    return summed.join(stats, summed["label"] == F.col("_label")).select(
         F.col("label").cast("bigint").alias("label"),
         F.col("i").cast("bigint").alias("i"),
         (mm["lo"] + (mm["hi"] - mm["lo"]) * F.col("i") / (points - 1)).alias("x"),
-        "density",
+        (F.col("w") / scale).alias("density"),
     )
 
 
-def report_plan(scored: DataFrame, score: str = "score", label: str = "label") -> dict[str, DataFrame]:
+def report_plan(
+    scored: DataFrame, score: str = "score", label: str = "label", raw_score: str | None = None
+) -> dict[str, DataFrame]:
     """The whole binary report for one scored set, as named tables.
 
-    The distinct-score table is materialised once; every table below reads
-    it. Write them together with :func:`tessera.sources.io.write_report`.
+    Ranks, medians and the raw histogram use ``raw_score`` (the evaluator's own
+    value, small for right answers) where one is given; curves and the class
+    report use ``score`` (the inverted value). The distinct-score tables are
+    materialised once; every table below reads one. Write them together with :func:`tessera.sources.io.write_report`.
     """
     g = score_table(scored, score, label)
+    raw = score_table(scored, raw_score, label) if raw_score else g
     return {
         "youden": youden(g),
         "class_report": class_report(g),
@@ -456,9 +465,10 @@ def report_plan(scored: DataFrame, score: str = "score", label: str = "label") -
         "pr": pr_points(g),
         "auc_ap": auc_ap(g),
         "confusion": confusion(g),
-        "mann_whitney": mann_whitney_less(g),
-        "medians": median_by_label(g),
+        "mann_whitney": mann_whitney_less(raw),
+        "medians": median_by_label(raw),
         "histogram": score_hist(g),
+        "histogram_raw": score_hist(raw),
         "box": score_box(g),
         "kde": score_kde(g),
     }

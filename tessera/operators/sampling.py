@@ -26,23 +26,16 @@ from tessera.functions.hashing import hash_u
 from tessera.session import materialize
 
 BUCKETS = 4096
-# Broadcast a per-stratum table only up to this many rows (checked on the
-# materialised table); beyond it the planner/AQE picks the join.
-MAX_BROADCAST_ROWS = 100_000
 
 
-def _join_small(big: DataFrame, small: DataFrame, keys: list[str], checked: bool = False) -> DataFrame:
+def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Attach a per-stratum table (one row per stratum).
 
-    With strata it is an equi-join; when ``small`` is materialised
-    (``checked``) its row count is read and it is broadcast only below
-    :data:`MAX_BROADCAST_ROWS`, otherwise the planner/AQE decides from
-    runtime sizes. Without strata, the single row is attached as scalar
+    With strata it is an equi-join whose strategy AQE picks from the bytes it
+    measures at run time. Without strata, the single row is attached as scalar
     subqueries, so no cross join appears in the plan.
     """
     if keys:
-        if checked and small.count() <= MAX_BROADCAST_ROWS:
-            small = F.broadcast(small)
         return big.join(small, keys, "inner")
     one = small.select(F.struct(*small.columns).alias("_one")).scalar()
     return big.withColumn("_one", one).select("*", "_one.*").drop("_one")
@@ -111,7 +104,7 @@ def hashed_flag(
     cut1 = materialize(_cut(c1, keys, "_b1", quota).withColumnRenamed("k", "_k1")
                        .withColumnRenamed("before", "_before1"))
 
-    edge = _join_small(x, cut1.drop("quota"), keys, checked=True).where(F.col("_b1") == F.col("_k1"))
+    edge = _join_small(x, cut1.drop("quota"), keys).where(F.col("_b1") == F.col("_k1"))
     quota2 = cut1.select(*keys, (F.col("quota") - F.col("_before1")).alias("quota"))
     c2 = edge.groupBy(*keys, "_b2").agg(F.count(F.lit(1)).alias("c"))
     cut2 = materialize(_cut(c2, keys, "_b2", quota2).withColumnRenamed("k", "_k2")
@@ -120,7 +113,7 @@ def hashed_flag(
     # Rows of the boundary sub-bucket (about N / B^2) are ranked; the last
     # winner's (draw, id) is the stratum's threshold.
     w = Window.partitionBy(*keys).orderBy("_u", id_col)
-    last = _join_small(edge, cut2, keys, checked=True).where(F.col("_b2") == F.col("_k2"))
+    last = _join_small(edge, cut2, keys).where(F.col("_b2") == F.col("_k2"))
     thr = materialize(
         last.withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") <= F.col("_q2") - F.col("_before2"))
@@ -132,7 +125,7 @@ def hashed_flag(
         limits = materialize(limits.join(thr, keys, "left"))
     else:
         limits = limits.withColumn("_thr", thr.select("_thr").scalar())
-    y = _join_small(x, limits, keys, checked=True)
+    y = _join_small(x, limits, keys)
     in_edge = F.struct(F.col("_u"), F.col(id_col).alias("_id")) <= F.col("_thr")
     taken = (F.col("_b1") < F.col("_k1")) | (
         (F.col("_b1") == F.col("_k1"))

@@ -127,7 +127,7 @@ def iteration_metrics(model, test: DataFrame, id_col: str = "id") -> DataFrame:
     pt = grouped_prefix_table(g, ["iteration"])
     auc = pt.groupBy("iteration").agg(
         (F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0))
-         / (F.first("P") * F.first("N"))).alias("auc")
+         / (F.first("P").cast("double") * F.first("N"))).alias("auc")
     )
     hit = F.col("score") >= 0.5
     f1 = probs.groupBy("iteration").agg(

@@ -21,7 +21,6 @@ N_ALTS = 5
 LP_BASE = 0.1
 LP_SPAN = 8.0
 HEX6 = 16777216.0
-CONTEXT_WORDS = 60
 END_MARKERS = " <end> <model>"
 DOC_STRIDE = 8
 
@@ -111,7 +110,7 @@ def f2_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs.select(F.col("doc_id"), F.col("text").alias("passage"))
     qa = qa.join(d, qa["doc_key"] == d["doc_id"], "inner").join(labels, "doc_id", "left")
 
-    ctx = F.array_join(F.slice(F.split(F.col("passage"), " ", -1), 1, CONTEXT_WORDS), " ")
+    ctx = F.col("passage")  # the whole passage
     prompt = F.concat(F.lit("context: "), F.col("ctx"), F.lit("\n"), F.lit("question: "), F.col("question"))
     eval_id = F.col("conv_id") * 100 + F.col("turn")
     ok = hash32(F.lit("ok"), F.col("conv_id"), F.col("turn")) % 20 != 0

@@ -218,7 +218,7 @@ qa as (
 ),
 j as (
   select qa.eval_id, qa.question, coalesce(p.context, d.text) as ctx
-  from qa left join (select * from ptb where n_m = n_d) p using (eval_id)
+  from qa left join (select * from ptb where n_m = 0 or n_d > 0) p using (eval_id)
   left join documents d on cast(d.doc_id as varchar) = qa.passage_id
 )
 select eval_id::BIGINT as eval_id, ctx is not null as ok,
@@ -233,6 +233,6 @@ qa as (
        and q.role = 'user' and a.role = 'assistant'
 )
 select qa.eval_id::BIGINT as eval_id, p.context, p.change_set
-from qa left join (select * from ptb where n_m = n_d) p using (eval_id)
+from qa left join (select * from ptb where n_m = 0 or n_d > 0) p using (eval_id)
 """,
     }

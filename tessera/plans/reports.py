@@ -42,7 +42,7 @@ def f7_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     j = lab.join(docs, "doc_id")
     return j.select(
-        F.round((F.col("n_chars") % 50 + 10 * F.col("quality")) / 10, 2).alias("score"),
+        F.round((F.col("n_chars") + 10 * F.col("quality")) / 10, 2).alias("score"),
         F.col("quality").cast("int").alias("label"),
     )
 
@@ -57,7 +57,24 @@ def f2_ppl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SETS = {"": f7_lineitem, "_docs": f7_docs, "_ppl": f2_ppl_scores}
+def f7_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 with nearly as many distinct scores as rows: ``score = l_extendedprice``."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_extendedprice").cast("double").alias("score"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+    )
+
+
+def f2_ppl_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluator's own value, PPL: what ranks and medians compare (label 1 lower)."""
+    return f2_ppl_scores(spark, sf_dir).select("label", F.exp(-F.col("score")).alias("score"))
+
+
+SETS = {"": f7_lineitem, "_docs": f7_docs, "_ppl": f2_ppl_scores, "_price": f7_price}
+
+# Statistics of the raw score where the set has one.
+RAW = {"_ppl": f2_ppl_raw}
 
 OPS = {
     "roc_points": R.roc_points,
@@ -83,7 +100,13 @@ def _make(op, src):
     return q
 
 
-QUERIES = {f"{name}{suffix}": _make(op, src) for suffix, src in SETS.items() for name, op in OPS.items()}
+RAW_OPS = ("mwu", "median_by_label")
+
+QUERIES = {
+    f"{name}{suffix}": _make(op, RAW.get(suffix, src) if name in RAW_OPS else src)
+    for suffix, src in SETS.items() for name, op in OPS.items()
+}
+QUERIES |= {f"score_hist{suffix}_raw": _make(R.score_hist, src) for suffix, src in RAW.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +118,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED_SQL = {
     "": "select l_quantity::DOUBLE as score, (l_returnflag = 'R')::INT as label from lineitem",
-    "_docs": """select round((d.n_chars % 50 + 10 * l.quality) / 10, 2)::DOUBLE as score,
+    "_docs": """select round((d.n_chars + 10 * l.quality) / 10, 2)::DOUBLE as score,
                        l.quality::INT as label
                 from labels l join documents d using (doc_id)""",
 }
@@ -105,7 +128,7 @@ f2 as (
   select q.conv_id * 100 + q.turn as eval_id, d.doc_id as passage_id,
          q.text as question, a.text as answer, coalesce(l.quality, 0)::INT as label,
          d.text as passage,
-         array_to_string(list_slice(string_split(d.text, ' '), 1, 60), ' ') as ctx,
+         d.text as ctx,
          ('0x' || substr(md5(concat_ws('|', 'ok', q.conv_id, q.turn)), 1, 8))::BIGINT % 20 <> 0 as ok
   from conversations q
   join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
@@ -131,6 +154,8 @@ ans_ll as (
 )
 """
 
+SCORED_SQL["_price"] = "select l_extendedprice::DOUBLE as score, (l_returnflag = 'R')::INT as label from lineitem"
+RAW_SQL = {"_ppl": "select label, exp(-avg(ll)) as score from ans_ll where ok group by eval_id, label"}
 SCORED_SQL["_ppl"] = "select label, avg(ll) as score from ans_ll where ok group by eval_id, label"
 
 
@@ -310,7 +335,7 @@ st as (select f.label, sqrt(sum((f.score - mu.mu) * (f.score - mu.mu)) / (any_va
               any_value(mu.n) as n from fin f join mu using (label) group by f.label),
 grid as (select i, mm.lo + (mm.hi - mm.lo) * i / 499 as x from range(500) r(i), mm)
 select gl.label::BIGINT as label, grid.i::BIGINT as i, round(any_value(grid.x), 6) as x,
-       round(sum(gl.cnt * exp(-pow((grid.x - gl.score) / st.bw, 2) / 2)) / (any_value(st.n) * any_value(st.bw) * sqrt(2 * pi())), 6) as density
+       round(sum(gl.cnt * exp(-pow((grid.x - gl.score) / st.bw, 2) / 2)) / (any_value(st.n) * nullif(any_value(st.bw), 0) * sqrt(2 * pi())), 6) as density
 from gl join st using (label), grid
 group by gl.label, grid.i
 """,
@@ -322,8 +347,11 @@ def oracle() -> dict[str, str]:
     for suffix in SETS:
         scored = SCORED_SQL[suffix]
         sqls = _report_sql(scored)
+        if suffix in RAW_SQL:
+            raw = _report_sql(RAW_SQL[suffix])
+            sqls |= {name: raw[name] for name in RAW_OPS} | {"score_hist_raw": raw["score_hist"]}
         if suffix == "_ppl":
             sqls = {k: v.replace("with s as (", "with " + F2_SQL + ", s as (", 1) for k, v in sqls.items()}
         for name, sql in sqls.items():
-            out[f"{name}{suffix}"] = sql
+            out[f"score_hist{suffix}_raw" if name == "score_hist_raw" else f"{name}{suffix}"] = sql
     return out

@@ -12,12 +12,14 @@ from tessera.sources.tables import read_table
 SEED = 42
 SAMPLE_N = 500
 TEST_FRAC = 0.2
+# More than any order has lines, so that ids are unique.
+ID_STRIDE = 1_000_000
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def f9_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one training row per line item, ``id = l_orderkey * 16 +
+    """one training row per line item, ``id = l_orderkey * 1000000 +
     line number`` (lines numbered as in F3), features and ``Y``."""
     li = read_table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy(
@@ -25,7 +27,7 @@ def f9_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity", "l_discount", "l_tax", "l_shipdate",
     )
     return li.select(
-        (F.col("l_orderkey") * 16 + F.row_number().over(w)).alias("id"),
+        (F.col("l_orderkey") * ID_STRIDE + F.row_number().over(w)).alias("id"),
         *[F.col(c).cast("double").alias(c) for c in FEATURES],
         (F.col("l_returnflag") == "R").cast("int").alias("Y"),
     )
@@ -50,9 +52,9 @@ QUERIES = {
     "stratified_split": q_stratified_split,
 }
 
-F9_SQL = """
+F9_SQL = f"""
 f9 as (
-  select l_orderkey * 16 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
+  select l_orderkey * {ID_STRIDE} + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
            l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) as id,
          l_quantity::DOUBLE as l_quantity, l_extendedprice::DOUBLE as l_extendedprice,
          l_discount::DOUBLE as l_discount, l_tax::DOUBLE as l_tax,

@@ -1,6 +1,5 @@
 import math
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,40 +8,6 @@ from tessera.functions import metrics as M
 from tessera.functions.steps import SEQ
 
 
-def py_entropy(lps):
-    k = len(lps)
-    if k <= 1:
-        return 0.0
-    a = np.array(lps, dtype=float)
-    m = a.max()
-    lse = m + math.log(np.exp(a - m).sum())
-    z = a - lse
-    return float(-(np.exp(z) * z).sum() / math.log(k))
-
-
-def py_cme(steps, prefix):
-    ents = []
-    for s in steps[prefix:]:
-        if not s:
-            continue
-        raw = [math.exp(a["logprob"]) for a in s]
-        tot = math.fsum(raw)
-        if tot <= 0:
-            continue
-        ents.append(-sum(p / tot * math.log(p / tot) for p in raw if p / tot > 0))
-    return math.inf if not ents else math.fsum(ents) / len(ents)
-
-
-def py_ppl(steps, prefix):
-    lls = [s[0]["logprob"] for s in steps[prefix:] if s]
-    if not lls:
-        return math.inf
-    try:
-        return math.exp(-math.fsum(lls) / len(lls))
-    except OverflowError:
-        return math.inf
-
-
 SEQS = [
     [step(-0.1, -2.0, -3.0), step(-1.0), step(-9999.0, -0.5), None, [], step(-0.2, -0.2, -0.2, -0.2)],
     [step(-9999.0, -9999.0)],
@@ -56,14 +21,14 @@ def seqs(spark):
     return spark.createDataFrame(rows, f"id int, steps {SEQ.simpleString()}")
 
 
-def test_token_entropy_edges(seqs):
+def test_token_entropy_closed_forms(spark, seqs):
     got = {r["id"]: [u["value"] for u in r["u"]] for r in seqs.select("id", M.token_entropy(F.col("steps")).alias("u")).collect()}
-    for i, s in enumerate(SEQS):
-        kept = [x for x in s if x]
-        want = [py_entropy([a["logprob"] for a in x]) for x in kept]
-        assert got[i] == pytest.approx(want, abs=1e-9)
-    # K = 1 gives exactly 0.0, empty and null steps are dropped
-    assert got[0][1] == 0.0 and len(got[0]) == 4
+    # four equal alternatives: 1; a sure one: 0; one alternative: exactly 0; null and empty steps are dropped
+    assert len(got[0]) == 4 and got[0][1] == 0.0 and got[0][2] == pytest.approx(0.0, abs=1e-12) and got[0][3] == pytest.approx(1.0)
+    assert got[1] == pytest.approx([1.0]) and got[2] == []
+    half = spark.createDataFrame([(0, [step(math.log(0.75), math.log(0.25)), step(math.log(0.075), math.log(0.025))])], f"id int, steps {SEQ.simpleString()}")
+    h = 2.0 - 0.75 * math.log2(3.0)  # entropy of (3/4, 1/4) in bits; scaling all alternatives changes nothing
+    assert [u["value"] for u in half.select(M.token_entropy(F.col("steps")).alias("u")).first()["u"]] == pytest.approx([h, h])
 
 
 def test_token_ll_nll_inflection(seqs):
@@ -79,17 +44,23 @@ def test_token_ll_nll_inflection(seqs):
     assert [u["index"] for u in r["ll"]] == [0, 1, 2, 3]
 
 
-@pytest.mark.parametrize("prefix", [0, 1, 2, 6, 10])
-def test_sequence_ppl_cme(seqs, prefix):
-    rows = seqs.select(
-        "id",
-        M.sequence_ppl(F.col("steps"), F.lit(prefix)).alias("ppl"),
-        M.sequence_cme(F.col("steps"), F.lit(prefix)).alias("cme"),
-    ).collect()
-    for r in rows:
-        s = SEQS[r["id"]]
-        assert r["ppl"] == pytest.approx(py_ppl(s, prefix), rel=1e-12)
-        assert r["cme"] == pytest.approx(py_cme(s, prefix), rel=1e-12)
+def test_sequence_values_by_hand(spark, seqs):
+    def values(prefix, df=seqs):
+        rows = df.select(
+            "id", M.sequence_ppl(F.col("steps"), F.lit(prefix)).alias("ppl"), M.sequence_cme(F.col("steps"), F.lit(prefix)).alias("cme")
+        ).collect()
+        return {r["id"]: (r["ppl"], r["cme"]) for r in rows}
+
+    # only the last step of row 0 counts: logprob -0.2, four equal alternatives
+    assert values(5)[0] == pytest.approx((math.exp(0.2), math.log(4)))
+    assert values(3)[0] == pytest.approx((math.exp(0.2), math.log(4)))  # null and empty steps count for nothing
+    assert values(2)[0][0] == math.inf  # exp of 9999.2 / 2
+    assert values(6)[0] == (math.inf, math.inf) and values(0)[2] == (math.inf, math.inf)
+    # halves and quarters: geometric mean of probabilities, mean entropy
+    two = spark.createDataFrame(
+        [(7, [step(math.log(0.5), math.log(0.5)), step(math.log(0.125), *[math.log(0.125)] * 7)])], f"id int, steps {SEQ.simpleString()}"
+    )
+    assert values(0, two)[7] == pytest.approx((4.0, (math.log(2) + math.log(8)) / 2))
 
 
 def test_registry_rejects_duplicates():

