@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 # Fixed values from the reference: default concurrency of model calls and
 # the NLI label that carries the entailment probability.
 DEFAULT_CONCURRENCY = 5
+DEFAULT_TIMEOUT = 50.0
 ENTAILMENT = "entailment"
 
 
@@ -164,3 +165,62 @@ def score_with_function(
                 )
 
     return rows.select(key, *inputs).mapInPandas(run, schema)
+
+
+def steps_with_function(
+    rows: DataFrame,
+    scorer_factory: Callable[[], Callable],
+    key: str,
+    inputs: list[str],
+    concurrency: int = DEFAULT_CONCURRENCY,
+    timeout: float = DEFAULT_TIMEOUT,
+    batch: bool = False,
+) -> DataFrame:
+    """Token steps from an external model, ``key, prompt_logprob,
+    prefix_length, ok, error`` (the columns of the logprobs file, K1).
+
+    ``scorer_factory()`` runs once per task and returns ``fn(row_dict) ->
+    (steps, prefix_length)``, or with ``batch`` ``fn([row_dict]) -> [...]``; a
+    step is a list of ``(decoded_token, logprob, rank)`` or None. A call that
+    raises, or takes longer than ``timeout`` seconds, fails its row only
+    (its rows, with ``batch``).
+    """
+    step = "array<array<struct<decoded_token:string,logprob:double,rank:int>>>"
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, prompt_logprob {step}, prefix_length int, ok boolean, error string"
+    names = ("decoded_token", "logprob", "rank")
+
+    def run(batches):
+        import pyarrow as pa
+
+        fn = scorer_factory()
+        pool = ThreadPoolExecutor(max_workers=max(1, concurrency))
+        try:
+            for part in batches:
+                recs = part.to_pylist()
+                calls = [recs] if batch else [[r] for r in recs]
+                waiting = [pool.submit(fn, c if batch else c[0]) for c in calls]
+                out = []
+                for call, future in zip(calls, waiting):
+                    try:
+                        got = future.result(timeout=timeout)
+                        got = got if batch else [got]
+                        done = [
+                            {"prompt_logprob": [None if s is None else [dict(zip(names, a)) for a in s] for s in steps],
+                             "prefix_length": int(prefix), "ok": True, "error": None}
+                            for steps, prefix in got
+                        ]
+                        if len(done) != len(call):
+                            raise ValueError(f"{len(done)} results for {len(call)} rows")
+                    except Exception as e:  # noqa: BLE001 - a failed call fails its rows
+                        future.cancel()
+                        done = [{"prompt_logprob": [], "prefix_length": 0, "ok": False, "error": f"{type(e).__name__}: {e}"}] * len(call)
+                    out += [{key: r[key], **d} for r, d in zip(call, done)]
+                alternative = pa.struct([("decoded_token", pa.string()), ("logprob", pa.float64()), ("rank", pa.int32())])
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
+                    (key, part.schema.field(key).type), ("prompt_logprob", pa.list_(pa.list_(alternative))),
+                    ("prefix_length", pa.int32()), ("ok", pa.bool_()), ("error", pa.string()),
+                ]))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)  # a hung call must not hold the task
+
+    return rows.select(key, *inputs).mapInArrow(run, schema)

@@ -27,8 +27,11 @@ def test_items_quarantine_and_passages(spark):
     with open(os.path.join(d, "items.jsonl"), "w") as f:
         f.write(json.dumps({"idx": 1, "passage": {"text": "t", "questions": []}}) + "\n")
         f.write("{broken\n")
+        f.write(json.dumps({"idx": None, "passage": {"text": "kept whole", "questions": []}}) + "\n")
     items, bad = io.read_items(spark, os.path.join(d, "items.jsonl"))
-    assert items.count() == 1 and bad.count() == 1
+    assert items.count() == 1 and items.columns == ["idx", "passage"]
+    lines = {r["_corrupt_record"] for r in bad.collect()}
+    assert len(lines) == 2 and "{broken" in lines and any("kept whole" in x for x in lines)
     with open(os.path.join(d, "passages.json"), "w") as f:
         json.dump({"1": "one", "2": "two"}, f)
     p = {r["passage_id"]: r["passage"] for r in io.read_passages(spark, os.path.join(d, "passages.json")).collect()}
@@ -45,3 +48,34 @@ def test_logprobs_write_read(spark):
     back = io.read_logprobs(spark, os.path.join(d, "lp"), ["eval_id", "prompt_logprob", "prefix_length", "ok"]).first()
     assert back["prompt_logprob"][0] is None and back["prompt_logprob"][1][1]["logprob"] == -2.0
     assert back["steps_ok"]
+
+
+def test_steps_with_function(spark):
+    import time
+
+    from tessera.operators.scoring import steps_with_function
+
+    def factory():
+        def fn(rec):
+            if rec["x"] == "boom":
+                raise ValueError("refused")
+            if rec["x"] == "slow":
+                time.sleep(1.5)
+            return [None, [("a", -0.5, 1), ("b", -2.0, 2)]], 1
+
+        return fn
+
+    df = spark.createDataFrame([(1, "ok"), (2, "boom"), (3, "slow")], "eval_id long, x string")
+    got = {r["eval_id"]: r for r in steps_with_function(df.coalesce(1), factory, "eval_id", ["x"], timeout=0.5).collect()}
+    assert got[1]["ok"] and got[1]["prompt_logprob"][0] is None and got[1]["prompt_logprob"][1][1]["logprob"] == -2.0
+    assert got[2]["error"] == "ValueError: refused" and got[3]["error"].startswith("TimeoutError") and got[3]["prefix_length"] == 0
+
+    def batch_factory():
+        return lambda recs: [([], 0) for r in recs]
+
+    assert steps_with_function(df, batch_factory, "eval_id", ["x"], batch=True).where("ok").count() == 3
+    out = tempfile.mkdtemp(prefix="tessera-io-") + "/lp"
+    rows = spark.createDataFrame([(1, "p", 1, "q", "a")], "eval_id long, passage_id string, label int, question string, answer string")
+    scored = steps_with_function(rows.withColumn("x", F.lit("ok")), factory, "eval_id", ["x"])
+    io.write_logprobs(rows.join(scored, "eval_id"), out)
+    assert io.read_logprobs(spark, out, ["eval_id", "prompt_logprob"]).first()["steps_ok"]
