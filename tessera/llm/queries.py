@@ -158,9 +158,72 @@ select h.page_id, host, path, rule, coalesce(v, 'allow') as verdict from h left
 """ % (UPPER, UPPER.lower(), ", ".join(str(r) for r in URL_RULES))
 
 
+_CONTROL = r"<s>|<e>|</s>|\[INST\]|\[/INST\]"
+
+CHAT_SQL = rf"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f as (
+  select *, regexp_matches(x, '{_CONTROL}') or regexp_matches(r, '{_CONTROL}') or contains(r, chr(10)) as escaped,
+         3 + length(r) + 1 + length(x) + case when r = '{chat.ASSISTANT}' then 4 else 13 end as plain,
+         length(r || x) - length(replace(r || x, chr(92), '')) + length(r) - length(replace(r, chr(10), ''))
+           + len(regexp_extract_all(x, '{_CONTROL}')) + len(regexp_extract_all(r, '{_CONTROL}')) as extra
+  from t
+), g as (
+  select conv_id, count(*)::BIGINT as n_turns,
+         string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x) as turns,
+         coalesce(string_agg(x, '' order by turn nulls first, r, x) filter (where r = '{chat.ASSISTANT}'), '') as loss,
+         sum(plain + case when escaped then extra else 0 end)::BIGINT as formatted_chars
+  from f group by conv_id
+)
+select conv_id::BIGINT as conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::BIGINT as loss_chars,
+       sha256(loss) as loss_sha256, formatted_chars from g
+"""
+
+_Q = quality
+QUALITY_SQL = rf"""
+with d as (
+  select doc_id, coalesce(text, '') as t, {_WORDS.format(t="coalesce(text, '')")} as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^{_Q.BLANKS}]')) as lines
+  from documents
+), s as (
+  select doc_id, i, array_to_string(w[i : i + {_Q.REPEAT_WINDOW - 1}], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - {_Q.REPEAT_WINDOW} + 2)) as i from d)
+), again as (
+  select doc_id, count(distinct p) as n
+  from (select doc_id, unnest(range(i, i + {_Q.REPEAT_WINDOW})) as p
+        from (select doc_id, i, count(*) over (partition by doc_id, g) as c from s) where c > 1)
+  group by doc_id
+), m as (
+  select doc_id, l, length(regexp_replace(l, '[{_Q.BLANKS}]+', '', 'g')) as size,
+         length(l) - length(regexp_replace(l, '[{_Q.SYMBOLS}]', '', 'g')) as symbols,
+         length(regexp_replace(l, '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')) as letters,
+         length(l) - length(translate(l, '|»·•', '')) as bars, len(regexp_extract_all(l, '[^{_Q.BLANKS}]+')) as nw
+  from (select doc_id, unnest(lines) as l from d)
+), bad as (
+  select doc_id, count(*) as n, sum(size) as lost from m
+  where symbols * 100 > size * {_Q.MAX_SYMBOL_PERCENT} or letters * 100 < size * {_Q.MIN_LETTER_PERCENT}
+     or ((regexp_matches(l, '{_Q.MENU}') or bars >= {_Q.NAV_BARS}) and nw <= {_Q.NAV_WORDS}) or regexp_matches(l, '{_Q.BOILERPLATE}')
+  group by doc_id
+), o as (
+  select doc_id, len(w)::BIGINT as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT as word_chars,
+         (length(t) - length(regexp_replace(t, '[{_Q.SYMBOLS}]', '', 'g')))::BIGINT as n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT as n_dup_lines, coalesce(again.n, 0)::BIGINT as n_repeat_words,
+         coalesce(bad.n, 0)::BIGINT as n_failed_lines, coalesce(bad.lost, 0)::BIGINT as lost_chars
+  from d left join again using (doc_id) left join bad using (doc_id)
+), b as (
+  select *, n_words < {_Q.MIN_WORDS} or 100 * n_repeat_words > {_Q.MAX_REPEAT_PERCENT} * n_words as base_failed from o
+)
+select *, not base_failed and lost_chars * 100 <= word_chars * {_Q.MAX_LOST_PERCENT} as kept from b
+"""
+
+
 def oracle() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
+        "op2_quality_rules": QUALITY_SQL,
+        "op4_chat_formatting": CHAT_SQL,
         "op6_url_filters": URL_SQL,
         "op9_decontamination": DECONTAMINATION_SQL,
         "op10_jaccard_join": JACCARD_SQL,
