@@ -34,11 +34,13 @@ SYMBOLS = "#*$%&|<>"
 WORD = rf"[^{BLANKS}]+"
 
 #: A line of at most NAV_WORDS words that consists of these only (and bars) is a menu.
+#: A term stands before any shorter one it begins with, since the pattern takes the first that fits.
 NAV_TERMS = (
-    "home|menu|login|log in|logout|log out|sign in|search|about|about us|contact|contact us|help|faq|sitemap|"
+    "home|menu|login|log in|logout|log out|sign in|search|about us|about|contact us|contact|help|faq|sitemap|"
     "next|previous|back|top|share|print|skip to content|read more|more"
 )
-MENU = rf"(?i)^[{BLANKS}|>/»·•-]*(({NAV_TERMS})[{BLANKS}|>/»·•-]*)+$"
+#: Possessive, so that a very long line of such words is matched in a loop, not by recursion.
+MENU = rf"(?i)^[{BLANKS}|>/»·•-]*+(?:(?:{NAV_TERMS})[{BLANKS}|>/»·•-]*+)++$"
 BOILERPLATE = (
     r"(?i)(all rights reserved|copyright (\(c\)|©|[0-9])|©|cookie(s)? (policy|settings|notice)|uses cookies|"
     r"accept (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)|enable javascript|"
@@ -109,7 +111,7 @@ def line_fails(m: Column) -> Column:
     line, size = m["line"], m["size"]
     punctuation = (m["symbols"] * 100 > size * MAX_SYMBOL_PERCENT) | (m["letters"] * 100 < size * MIN_LETTER_PERCENT)
     bars = F.length(line) - F.length(F.translate(line, "|»·•", ""))
-    navigation = (line.rlike(MENU) | (bars >= NAV_BARS)) & (F.size(words_of(line)) <= NAV_WORDS)
+    navigation = (F.size(words_of(line)) <= NAV_WORDS) & (line.rlike(MENU) | (bars >= NAV_BARS))
     return punctuation | navigation | line.rlike(BOILERPLATE)
 
 

@@ -107,13 +107,18 @@ def base_rules(text):
 def test_quality(spark, docs, empty):
     extra = spark.createDataFrame(
         [(20, "a b c d e a b c d e x\n\nhome | about | contact\nx\nx\nAll rights reserved.", "", 1),
-         (21, "a b a b a b a b a b a b", "", 1), (22, "*** $$$ ### word\n" * 20, "", 1)], docs.schema)
+         (21, "a b a b a b a b a b a b", "", 1), (22, "*** $$$ ### word\n" * 20, "", 1),
+         (23, "home " * 100_000, "", 1), (24, "about us contact\n" + "home" * 100_000, "", 1)], docs.schema)
     for r in quality.clean(docs.unionByName(extra)).collect():
         text = dict(EDGE + [(x.doc_id, x.text) for x in extra.collect()])[r.doc_id]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_rules(text)
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.kept <= (not r.base_failed)
         if r.doc_id == 20:
             assert r.cleaned == "a b c d e a b c d e x\nx\nx" and r.n_failed_lines == 2
+        if r.doc_id == 23:
+            assert r.n_failed_lines == 0  # more words than a menu has
+        if r.doc_id == 24:
+            assert r.n_failed_lines == 2
         if r.doc_id == 1:
             assert r.kept
     assert quality.clean(empty).count() == 0
