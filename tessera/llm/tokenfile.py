@@ -37,9 +37,10 @@ END_ID = 2
 SEGMENT_BYTES = 4 << 20
 SEGMENT_DOCS = 1 << 14
 DICTIONARY_BYTES = 112_640
-#: Documents, and characters of each, that the dictionary is trained on.
+#: Documents that the dictionary is trained on.
 SAMPLE_DOCS = 2_000
-SAMPLE_CHARS = 20_000
+#: A short document: the dictionary serves these, since a longer one fills its own window.
+SHORT_CHARS = 20_000
 LEVEL = 3
 
 _SEGMENTS = (
@@ -51,16 +52,17 @@ _SEGMENTS = (
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> bytes:
     """Dictionary from a hashed sample; empty bytes when there is too little to train on.
 
-    Only this helper model sees a sample: SAMPLE_DOCS documents (at most four
-    times as many when ids repeat) of at most SAMPLE_CHARS characters.
+    Only this helper model sees a sample: SAMPLE_DOCS whole texts (at most four
+    times as many when ids repeat) of at most SHORT_CHARS characters.
     """
+    docs = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= SHORT_CHARS)
     n = docs.count()
     if not n:
         return b""
     share = min(1.0, SAMPLE_DOCS / n)
     rows = (
         docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-        .select(F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+        .select(F.col("text").alias("t"))
         .limit(4 * SAMPLE_DOCS)
         .collect()
     )
