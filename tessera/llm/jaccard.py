@@ -8,9 +8,9 @@
    so a very common shingle sends one row a batch.  A set with fewer than k
    shared prefix members has no link and is done.
 3. Of each set's prefix only the rarest lists stay, as many as leave k - 1
-   out: linked sets still share one.  Inside a list, in order of size,
-   neighbours of compatible sizes are joined; the components of these joints
-   are clusters that hold both sides of every link.
+   out: linked sets still share one.  Inside a list, sets of one size are
+   joined, and neighbouring sizes that are compatible; the components of these
+   joints are clusters that hold both sides of every link.
 4. Each cluster is searched exactly, in blocks of about ``BLOCK`` shingles and,
    for larger clusters, in all pairs of blocks.  A search sets the longest
    lists aside (DivideSkip), merges the short ones, and probes the candidates
@@ -285,13 +285,13 @@ def shingle_counts(docs: DataFrame, id_col="doc_id", text_col="text", percent=PE
 def clusters(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Sets that can have a link (node, rep, n), and their clusters (node, component)."""
     posted = sets.filter("n > 0").select("node", "prefix").mapInArrow(_postings, "token long, node long, more binary")
-    by_token = Window.partitionBy("token")
     held = F.lit(1) + F.coalesce(F.length("more"), F.lit(0)) / 8
-    listed = posted.select(
-        "token", F.sum(held.cast("long")).over(by_token).alias("df"), "node", "more",
-        ((F.min("node").over(by_token) < F.max("node").over(by_token)) | (F.count("more").over(by_token) > 0)).alias("_two"),
+    # Counted before the lists meet: a join can split a very long list among tasks, a window cannot.
+    lengths = posted.groupBy("token").agg(
+        F.sum(held.cast("long")).alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("more").alias("c")
     )
-    shared = listed.filter("_two").select("token", "df", "node", "more").mapInArrow(_spread, "token long, df long, node long")
+    lengths = lengths.filter("lo < hi or c > 0").select("token", "df")
+    shared = posted.join(lengths, "token").select("token", "df", "node", "more").mapInArrow(_spread, "token long, df long, node long")
     # Per set: its shared prefix members, at most its prefix length.
     members = shared.groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("members"))
     sizes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
@@ -304,9 +304,13 @@ def clusters(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
         )
     )
     lists = left.select("node", "n", F.explode("rare").alias("m")).select("node", "n", F.col("m.token").alias("token"))
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    chained = lists.select("node", "n", F.lag("node").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("pn"))
-    joints = chained.filter(F.col("pn") * 100 >= F.col("n") * percent).select(F.col("node").alias("a"), F.col("prev").alias("b"))
+    # In a list, sets of one size meet at the least of them, and sizes (few) are chained in order.
+    sizes_held = lists.groupBy("token", "n").agg(F.min("node").alias("first"))
+    same = lists.join(sizes_held, ["token", "n"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    by_size = Window.partitionBy("token").orderBy("n")
+    chained = sizes_held.select("n", "first", F.lag("first").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("pn"))
+    near = chained.filter(F.col("pn") * 100 >= F.col("n") * percent).select(F.col("first").alias("a"), F.col("prev").alias("b"))
+    joints = same.union(near)
     return left.select("node", "rep", "n"), components(joints)
 
 
