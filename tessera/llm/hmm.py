@@ -1,22 +1,26 @@
 """Word-level hidden Markov language model, trained with Baum-Welch on Spark.
 
-The latent chain emits one of a fixed number of word classes: each of the
-``OWN`` most frequent words is a class of its own, all other words fall into
-``HASHED`` classes by the CRC-32 of the word; a word is then drawn from its
-class by its smoothed corpus count.  So the emission table has a fixed size,
-while counts cover the whole vocabulary and stay in Spark:
+Every word of the training texts has emission probabilities of its own, so the
+model grows with the vocabulary; it is a Spark table of expected counts by
+word and state:
 
 * counts of all words of all training texts: partial counts per batch, summed
   by a shuffle;
 * the head of the vocabulary, at most ``HEAD`` words found by a histogram of
-  counts, is broadcast; all rarer words are joined by the word;
-* each Baum-Welch round is one pass over the class sequences of all training
-  texts (in stretches of ``STRETCH`` tokens); expected counts are summed by
-  class in a shuffle, and the driver sees the fixed-size parameter table only;
+  counts, is broadcast with its emissions; all rarer words stay in Spark, and
+  each pass joins their emissions to the texts that hold them;
+* each Baum-Welch round is one pass over all training texts, each as one whole
+  sequence; expected counts are summed by word in a shuffle, and the driver
+  sees the start, the transitions and the head only;
 * the scaled forward recursion scores every whole text exactly.
 
-Per class b of several words, with S_b tokens and V_b words in training,
-P(w | b) = (c + 0.1) / (S_b + 0.1 (V_b + 1)), so unseen words have mass too.
+With E_s(w) the expected count of a word in a state, p_s the share of tokens in
+the state, N tokens and V words in training (the end of a text is a word),
+P(w | s) = (E_s(w) / p_s + 0.1) / (N + 0.1 (V + 1)): over the states it comes to
+the smoothed corpus count, and unseen words have the same mass in every state.
+
+A pass holds about 80 bytes a token, of about ``TRAIN_TOKENS`` tokens or of one
+longer text.
 
 Defined results: null text counts as empty (one end token); a null id counts
 as the empty string when its remainder is taken; repeated rows are rows of
@@ -26,12 +30,14 @@ zero and the model is uniform.  Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +45,19 @@ from tessera.llm.common import written
 
 STATES = 6
 ROUNDS = 5
-OWN = 1000
-HASHED = 1024
 HEAD = 300_000
-STRETCH = 512
 #: Distinct words of a batch that are counted before partial counts go out.
 BATCH_WORDS = 300_000
 #: Tokens whose state probabilities a worker holds at a time.
 TRAIN_TOKENS = 500_000
+#: Tokens of a task in a pass, about: each task sends out the head's expected counts once.
+TASK_TOKENS = 32_000_000
 #: Tokens of the texts that are scored side by side.
-SCORE_TOKENS = 4_000_000
+SCORE_TOKENS = 2_000_000
 FOLDS = 10
 SMOOTH = 0.1
-#: Class ids: 0 is the end of a text, then own words, then hashed classes.
-FIRST_HASHED = 1 + OWN
-CLASSES = FIRST_HASHED + HASHED
+#: Ids: 0 is the end of a text, then head words, then the rarer words of each text by their place in its tail.
+PACKED = "zstd"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -83,18 +87,13 @@ def _count(batches):
         yield rows(counts)
 
 
-def hashed_class(word: bytes) -> int:
-    return FIRST_HASHED + zlib.crc32(word) % HASHED
-
-
 class Vocabulary:
-    """The head of the vocabulary: count and class of each frequent word."""
+    """The head of the vocabulary: id and count of each frequent word."""
 
     def __init__(self, words: list[bytes], counts: list[int], ends: int):
         order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-        self.own = {words[i]: k + 1 for k, i in enumerate(order[:OWN])}
-        self.counts = dict(zip(words, counts))
-        self.ends = ends
+        self.ids = {words[i]: k + 1 for k, i in enumerate(order)}
+        self.counts = np.array([ends, *(counts[i] for i in order)], dtype=float)
 
 
 def _encode(shared):
@@ -102,40 +101,29 @@ def _encode(shared):
 
     def run(batches):
         vocab: Vocabulary = shared.value
-        info = {}
-        for w, c in vocab.counts.items():
-            info[w] = (vocab.own.get(w) or hashed_class(w), math.log10(c + SMOOTH), w in vocab.own)
-        end_log = math.log10(vocab.ends + SMOOTH)
+        logs = np.log10(vocab.counts + SMOOTH)
+        known_end, first = int(vocab.counts[0] > 0), len(vocab.counts)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                out = {k: [] for k in ("held_out", "n_tokens", "n_known", "all_log", "own_log", "classes", "tail")}
+                out = {k: [] for k in ("held_out", "n_tokens", "n_known", "all_log", "ids", "tail")}
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                     words = words_of(text)
-                    classes = np.zeros(len(words) + 1, dtype="<u2")
-                    tail: Counter = Counter()
-                    known, total, own = int(vocab.ends > 0), end_log, end_log
-                    ids = []
-                    for w in words:
-                        hit = info.get(w)
-                        if hit is None:
-                            tail[w] += 1
-                            ids.append(FIRST_HASHED + zlib.crc32(w) % HASHED)
-                        else:
-                            ids.append(hit[0])
-                            total += hit[1]
-                            known += 1
-                            if hit[2]:
-                                own += hit[1]
-                    classes[:-1] = ids
+                    ids = np.zeros(len(words) + 1, dtype="<u4")
+                    ids[:-1] = [vocab.ids.get(w, 0) for w in words]
+                    places, tail = {}, Counter()
+                    for t in np.flatnonzero(ids[:-1] == 0).tolist():
+                        w = words[t]
+                        tail[w] += 1
+                        ids[t] = first + places.setdefault(w, len(places))
+                    head = ids[ids < first]
                     out["held_out"].append(held_out(doc_id))
-                    out["n_tokens"].append(len(classes))
-                    out["n_known"].append(known)
-                    out["all_log"].append(total)
-                    out["own_log"].append(own)
-                    out["classes"].append(classes.tobytes())
-                    out["tail"].append([{"w": w, "n": n} for w, n in tail.items()])
-                types = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), kind]
+                    out["n_tokens"].append(len(ids))
+                    out["n_known"].append(len(head) - 1 + known_end)
+                    out["all_log"].append(float(logs[head].sum()))
+                    out["ids"].append(pa.compress(ids.tobytes(), codec=PACKED, asbytes=True))
+                    out["tail"].append([{"w": w, "n": tail[w]} for w in places])
+                types = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), kind]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(v, t) for v, t in zip(out.values(), types))], ["doc_id", *out]
                 )
@@ -144,26 +132,17 @@ def _encode(shared):
 
 
 _ENCODED = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, all_log double, own_log double, "
-    "classes binary, tail array<struct<w:binary,n:long>>"
+    "doc_id long, held_out boolean, n_tokens long, n_known long, all_log double, "
+    "ids binary, tail array<struct<w:binary,n:long>>"
 )
 
 
 class Model:
-    """Start (K), transitions (K x K) and emissions (CLASSES x K)."""
+    """Start (K), transitions (K x K) and emissions (words x K)."""
 
     def __init__(self, start, moves, emits):
         self.start, self.moves, self.emits = start, moves, emits
 
-    @classmethod
-    def first(cls, class_counts: np.ndarray, states: int):
-        """Corpus frequencies of the classes, shaken differently (but always alike) for each state."""
-        rng = np.random.default_rng(20_240_501)
-        shaken = (class_counts + SMOOTH)[:, None] * np.exp(rng.normal(0.0, 1.0, (len(class_counts), states)))
-        moves = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
-        moves /= moves.sum(axis=1, keepdims=True)
-        return cls(np.full(states, 1.0 / states), moves, shaken / shaken.sum(axis=0))
-
     def forward(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log likelihood of each sequence, by the scaled recursion over all of them at once."""
         order = np.argsort(-lengths, kind="stable")
@@ -186,30 +165,40 @@ class Model:
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         k = len(self.start)
-        start, moves, emits = (x.astype(np.float32) for x in (self.start, self.moves, self.emits))
-        alpha = np.empty((len(flat), k), dtype=np.float32)
-        scales = np.empty(len(flat), dtype=np.float32)
+        start, moves, emits = (x.astype(np.float32, copy=False) for x in (self.start, self.moves, self.emits))
         running = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+        # Tokens by their place in the sequence, the longest sequences first: each step is one slice.
+        begin = np.cumsum(running) - running
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        spot = begin[place]
+        spot += np.repeat(np.arange(len(lengths)), lengths)
+        place += np.repeat(starts, lengths)
+        ids = np.empty(len(spot), dtype=np.int64)
+        ids[spot] = flat[place]
+        del place, spot
+        seen = emits[ids]
+        alpha = np.empty((len(ids), k), dtype=np.float32)
+        scales = np.empty(len(ids), dtype=np.float32)
+        ones, back = np.ones(k, dtype=np.float32), np.ascontiguousarray(moves.T)
         state = None
-        for t, m in enumerate(running):
-            at = starts[:m] + t
-            seen = emits[flat[at]]
-            state = seen * start if t == 0 else (state[:m] @ moves) * seen
-            scale = state.sum(axis=1)
+        for o, m in zip(begin.tolist(), running.tolist()):
+            state = np.multiply(seen[o : o + m], start if state is None else state[:m] @ moves, out=alpha[o : o + m])
+            scale = np.dot(state, ones, out=scales[o : o + m])
             state /= scale[:, None]
-            alpha[at], scales[at] = state, scale
+        seen /= scales[:, None]
         beta = np.ones((len(starts), k), dtype=np.float32)
         pair = np.zeros((k, k))
         for t in range(len(running) - 1, 0, -1):
-            m = running[t]
-            at = starts[:m] + t
-            ahead = emits[flat[at]] * beta[:m] / scales[at, None]
-            pair += alpha[at - 1].T @ ahead
-            alpha[at] *= beta[:m]
-            beta[:m] = ahead @ moves.T
-        alpha[starts] *= beta
-        seen = np.stack([np.bincount(flat, weights=alpha[:, j], minlength=len(emits)) for j in range(k)], axis=1)
-        return alpha[starts].sum(axis=0, dtype=float), pair * self.moves, seen, float(np.log(scales).sum(dtype=float))
+            m, o, before = int(running[t]), int(begin[t]), int(begin[t - 1])
+            ahead = seen[o : o + m]
+            ahead *= beta[:m]
+            pair += alpha[before : before + m].T @ ahead
+            alpha[o : o + m] *= beta[:m]
+            np.dot(ahead, back, out=beta[:m])
+        alpha[: len(starts)] *= beta
+        del seen
+        sums = np.stack([np.bincount(ids, weights=alpha[:, j], minlength=len(emits)) for j in range(k)], axis=1)
+        return alpha[: len(starts)].sum(axis=0, dtype=float), pair * self.moves, sums, float(np.log(scales).sum(dtype=float))
 
 
 def _cut(arrays: list[np.ndarray], longest: int | None):
@@ -224,16 +213,39 @@ def _cut(arrays: list[np.ndarray], longest: int | None):
     return flat, starts, np.minimum(longest, np.repeat(sizes, parts) - index * longest)
 
 
-def _classes(column) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype="<u2") for b in column.to_pylist()]
+class Weights:
+    """What a pass broadcasts: start, transitions, and the head's expected counts by state."""
 
+    def __init__(self, start, moves, head, occupied, n_all, n_words):
+        self.start, self.moves, self.head = start, moves, head
+        occupied = np.maximum(occupied, 1e-9)
+        self.share = occupied / (n_all or occupied.sum())
+        self.mass = n_all + SMOOTH * (n_words + 1)
 
-def _groups(arrays, tokens):
-    """Runs of sequences of about ``tokens`` tokens."""
+    def emits(self, sums: np.ndarray) -> np.ndarray:
+        return (sums / self.share + SMOOTH) / self.mass
+
+
+def _texts(batches, states):
+    """Row, ids, and places, table ids and expected counts of the tail, of every text."""
+    for batch in batches:
+        lists = batch.column(3)
+        ends = np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
+        flat = lists.flatten()
+        places, names = (flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        sums = np.stack([flat.field(2 + k).to_numpy(zero_copy_only=False) for k in range(states)], axis=1)
+        for r, (row, n, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            own = slice(int(ends[r - 1]) if r else 0, int(ends[r]))
+            ids = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec=PACKED), dtype="<u4")
+            yield row, ids, places[own], names[own], sums[own]
+
+
+def _groups(texts, tokens):
+    """Runs of texts of about ``tokens`` tokens."""
     held, size = [], 0
-    for a in arrays:
-        held.append(a)
-        size += len(a)
+    for text in texts:
+        held.append(text)
+        size += len(text[1])
         if size >= tokens:
             yield held
             held, size = [], 0
@@ -241,75 +253,118 @@ def _groups(arrays, tokens):
         yield held
 
 
+def _side_by_side(group, weights: Weights, head: np.ndarray):
+    """The model of a group (head, then the tails of its texts), its ids, and the tails' ids there and in the tables."""
+    first, shift, arrays, spots = len(head), 0, [], []
+    for _, ids, places, _, _ in group:
+        arrays.append(np.where(ids >= first, ids + np.uint32(shift), ids))
+        spots.append(places.astype(np.int64) + shift)
+        shift += max(0, int(ids.max()) + 1 - first)
+    spots = np.concatenate(spots)
+    sums = np.zeros((shift, head.shape[1]))
+    sums[spots] = np.concatenate([t[4] for t in group])
+    model = Model(weights.start, weights.moves, np.concatenate([head, weights.emits(sums).astype(head.dtype)]))
+    return model, arrays, first + spots, np.concatenate([t[3] for t in group])
+
+
 def _expect(shared):
-    """Expected counts of a partition: a row per class, then transitions, start and log likelihood."""
+    """Expected counts of a partition by id; below 0: start, log likelihood, occupation, transitions."""
 
-    def run(batches):
-        model: Model = shared.value
-        k = len(model.start)
-        total = np.zeros((CLASSES + k + 2, k))
-        for batch in batches:
-            for arrays in _groups(_classes(batch.column(0)), TRAIN_TOKENS):
-                # A long text is cut before the groups are formed, so no group is much larger.
-                flat, starts, lengths = _cut(arrays, STRETCH)
-                for at in range(0, len(starts), TRAIN_TOKENS // STRETCH):
-                    s, n = starts[at : at + TRAIN_TOKENS // STRETCH], lengths[at : at + TRAIN_TOKENS // STRETCH]
-                    begin, end = int(s[0]), int(s[-1] + n[-1])
-                    start, pair, seen, loglik = model.expect(flat[begin:end], s - begin, n)
-                    total[:CLASSES] += seen
-                    total[CLASSES : CLASSES + k] += pair
-                    total[CLASSES + k] += start
-                    total[CLASSES + k + 1, 0] += loglik
-        rows = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), *(pa.array(total[rows, j]) for j in range(k))], ["id", *(f"s{j}" for j in range(k))]
+    def rows(ids, sums):  # float is what they were computed in; Spark sums them in double
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), *(pa.array(sums[:, j].astype(np.float32)) for j in range(sums.shape[1]))],
+            ["id", *(f"s{j}" for j in range(sums.shape[1]))],
         )
 
+    def run(batches):
+        weights: Weights = shared.value
+        k, head = len(weights.start), weights.emits(weights.head).astype(np.float32)
+        total, fixed = np.zeros(head.shape), np.zeros((3 + k, k))
+        for group in _groups(_texts(batches, k), TRAIN_TOKENS):
+            model, arrays, spots, names = _side_by_side(group, weights, head)
+            start, pair, seen, loglik = model.expect(*_cut(arrays, None))
+            total += seen[: len(head)]
+            del group, arrays
+            fixed[0] += start
+            fixed[1, 0] += loglik
+            fixed[2] += seen.sum(axis=0)
+            fixed[3:] += pair
+            if len(spots):
+                yield rows(names, seen[spots])
+        hit = np.flatnonzero(total.any(axis=1))
+        ids = np.r_[-1 - np.arange(3 + k), hit]
+        yield rows(ids, np.concatenate([fixed, total[hit]]))
+
     return run
 
 
-def train(encoded: DataFrame, class_counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """Baum-Welch over all training rows. Returns the model and each round's log likelihood before its update."""
-    spark = encoded.sparkSession
-    model, history = Model.first(class_counts, states), []
-    sequences = encoded.filter("not held_out").select("classes")
-    schema = "id long, " + ", ".join(f"s{j} double" for j in range(states))
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-        parts = sequences.mapInArrow(_expect(shared), schema)
-        sums = parts.groupBy("id").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states))).collect()
+def _with_tails(sequences: DataFrame, rare: DataFrame, tail: DataFrame, states: int, tasks: int) -> DataFrame:
+    """_row, n_tokens, ids and the expected counts of the text's rarer words that are in ``tail``."""
+    held = rare.join(tail, "id").repartition(tasks, "_row").groupBy("_row").agg(
+        F.collect_list(F.struct("place", "id", *(f"s{j}" for j in range(states)))).alias("tail")
+    )
+    return sequences.join(held, "_row", "left").select("_row", "n_tokens", "ids", "tail")
+
+
+def release(spark, tables=()) -> None:
+    """Delete written tables that no plan reads any more, and the shuffle files of plans that are gone.
+
+    By itself Spark deletes the latter when the driver's heap fills.
+    """
+    sc = spark.sparkContext
+    for name in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    sc._jvm.System.gc()
+
+
+def train(
+    sequences: DataFrame, rare: DataFrame, tail: DataFrame, head_counts: np.ndarray, n_all: int, n_words: int,
+    states: int = STATES, rounds: int = ROUNDS, tasks: int = 8,
+) -> tuple[Weights, DataFrame, list[float]]:
+    """Baum-Welch over all training rows: weights, tail emissions, and each round's log likelihood before its update."""
+    spark, names, history = sequences.sparkSession, [f"s{j}" for j in range(states)], []
+    # Corpus counts, for the head shaken differently (but always alike) for each state.
+    shaken = np.exp(np.random.default_rng(20_240_501).normal(0.0, 1.0, (len(head_counts), states)))
+    head = head_counts[:, None] * shaken / shaken.sum(axis=1, keepdims=True)
+    moves = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
+    moves /= moves.sum(axis=1, keepdims=True)
+    occupied = head.sum(axis=0) + (n_all - head_counts.sum()) / states
+    weights = Weights(np.full(states, 1.0 / states), moves, head, occupied, n_all, n_words)
+    old, tail = [], tail.select("id", *((F.col("c") / states).alias(n) for n in names))
+    schema = "id long, " + ", ".join(f"{n} float" for n in names)
+    for _ in range(rounds if n_all else 0):
+        shared = spark.sparkContext.broadcast(weights)
+        parts = _with_tails(sequences.filter("not held_out"), rare.filter("not held_out"), tail, states, tasks)
+        parts = parts.mapInArrow(_expect(shared), schema)
+        sums = written(parts.groupBy("id").agg(*(F.sum(n).alias(n) for n in names)))
         shared.unpersist()
-        total = np.zeros((CLASSES + states + 2, states))
-        for row in sums:  # at most one row per class and parameter
-            total[row["id"]] = row[1:]
-        if not total.any():
-            break
-        emits = total[:CLASSES] + 1e-3 * (class_counts + SMOOTH)[:, None] / (class_counts + SMOOTH).sum()
-        pair = total[CLASSES : CLASSES + states] + 1e-3
-        start = total[CLASSES + states] + 1e-3
-        history.append(float(total[CLASSES + states + 1, 0]))
-        model = Model(start / start.sum(), pair / pair.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
-    return model, history
+        del parts
+        release(spark, old)
+        old = [sums]
+        fixed = sums.filter(F.col("id") < len(head_counts)).toArrow()  # at most HEAD rows and the parameters
+        ids = fixed.column("id").to_numpy()
+        values = np.stack([fixed.column(n).to_numpy() for n in names], axis=1)
+        small = np.zeros((3 + states, states))
+        small[-1 - ids[ids < 0]] = values[ids < 0]
+        head = np.zeros((len(head_counts), states))
+        head[ids[ids >= 0]] = values[ids >= 0]
+        history.append(float(small[1, 0]))
+        start, pair = small[0] + 1e-3, small[3:] + 1e-3
+        weights = Weights(start / start.sum(), pair / pair.sum(axis=1, keepdims=True), head, small[2], n_all, n_words)
+        tail = sums.filter(F.col("id") >= len(head_counts))
+    return weights, tail, history
 
 
 def _score(shared):
-    def scored(model, class_log, rows, arrays):
-        flat, starts, lengths = _cut(arrays, None)
-        loglik = model.forward(flat, starts, lengths) / math.log(10.0)
-        sums = np.add.reduceat(class_log[flat], starts)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(loglik - sums)], ["_row", "_chain"])
-
     def run(batches):
-        model, class_log = shared.value
-        rows, arrays = [], []
-        for batch in batches:
-            rows += batch.column(0).to_pylist()
-            arrays += _classes(batch.column(1))
-            if sum(map(len, arrays)) >= SCORE_TOKENS:  # many texts side by side in one recursion
-                yield scored(model, class_log, rows, arrays)
-                rows, arrays = [], []
-        if rows:
-            yield scored(model, class_log, rows, arrays)
+        weights: Weights = shared.value
+        head = weights.emits(weights.head)
+        for group in _groups(_texts(batches, len(weights.start)), SCORE_TOKENS):  # many texts side by side in one recursion
+            model, arrays, _, _ = _side_by_side(group, weights, head)
+            loglik = model.forward(*_cut(arrays, None)) / math.log(10.0)
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in group], pa.int64()), pa.array(loglik)], ["_row", "score"])
 
     return run
 
@@ -320,7 +375,8 @@ def score_documents(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = written(narrow.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    counts = written(narrow.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+                     .withColumn("id", F.monotonically_increasing_id()))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     ends = narrow.select("doc_id").filter(fold != 0).count()
 
@@ -334,41 +390,44 @@ def score_documents(
         if held > HEAD:
             break
         least = lv
-    head = [] if least is None else counts.filter(level >= least).collect()
-    vocab = Vocabulary([bytes(r["word"]) for r in head], [r["c"] for r in head], ends)
-    hashed = (F.lit(FIRST_HASHED) + F.pmod(F.crc32("word"), F.lit(HASHED))).cast("int")
-    class_counts, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy(hashed.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        class_counts[r["k"]], class_words[r["k"]] = r["c"], r["n"]
-    n_all, n_words = int(class_counts.sum()) + ends, int(class_words.sum()) + (ends > 0)
-    for w, k in vocab.own.items():  # own words leave their hashed class
-        h, c = hashed_class(w), vocab.counts[w]
-        class_counts[h] -= c
-        class_words[h] -= 1
-        class_counts[k] = c
-    class_counts[0] = ends
-    class_log = np.zeros(CLASSES)  # what a class of several words divides by
-    class_log[FIRST_HASHED:] = np.log10(class_counts[FIRST_HASHED:] + SMOOTH * (class_words[FIRST_HASHED:] + 1))
+    head = counts.limit(0) if least is None else counts.filter(level >= least)
+    head = head.toArrow()  # at most HEAD rows
+    vocab = Vocabulary(head.column("word").to_pylist(), head.column("c").to_pylist(), ends)
+    del head
+    n_all, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_all, n_words = n_all + ends, n_words + (ends > 0)
 
     shared = spark.sparkContext.broadcast(vocab)
     encoded = written(narrow.mapInArrow(_encode(shared), _ENCODED).withColumn("_row", F.monotonically_increasing_id()))
-    model, _ = train(encoded, class_counts, states, rounds)
-
-    # Rare words: one row per text and word, joined with the counts, summed back per text.
-    rare = encoded.select("_row", F.explode("tail").alias("t")).select("_row", F.col("t.w").alias("word"), F.col("t.n").alias("n"))
-    found = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    tails = found.groupBy("_row").agg(
+    # Dealt by row once; every pass brings the rarer words' emissions there.
+    side = spark.sparkContext.defaultParallelism
+    n_tokens = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    tasks = side * max(1, -(-n_tokens // (side * TASK_TOKENS)))
+    sequences = encoded.select("_row", "held_out", "n_tokens", "ids").repartition(tasks, "_row")
+    sequences = sequences.sortWithinPartitions("_row").persist(StorageLevel.DISK_ONLY)
+    # Rare words: one row per text and word, with the word's count and id if training texts hold it.
+    first = len(vocab.counts)
+    rare = encoded.select("_row", "held_out", F.posexplode("tail").alias("place", "t")).select(
+        "_row", "held_out", "place", F.col("t.w").alias("word"), F.col("t.n").alias("n")
+    )
+    rarer = (counts if least is None else counts.filter(level < least)).withColumn("id", F.col("id") + first)
+    found = written(rare.join(rarer, "word", "left").drop("word"))
+    known = found.filter("id is not null").select("_row", "held_out", "place", "id")
+    weights, tail, _ = train(sequences, known, rarer, vocab.counts, n_all, n_words, states, rounds, tasks)
+    scorer = spark.sparkContext.broadcast(weights)
+    chain = written(_with_tails(sequences, known, tail, states, tasks).mapInArrow(_score(scorer), "_row long, score double"))
+    sequences.unpersist()
+
+    tails = found.withColumn("c", F.coalesce("c", F.lit(0))).groupBy("_row").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("_log"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
     )
-    scorer = spark.sparkContext.broadcast((model, class_log))
-    chain = encoded.select("_row", "classes").mapInArrow(_score(scorer), "_row long, _chain double")
-    rest = encoded.drop("classes", "tail").join(tails, "_row", "left").join(chain, "_row")
+    rest = encoded.drop("ids", "tail").join(tails, "_row", "left").join(chain, "_row")
     all_log = F.col("all_log") + F.coalesce("_log", F.lit(0.0))
     return rest.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (all_log - F.col("n_tokens") * math.log10(n_all + SMOOTH * (n_words + 1))).alias("base_score"),
-        (all_log - F.col("own_log") + F.col("_chain")).alias("score"),
+        "score",
     )

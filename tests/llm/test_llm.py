@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import chat, decontamination, encode, hmm, jaccard, packing, pii, quality, tokenfile, toxicity, urls
@@ -304,6 +305,41 @@ def test_hmm_scores(spark, empty):
     assert hmm.score_documents(empty).count() == 0
 
 
+def test_hmm_words_emit_for_themselves(spark, monkeypatch):
+    """Two kinds of text that differ in rare words only, against one recursion over plain lists."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 1500, 60))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r for r in hmm.score_documents(df, states=2).collect()}
+    monkeypatch.setattr(hmm, "HEAD", 700)  # now most words are joined
+    for r in hmm.score_documents(df, states=2).collect():
+        assert math.isclose(r.base_score, whole[r.doc_id].base_score, rel_tol=1e-9)
+    held = [r for r in whole.values() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.1  # decimal digits a token; classes of hashed words gave less
+    # Probabilities of all words and one unseen word sum to 1 in every state, and the shares give the corpus counts back.
+    sums = rng.random((40, 3)) * 9
+    n = sums.sum()
+    weights = hmm.Weights(None, None, sums, sums.sum(axis=0), n, 40)
+    emits = weights.emits(np.concatenate([sums, np.zeros((1, 3))]))
+    assert np.allclose(emits.sum(axis=0), 1) and np.allclose(emits[:40] @ weights.share, (sums.sum(axis=1) + 0.1) / (n + 4.1))
+    assert np.allclose(emits[40], 0.1 / (n + 4.1))
+
+
+def test_hmm_counts_starts_of_texts_only():
+    weights = hmm.Weights(np.full(2, 0.5), np.full((2, 2), 0.5), np.ones((2, 2)), np.full(2, 2.0), 4, 2)
+    shared = type("Shared", (), {"value": weights})
+    ids = np.r_[np.ones(1500), 0].astype("<u4").tobytes()
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("id", pa.int64()), ("s0", pa.float64()), ("s1", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2]), pa.array([1501, 1501]), pa.array([pa.compress(ids, codec="zstd", asbytes=True)] * 2), pa.array([None, []], kind)],
+        ["_row", "n_tokens", "ids", "tail"])
+    out = {r["id"]: r for b in hmm._expect(shared)([batch]) for r in b.to_pylist()}
+    assert math.isclose(out[-1]["s0"] + out[-1]["s1"], 2, rel_tol=1e-4)  # one start a text, however long
+    moves = sum(out[k][c] for k in (-4, -5) for c in ("s0", "s1"))
+    assert math.isclose(moves, 3000, rel_tol=1e-4)
+
+
 def test_toxicity_chain(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows, labels = [], []
