@@ -13,8 +13,12 @@
    joints are clusters that hold both sides of every link.
 4. Each cluster is searched exactly, in blocks of about ``BLOCK`` shingles and,
    for larger clusters, in all pairs of blocks.  A search sets the longest
-   lists aside (DivideSkip), merges the short ones, and probes the candidates
-   for the long lists by binary search.  No list or cluster is capped.
+   lists aside (DivideSkip), counts the members of the short ones in an array
+   over the block (no heap merge), and probes the candidates for the long lists
+   by binary search.  No list or cluster is capped.
+5. Each link is found in exactly one block pair.  A search gives a spanning
+   forest of its links and, for each set, the rows of the sets that it links
+   with, so links are counted whole while rows stay linear in the sets.
 
 Shingles and nodes are compared by 64-bit hashes.
 
@@ -202,9 +206,14 @@ class Block:
         keep = counts >= least
         return found[keep], counts[keep]
 
-    def groups(self, percent: int) -> list[int]:
-        """The least linked index of each set, over links inside the block."""
+    def links(self, percent: int, rows: np.ndarray, block: np.ndarray, inside: set) -> tuple[list[int], np.ndarray]:
+        """The least linked index of each set, and the rows of the sets that it links with.
+
+        Links between blocks count here; those inside one only if the block is in ``inside``.
+        """
         root = list(range(len(self.sets)))
+        linked = np.zeros(len(self.sets), dtype=np.int64)
+        own = np.isin(block, list(inside))
 
         def top(i):
             while root[i] != i:
@@ -212,49 +221,57 @@ class Block:
                 i = root[i]
             return i
 
-        done = 0
         for i, s in enumerate(self.sets):
-            if done == len(self.sets) - 1:
-                break  # all in one component
             found, shared = self.search(s, least_overlap(len(s), percent))
             union = len(s) + self.sizes[found] - shared
-            for j in found[(100 * shared >= percent * union) & (found != i)]:
-                a, b = top(i), top(int(j))
+            hits = found[(100 * shared >= percent * union) & (found != i)]
+            linked[i] = rows[hits[(block[hits] != block[i]) | own[i]]].sum()
+            for j in hits.tolist():
+                a, b = top(i), top(j)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    done += 1
-        return [top(i) for i in range(len(self.sets))]
+        return [top(i) for i in range(len(self.sets))], linked
 
 
 def _search(percent: int):
-    """Rows sorted by (cluster, part): edges from each set to the first one of its component there."""
+    """Rows sorted by (cluster, part): from each set to the first one of its component there, and its linked rows there."""
 
-    def edges(nodes, sets):
-        least = Block(sets).groups(percent) if len(sets) > 1 else [0]
-        return [(nodes[i], nodes[j]) for i, j in enumerate(least) if i != j]
+    def found(key, nodes, sets, rows, blocks):
+        if len(sets) < 2:
+            return []
+        # Links inside block k are counted with the block after it (in a circle), so in one pair only.
+        _, part, nb = key
+        low, high = divmod(part, nb)
+        inside = {k for k, o in ((low, high), (high, low)) if nb == 1 or o == (k + 1) % nb}
+        least, linked = Block(sets).links(percent, np.array(rows), np.array(blocks), inside)
+        return [(nodes[i], nodes[j], int(n)) for i, (j, n) in enumerate(zip(least, linked)) if i != j or n]
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1, 2)], ["a", "b", "linked"])
 
     def run(batches):
-        key, nodes, sets = None, [], []
+        key, held = None, ([], [], [], [])
         for batch in batches:
             out = []
-            arrays = batch.column(3)
+            arrays = batch.column(6)
             values = arrays.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(arrays.value_lengths().to_numpy(zero_copy_only=False))
-            for r, (cluster, part, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                if (cluster, part) != key:
-                    out += edges(nodes, sets)
-                    key, nodes, sets = (cluster, part), [], []
+            for r, (cluster, part, node, nb, rows, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
+                if (cluster, part, nb) != key:
+                    if key:
+                        out += found(key, *held)
+                    key, held = (cluster, part, nb), ([], [], [], [])
+                nodes, sets, copies, blocks = held
                 if not nodes or nodes[-1] != node:  # copies of a node stand together
                     nodes.append(node)
                     sets.append(values[ends[r - 1] if r else 0 : ends[r]].copy())
+                    copies.append(rows)
+                    blocks.append(block)
             if out:
                 yield batch_of(out)
-        rows = edges(nodes, sets)
-        if rows:
-            yield batch_of(rows)
+        out = found(key, *held) if key else []
+        if out:
+            yield batch_of(out)
 
     return run
 
@@ -283,7 +300,7 @@ def shingle_counts(docs: DataFrame, id_col="doc_id", text_col="text", percent=PE
 
 
 def clusters(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Sets that can have a link (node, rep, n), and their clusters (node, component)."""
+    """Sets that can have a link (node, rep, n, copies), and their clusters (node, component)."""
     posted = sets.filter("n > 0").select("node", "prefix").mapInArrow(_postings, "token long, node long, more binary")
     by_token = Window.partitionBy("token")
     held = F.lit(1) + F.coalesce(F.length("more"), F.lit(0)) / 8
@@ -294,12 +311,12 @@ def clusters(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     shared = listed.filter("_two").select("token", "df", "node", "more").mapInArrow(_spread, "token long, df long, node long")
     # Per set: its shared prefix members, at most its prefix length.
     members = shared.groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("members"))
-    sizes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    sizes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"))
     least = lambda n: F.ceil(n * percent / F.lit(100)).cast("long")
     need = F.least(F.floor(least(F.col("n")) / 10) + 1, least(least(F.col("n"))))
     left = written(
         members.join(sizes, "node").withColumn("need", need).filter(F.size("members") >= F.col("need")).select(
-            "node", "rep", "n",
+            "node", "rep", "n", "copies",
             F.slice(F.array_sort("members"), F.lit(1), (F.size("members") - F.col("need") + 1).cast("int")).alias("rare"),
         )
     )
@@ -311,11 +328,11 @@ def clusters(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     chained = sizes_held.select("n", "first", F.lag("first").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("pn"))
     near = chained.filter(F.col("pn") * 100 >= F.col("n") * percent).select(F.col("first").alias("a"), F.col("prev").alias("b"))
     joints = same.union(near)
-    return left.select("node", "rep", "n"), components(joints)
+    return left.select("node", "rep", "n", "copies"), components(joints)
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col="doc_id", text_col="text", percent=PERCENT, size=SHINGLE) -> DataFrame:
-    """Edges (a, b) between nodes; their components are those of all links."""
+    """Edges (a, b) between nodes, whose components are those of all links (a = b: none), and linked rows of a."""
     left, named = clusters(sets, percent)
     named = named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
     wanted = written(left.join(named, "node"))
@@ -323,32 +340,38 @@ def links(docs: DataFrame, sets: DataFrame, id_col="doc_id", text_col="text", pe
     whole = narrow.mapInArrow(_whole(Marks(wanted.select("rep")), size), "node long, shingles array<long>")
     # Blocks of about BLOCK shingles; a cluster of several is searched in all pairs of blocks.
     blocks = wanted.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("nb"))
-    placed = wanted.join(blocks, "component").select("node", "component", "nb", F.pmod(F.xxhash64("node"), "nb").alias("k"))
+    placed = wanted.join(blocks, "component").select("node", "component", "copies", "nb", F.pmod(F.xxhash64("node"), "nb").alias("k"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
     # The pair (k, k) is part of every pair with k, so it is searched alone only in clusters of one block.
-    placed = placed.select("node", "component", "nb", "k", others).filter("nb = 1 or o <> k")
+    placed = placed.select("node", "component", "copies", "nb", "k", others).filter("nb = 1 or o <> k")
     part = F.least("k", "o") * F.col("nb") + F.greatest("k", "o")
-    placed = placed.select("node", "component", part.alias("part"))
+    placed = placed.select("node", "component", part.alias("part"), "nb", "copies", "k")
     dealt = whole.filter("node is not null").join(placed, "node")
     dealt = dealt.repartition("component", "part").sortWithinPartitions("component", "part", "node")
-    return dealt.select("component", "part", "node", "shingles").mapInArrow(_search(percent), "a long, b long")
+    dealt = dealt.select("component", "part", "node", "nb", "copies", "k", "shingles")
+    return dealt.mapInArrow(_search(percent), "a long, b long, linked long")
 
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id, n_links (linked rows, copies with them) of every document."""
     sets = written(shingle_counts(docs, id_col, text_col, percent, size))
-    edges = links(docs, sets, id_col, text_col, percent, size)
-    named = components(edges)
+    found = written(links(docs, sets, id_col, text_col, percent, size))
+    named = components(found.filter("a <> b").select("a", "b"))
+    linked = found.groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
     members = sets.select("doc_id", "n", "node")
-    least = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    group = least.join(named, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    group = least.join(named, "node", "left").join(linked, "node", "left").select(
+        "node", "least", F.coalesce("component", "node").alias("component"),
+        (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
+    )
     ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = group.join(ids, "component").select("node", "component_id")
+    by_node = group.join(ids, "component").select("node", "component_id", "n_links")
     return members.join(by_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 

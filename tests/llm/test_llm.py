@@ -237,6 +237,30 @@ def test_jaccard_join(spark, docs, empty, monkeypatch):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, 8, None])
 
 
+def test_jaccard_counts_every_link_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(50):  # near copies of one text, some of them twice, and rows without a link
+        w = [f"t{k}" for k in range(60)]
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, 60))] = f"z{int(rng.integers(0, 99))}"
+        rows += [(i, " ".join(w))] * (1 + i % 2)
+    rows += [(100, None), (101, "alone here"), (None, rows[0][1])]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(t or "")
+        m = min(5, len(w))
+        sets.append({tuple(w[k : k + m]) for k in range(len(w) - m + 1)} if m else set())
+    want = Counter(
+        (str(d), sum(1 for j, t in enumerate(sets) if j != i and s and 100 * len(s & t) >= 80 * len(s | t)))
+        for i, ((d, _), s) in enumerate(zip(rows, sets))
+    )
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1_000_000, 1000, 300):  # one block, two or three, and many
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert Counter((str(r.doc_id), r.n_links) for r in jaccard.jaccard_components(df).collect()) == want
+
+
 def test_t_occurrence_equals_counting():
     rng = np.random.default_rng(5)
     common = np.arange(40)
