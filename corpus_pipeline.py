@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Learned filters and a tokenizer are not SQL; the stages are tested against brute force.
+#: Learned filters and a tokenizer are not SQL; the operators behind the stages are tested one by one.
 ORACLE_SQL = None
 
 

@@ -13,7 +13,8 @@ Words: A-Z are lower-cased; characters outside ASCII letters and digits end a
 word, all others belong to words.  In UTF-8 this is a table over bytes.
 
 Defined results: null or wordless texts have no words and no hits; null or
-wordless items give no window; repeated documents are judged row by row, and
+wordless items give no window; items without an id hit, but have no name in
+``items``; repeated documents are judged row by row, and
 items of equal text each count.  Other columns are not read.
 """
 
@@ -113,7 +114,7 @@ def _scanner(shared):
                 ranges, names = search(words, tables)
                 counts.append(len(words))
                 hits.append([{"a": a, "b": b} for a, b in ranges])
-                items.append(sorted(names))
+                items.append(sorted(names - {None}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
                  pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))],
@@ -126,12 +127,12 @@ def _scanner(shared):
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
     """Number of blocks, and a function that broadcasts the tables of one."""
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("t"))
-    tests = tests.filter("t is not null and item is not null")
+    tests = tests.filter("t is not null")
     size = tests.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-int(size) // (6 * block_words)))  # about six characters a word
 
     def tables(k: int):
-        block = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        block = tests.filter(F.pmod(F.xxhash64(F.coalesce("item", "t")), F.lit(blocks)) == k)
         rows = [(r["item"], r["t"].encode()) for r in block.toLocalIterator()]
         return benchmark.sparkSession.sparkContext.broadcast(matchers(rows, window))
 
@@ -160,7 +161,7 @@ def find_contamination(
         # The first scan keeps every row; the others only rows with hits, once each.
         source = narrow if not k else narrow.dropDuplicates(["doc_id", "_h"])
         scan = source.mapInArrow(_scanner(tables(k)), _OUT)
-        scans.append(scan if not k else scan.filter("size(items) > 0"))
+        scans.append(scan if not k else scan.filter("size(hits) > 0"))
     found = scans[0]
     if blocks > 1:
         more = scans[1]

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import Marks, written
 from tessera.llm.components import components
@@ -356,6 +357,11 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (linked rows, copies with them) of every document."""
+    return judged(docs, id_col, text_col, percent, size).drop("node", "component")
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+    """The columns of ``jaccard_components``, and the set's node and its component's (null if empty)."""
     sets = written(shingle_counts(docs, id_col, text_col, percent, size))
     found = written(links(docs, sets, id_col, text_col, percent, size))
     named = components(found.filter("a <> b").select("a", "b"))
@@ -367,29 +373,44 @@ def jaccard_components(
         (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
     )
     ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = group.join(ids, "component").select("node", "component_id", "n_links")
+    by_node = group.join(ids, "component").select("node", "component", "component_id", "n_links")
     return members.join(by_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node", "component",
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE
+) -> DataFrame:
     """Documents, with all their columns, of which each component keeps its least id once.
 
-    Rows that repeat an id are one document.  Rows without an id cannot be
-    told apart, so all of them stay.
+    Rows that repeat an id are judged by id and set, so a text in another
+    component stays.  Rows without an id cannot be told apart, so all of them
+    stay.
     """
-    named = written(jaccard_components(docs, id_col=id_col, **kw).select(F.col("doc_id").alias("_id"), "component_id"))
-    gone = named.filter("component_id <> _id").select("_id").distinct()
+    found = judged(docs, id_col, text_col, percent, size)
+    named = written(found.select(F.col("doc_id").alias("_id"), "component_id", F.col("node").alias("_node"), F.col("component").alias("_component")))
+    repeated = written(named.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"))
+    gone = named.filter("component_id <> _id").select("_id").join(repeated, "_id", "left_anti")
     # Only documents whose mark is set meet the ids in a join; the others pass as they are.
     marked, others = Marks(gone).split(docs, id_col)
     rest = others.unionByName(marked.join(gone, F.col(id_col) == F.col("_id"), "left_anti"))
-    repeated = named.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id")
     if repeated.isEmpty():
         return rest
     marked, others = Marks(repeated).split(rest, id_col)
-    once = marked.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
     single = marked.join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
+    where = docs.columns.index(text_col)
+
+    def with_node(batches):
+        for batch in batches:
+            nodes = [_node(shingle_set(t, size)) for t in batch.column(where).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "_set"])
+
+    again = marked.join(repeated, F.col(id_col) == F.col("_id"), "left_semi")
+    again = again.mapInArrow(with_node, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    stay = named.join(repeated, "_id", "left_semi").filter("component_id = _id").select("_id", "_node", "_component").distinct()
+    once = again.join(stay, (F.col(id_col) == F.col("_id")) & F.col("_set").eqNullSafe(F.col("_node")))
+    once = once.dropDuplicates([id_col, "_component"]).select(*docs.columns)
     return others.unionByName(single).unionByName(once)

@@ -364,6 +364,22 @@ def test_hmm_counts_starts_of_texts_only():
     assert math.isclose(moves, 3000, rel_tol=1e-4)
 
 
+def test_near_duplicates_and_leaks_on_repeated_and_null_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(1, text("a")), (5, text("a") + " more"), (5, text("b")), (5, text("b")), (5, text("c")), (7, text("c")),
+            (8, text("d")), (8, ""), (9, text("b"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(df).collect())
+    assert kept == Counter([(1, text("a")), (5, text("b")), (5, text("c")), (8, text("d")), (8, "")])  # least id of each component
+    bench = spark.createDataFrame([(None, text("b")), (None, text("d")), (3, text("c")), (4, text("b"))], "item_id long, text string")
+    for block_words in (1_000_000, 5):
+        left = {(r.doc_id, r.text) for r in decontamination.remove_contaminated(df, bench, block_words=block_words).collect()}
+        assert left == {(1, text("a")), (5, text("a") + " more"), (8, "")}
+        single = df.filter("doc_id in (1, 7, 9)").unionByName(df.filter("doc_id = 8 and text <> ''"))
+        got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontamination.find_contamination(single, bench, block_words=block_words).collect()}
+        assert got == {1: (0, []), 7: (30, ["3"]), 8: (30, []), 9: (30, ["4"])}
+
+
 def test_toxicity_chain(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows, labels = [], []
