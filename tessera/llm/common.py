@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
@@ -103,3 +103,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cores(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds ``idx``, the place of a row (from 0) in its group, and ``m``, the group's rows. Group and order: no nulls in the former.
+
+    The whole order is dealt out by ranges, so that a large group is spread over tasks; a row's place is its place
+    in the task and the group's rows in earlier tasks. Ties in ``order`` get places in any order.
+    """
+    dealt = rows.repartitionByRange(cores(rows.sparkSession), group, *order).sortWithinPartitions(group, *order)
+    dealt = written(dealt.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    runs = dealt.groupBy(group, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_task")
+    runs = runs.select(
+        group, "_task", "_first", F.sum("_n").over(Window.partitionBy(group)).alias("m"),
+        (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
+    )
+    placed = dealt.join(runs, [group, "_task"]).withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before"))
+    return placed.drop("_task", "_at", "_first", "_before")

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, hmm, jaccard, packing, pii, quality, tokenfile, toxicity, urls
-from tessera.llm.common import table
+from tessera.llm import (
+    chat, collocations, decontamination, hmm, jaccard, merkle, packing, pii, quality, tokenfile, toxicity, urls,
+)
+from tessera.llm.common import fold, table
 from tessera.session import ensure_checkpoint_dir
 
 URL_RULES = [
@@ -90,6 +92,19 @@ def q_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def q_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    now = F.when(changed, fold(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), LEAF_FIELDS, "doc_id", "source", {"text": now})
+
+
+def q_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": q_packing,
     "op2_quality_rules": q_quality,
@@ -102,6 +117,8 @@ QUERIES = {
     "op9_decontamination": q_decontamination,
     "op10_jaccard_join": q_jaccard,
     "op10_jaccard_links": q_jaccard_links,
+    "op11_merkle_manifest": q_merkle,
+    "op13_collocations": q_collocations,
 }
 
 
@@ -227,6 +244,94 @@ select *, not base_failed and lost_chars * 100 <= word_chars * {_Q.MAX_LOST_PERC
 """
 
 
+def _merkle_sql(levels: int = 5) -> str:
+    """The tree with ``levels`` levels below and above the subroots: enough for 16 ** levels rows a source and sources."""
+    fields = " || ".join(
+        f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end" for c in LEAF_FIELDS
+    )
+    changed = fields.replace("text", "now")
+    crc = (
+        "xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), c -> ascii(c)), lambda c, b: "
+        "list_reduce([xor(c, b)] || range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"
+    ).replace("c -> ascii(c)", "lambda c: ascii(c)::bigint")
+
+    def up(name: str, count: int) -> str:
+        steps = ""
+        for k in range(1, count + 1):
+            steps += f"""
+, {name}{k} as (
+  select g, i // 16 as i, sha256(string_agg(h, '' order by i)) as h, max(m + 15) // 16 as m from {name}{k - 1} where m > 1 group by g, i // 16
+), {name}p{k - 1} as (
+  select g, i, h, m, coalesce(string_agg(h, '') over (partition by g, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as l,
+         coalesce(string_agg(h, '') over (partition by g, i // 16 order by i rows between 1 following and unbounded following), '') as r
+  from {name}{k - 1} where m > 1
+)"""
+        return steps
+
+    def walk(name: str, count: int, start: str, cur: str) -> str:
+        """Folds ``cur`` and gathers siblings along the levels of one tree; ``n``: its place, 0 after the first level."""
+        steps, last = "", start
+        for k in range(count):
+            steps += f"""
+, {cur}{k} as (
+  select f.* exclude (cur, proof, i), i // 16 as i,
+         case when p.g is null then cur else sha256(p.l || cur || p.r) end as cur, proof || coalesce(p.l || p.r, '') as proof
+  from {last} f left join {name}p{k} p using (g, i)
+)"""
+            last = f"{cur}{k}"
+        return steps
+
+    return f"""
+with d as (
+  select *, case when {crc} % 5 = 0 then translate(text, '{UPPER}', '{UPPER.lower()}') else text end as now from documents
+), a0 as (
+  select coalesce('=' || source, '') as g, doc_id, sha256({fields}) as h, sha256({changed}) as cur from d
+), lv0 as (
+  select *, row_number() over (partition by g order by doc_id nulls first, h, cur) - 1 as i, count(*) over (partition by g) as m from a0
+){up('lv', levels)}
+, ends as ({' union all '.join(f'select g, h as subroot from lv{k} where m = 1' for k in range(levels + 1))})
+, tp0 as (
+  select '' as g, g as of, subroot as h, row_number() over (order by g) - 1 as i, count(*) over () as m from ends
+){up('tp', levels)}
+, top as ({' union all '.join(f'select h as root from tp{k} where m = 1' for k in range(levels + 1))})
+, s0 as (select g, i, doc_id, h as leaf, cur, '' as proof from lv0){walk('lv', levels, 's0', 'w')}
+, s1 as (
+  select w.g as of, '' as g, tp0.i as i, doc_id, leaf, tp0.h as subroot, cur, proof from w{levels - 1} w join tp0 on tp0.of = w.g
+){walk('tp', levels, 's1', 'v')}
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, cur as folded_root, cur = root as verified from v{levels - 1}, top
+"""
+
+
+COLLOCATIONS_SQL = rf"""
+with p as (
+  select coalesce(lang, 'und') as lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p
+), total as (select lang, sum(len(w))::bigint as n from w group by lang
+), f as (
+  select lang, m, phrase, count(*) as f from (
+    select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase
+    from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest(range(1, {collocations.MAX_WORDS + 1})) as m) where len(w) >= m)
+  ) group by all having count(*) >= {collocations.MIN_COUNT}
+), cuts as (
+  select lang, m, phrase, f as a, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from f where m > 1
+), scored as (
+  select c.lang, c.m, c.phrase, c.a, k, x.f as l, y.f as r, n, 1000::hugeint * c.a * n // (x.f::hugeint * y.f) as score
+  from cuts c join total using (lang)
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : k], ' ') and x.m = k
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1 : c.m], ' ') and y.m = c.m - k
+  qualify row_number() over (partition by c.lang, c.phrase order by score, k) = 1
+), parts as (
+  select lang, array_to_string(w[i : i + k - 1], ' ') as phrase, max(a) as c
+  from (select lang, w, a, k, unnest(range(1, m - k + 2)) as i from cuts) group by all
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from scored left join parts using (lang, phrase) where c is null or 100 * c < {collocations.COVER_PERCENT} * a
+qualify rank <= {collocations.TOP}
+"""
+
+
 def oracle() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
@@ -235,4 +340,6 @@ def oracle() -> dict[str, str]:
         "op6_url_filters": URL_SQL,
         "op9_decontamination": DECONTAMINATION_SQL,
         "op10_jaccard_join": JACCARD_SQL,
+        "op11_merkle_manifest": _merkle_sql(),
+        "op13_collocations": COLLOCATIONS_SQL,
     }
