@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chat, collocations, decontamination, hmm, jaccard, merkle, packing, pii, quality, tokenfile, toxicity, urls,
+    chat, collocations, decontamination, hmm, jaccard, merkle, neighbours, packing, pii, quality, tokenfile, toxicity, urls,
 )
 from tessera.llm.common import fold, table
 from tessera.session import ensure_checkpoint_dir
@@ -101,6 +101,10 @@ def q_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), LEAF_FIELDS, "doc_id", "source", {"text": now})
 
 
+def q_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def q_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op10_jaccard_join": q_jaccard,
     "op10_jaccard_links": q_jaccard_links,
     "op11_merkle_manifest": q_merkle,
+    "op12_nearest_neighbours": q_neighbours,
     "op13_collocations": q_collocations,
 }
 
