@@ -3,8 +3,9 @@
 A byte-level vocabulary splits a text into pieces by a fixed pattern and
 merges bytes inside each piece only.  For such vocabularies, texts made of
 plain Latin characters are split here by the same pattern, and each distinct
-piece goes through the library's model once per worker; any other text, and
-any other kind of vocabulary, goes through the library whole.
+piece goes through the library's model once per worker; any other text, any
+text that holds the string of an added token, and any other kind of vocabulary
+goes through the library whole.
 """
 
 from __future__ import annotations
@@ -68,7 +69,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings are ordinary text
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
         split = about["pre_tokenizer"] or {}
@@ -77,9 +77,11 @@ class Encoder:
             and split.get("use_regex", True) and not split.get("add_prefix_space")
         )
         self._pieces = _Pieces(self._tok.model)
+        added = "|".join(re.escape(t["content"]) for t in about["added_tokens"] or [] if t["content"])
+        self._whole = re.compile(f"{_NOT_PLAIN.pattern}|{added}" if added else _NOT_PLAIN.pattern)
 
     def one(self, text: str) -> bytes:
-        if not self._by_piece or _NOT_PLAIN.search(text):
+        if not self._by_piece or self._whole.search(text):
             return u32(self._tok.encode(text, add_special_tokens=False).ids)
         if len(self._pieces) > CACHE_PIECES:
             self._pieces.clear()

@@ -2,12 +2,13 @@
 
 Each line is judged by itself: punctuation rules (too many symbols, too few
 letters), navigation rules (separator bars, menus of a few known words) and
-boilerplate rules (legal, cookie, sign-up and script notices).  Failing lines
+boilerplate rules (legal, cookie, sign-up and script notices, in lines no longer
+than notices are).  Terms are English, German, French and Spanish.  Failing lines
 go; a document that loses too much of its text goes too.  Everything is a
 row-local expression over arrays of lines and words: no shuffle, no Python.
 
 Defined results: a null or wordless text has no words, fails the base rules
-and is cleaned to an empty text; repeated rows are judged one by one; other
+and is cleaned to an empty text; an empty table gives no rows; repeated rows are judged one by one; other
 columns are not read.  Very long texts cost n log n in their own words.
 """
 
@@ -36,15 +37,26 @@ WORD = rf"[^{BLANKS}]+"
 #: A line of at most NAV_WORDS words that consists of these only (and bars) is a menu.
 #: A term stands before any shorter one it begins with, since the pattern takes the first that fits.
 NAV_TERMS = (
-    "home|menu|login|log in|logout|log out|sign in|search|about us|about|contact us|contact|help|faq|sitemap|"
-    "next|previous|back|top|share|print|skip to content|read more|more"
+    "home|menu|login|log in|logout|log out|sign in|search|about us|about|contactez-nous|contacto|contact us|contact|help|faq|sitemap|"
+    "next|previous|back|top|share|print|skip to content|read more|more|"
+    "startseite|menü|anmelden|abmelden|suche|über uns|kontakt|hilfe|weiterlesen|weiter|zurück|teilen|drucken|mehr|"
+    "accueil|connexion|déconnexion|rechercher|à propos|aide|plan du site|suivant|précédent|partager|imprimer|lire la suite|"
+    "inicio|menú|iniciar sesión|buscar|sobre nosotros|ayuda|mapa del sitio|siguiente|anterior|compartir|imprimir|leer más"
 )
 #: Possessive, so that a very long line of such words is matched in a loop, not by recursion.
-MENU = rf"(?i)^[{BLANKS}|>/»·•-]*+(?:(?:{NAV_TERMS})[{BLANKS}|>/»·•-]*+)++$"
+MENU = rf"(?iu)^[{BLANKS}|>/»·•-]*+(?:(?:{NAV_TERMS})[{BLANKS}|>/»·•-]*+)++$"
+#: A notice is short: such a phrase (in lower case) in a longer line (in characters) is part of a text.
+BOILERPLATE_CHARS = 300
 BOILERPLATE = (
-    r"(?i)(all rights reserved|copyright (\(c\)|©|[0-9])|©|cookie(s)? (policy|settings|notice)|uses cookies|"
+    r"(all rights reserved|copyright (\(c\)|©|[0-9])|©|cookie(s)? (policy|settings|notice)|uses cookies|"
     r"accept (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)|enable javascript|"
-    r"subscribe to|sign up for|click here|lorem ipsum|licensed under|spdx-license)"
+    r"subscribe to|sign up for|click here|lorem ipsum|licensed under|released under the|spdx-license|"
+    r"alle rechte vorbehalten|datenschutzerklärung|cookie-richtlinie|verwendet cookies|cookies akzeptieren|nutzungsbedingungen|"
+    r"newsletter abonnieren|hier klicken|javascript aktivieren|"
+    r"tous droits réservés|politique de confidentialité|conditions d.utilisation|mentions légales|utilise des cookies|"
+    r"accepter (tous )?les cookies|abonnez-vous|inscrivez-vous|cliquez ici|activer javascript|"
+    r"todos los derechos reservados|política de (privacidad|cookies)|utiliza cookies|aceptar (todas )?las cookies|"
+    r"términos (de|y) (uso|servicio|condiciones)|aviso legal|suscríbete|haga clic aquí|habilitar javascript)"
 )
 
 
@@ -112,7 +124,7 @@ def line_fails(m: Column) -> Column:
     punctuation = (m["symbols"] * 100 > size * MAX_SYMBOL_PERCENT) | (m["letters"] * 100 < size * MIN_LETTER_PERCENT)
     bars = F.length(line) - F.length(F.translate(line, "|»·•", ""))
     navigation = (F.size(words_of(line)) <= NAV_WORDS) & (line.rlike(MENU) | (bars >= NAV_BARS))
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+    return punctuation | navigation | ((F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -211,7 +211,7 @@ select conv_id::BIGINT as conv_id, n_turns, sha256(turns) as turns_sha256, lengt
 
 _Q = quality
 #: DuckDB's patterns have no possessive forms and need none.
-_MENU_SQL = quality.MENU.replace("*+", "*").replace("++", "+")
+_MENU_SQL = quality.MENU.replace("*+", "*").replace("++", "+").replace("(?iu)", "(?i)")
 QUALITY_SQL = rf"""
 with d as (
   select doc_id, coalesce(text, '') as t, {_WORDS.format(t="coalesce(text, '')")} as w,
@@ -234,7 +234,7 @@ with d as (
 ), bad as (
   select doc_id, count(*) as n, sum(size) as lost from m
   where symbols * 100 > size * {_Q.MAX_SYMBOL_PERCENT} or letters * 100 < size * {_Q.MIN_LETTER_PERCENT}
-     or ((regexp_matches(l, '{_MENU_SQL}') or bars >= {_Q.NAV_BARS}) and nw <= {_Q.NAV_WORDS}) or regexp_matches(l, '{_Q.BOILERPLATE}')
+     or ((regexp_matches(l, '{_MENU_SQL}') or bars >= {_Q.NAV_BARS}) and nw <= {_Q.NAV_WORDS}) or (length(l) <= {_Q.BOILERPLATE_CHARS} and regexp_matches(lower(l), '{_Q.BOILERPLATE}'))
   group by doc_id
 ), o as (
   select doc_id, len(w)::BIGINT as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT as word_chars,

@@ -21,6 +21,7 @@ EDGE = [
     (1, "One two three four five six seven eight nine ten eleven."), (2, None), (3, ""), (4, " \t\n"), (5, "a"),
     (1, "One two three four five six seven eight nine ten eleven."), (None, "no id here"), (6, LONG),
     (7, "ONE two three four five six seven eight nine ten eleven."), (8, "Ünï cødé 日本 text"),
+    (9, "an added token <|endoftext|> inside, and <|endoftext|>"),
 ]
 
 
@@ -44,7 +45,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(encode.default_vocabulary())
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -92,7 +92,7 @@ def test_token_files(spark, docs, empty, tmp_path):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(raw) // 4, zlib.crc32(raw))
         at += r.n_tokens
     one = tokenfile.read_tokens(spark, str(tmp_path / "t"), [8]).collect()
-    assert [bytes(r.ids) for r in one] == [encode.u32(ids_of(EDGE[-1][1]))]
+    assert [bytes(r.ids) for r in one] == [encode.u32(ids_of(dict(EDGE)[8]))]
     tokenfile.write_tokens(empty, str(tmp_path / "e"))
     assert tokenfile.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
@@ -109,6 +109,8 @@ def test_quality(spark, docs, empty):
     extra = spark.createDataFrame(
         [(20, "a b c d e a b c d e x\n\nhome | about | contact\nx\nx\nAll rights reserved.", "", 1),
          (21, "a b a b a b a b a b a b", "", 1), (22, "*** $$$ ### word\n" * 20, "", 1),
+         (25, "word next to word " * 2_000 + "See our privacy policy for more.", "", 1),
+         (26, "Datenschutzerklärung\nTOUS DROITS RÉSERVÉS.\nAviso legal\nÜber uns | Kontakt\n" + "eins zwei drei vier fünf sechs sieben acht neun zehn elf", "", 1),
          (23, "home " * 100_000, "", 1), (24, "about us contact\n" + "home" * 100_000, "", 1)], docs.schema)
     for r in quality.clean(docs.unionByName(extra)).collect():
         text = dict(EDGE + [(x.doc_id, x.text) for x in extra.collect()])[r.doc_id]
@@ -122,6 +124,10 @@ def test_quality(spark, docs, empty):
             assert r.n_failed_lines == 2
         if r.doc_id == 1:
             assert r.kept
+        if r.doc_id == 25:  # a phrase of a notice in a long text
+            assert r.n_failed_lines == 0 and r.cleaned == text
+        if r.doc_id == 26:
+            assert r.n_failed_lines == 4 and r.cleaned.startswith("eins")
     assert quality.clean(empty).count() == 0
 
 
