@@ -1,12 +1,14 @@
 """Binary evaluation report: ROC, PR, AUC, AP, Youden, class report,
 confusion matrix, Mann-Whitney U, exact medians, histogram, KDE.
 
-Input: the distinct-score table ``g(score, pos, neg)`` built once by
-:func:`score_table` from rows with a numeric ``score`` and a 0/1 ``label``.
-Non-finite scores (e.g. +inf perplexity of an answer without steps) are
-excluded and counted (SURVEY Q6). All statistics come from the prefix table
-(:func:`tessera.operators.ranking.prefix_table`), so no step sorts the whole
-data set in one task; the outputs are small tidy tables.
+Input: the prefix table of distinct scores that :func:`score_table` writes
+once from rows with a numeric ``score`` and a 0/1 ``label``: label counts,
+the counts below, and the next lower score's counts. Curves are projections of
+it, and every scalar is part of one aggregate over it (:func:`report_all`
+takes them all together). Non-finite scores (e.g. +inf perplexity of an answer
+without steps) are excluded and counted (SURVEY Q6), in one row without score.
+A plain ``score, pos, neg`` table will do as input, too. No step sorts the
+whole data set in one task; the outputs are small tidy tables.
 """
 
 from __future__ import annotations
@@ -27,8 +29,26 @@ INF = float("inf")
 
 
 def score_table(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Materialised distinct-score table every report function reads."""
-    return score_counts(scored, score, label)
+    """The prefix table every report function reads, written once: ``score,
+    pos, neg, below_pos, below_neg, P, N, dn_pos, dn_neg``."""
+    from tessera.session import materialize
+
+    g = score_counts(scored, score, label)
+    bad = g.where(_nonfinite()).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return materialize(with_lower_neighbor(prefix_table(finite(g))).drop("bucket").unionByName(bad, allowMissingColumns=True))
+
+
+def _nonfinite() -> Column:
+    s = F.col("score")
+    return s.isNull() | F.isnan(s) | (F.abs(s) == F.lit(INF))
+
+
+def _prefix(g: DataFrame, neighbour: bool = False) -> DataFrame:
+    """Finite scores with their running counts."""
+    if "below_pos" in g.columns:
+        return g.where(F.col("score").isNotNull())
+    pt = prefix_table(finite(g))
+    return with_lower_neighbor(pt) if neighbour else pt
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -45,7 +65,7 @@ def _counts_ge(pt: DataFrame) -> DataFrame:
 def roc_points(g: DataFrame) -> DataFrame:
     """``threshold, fpr, tpr`` like sklearn ``roc_curve`` (collinear
     intermediate points dropped, start point at +inf)."""
-    pt = _counts_ge(with_lower_neighbor(prefix_table(finite(g))))
+    pt = _counts_ge(_prefix(g, neighbour=True))
     is_top = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     keep = (
         is_top
@@ -67,7 +87,7 @@ def roc_points(g: DataFrame) -> DataFrame:
 def pr_points(g: DataFrame) -> DataFrame:
     """``threshold, precision, recall`` per distinct score plus the end
     point (precision 1, recall 0, no threshold)."""
-    pt = _counts_ge(prefix_table(finite(g)))
+    pt = _counts_ge(_prefix(g))
     pts = pt.select(
         F.col("score").alias("threshold"),
         _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -83,53 +103,94 @@ def pr_points(g: DataFrame) -> DataFrame:
     return pts.unionByName(end)
 
 
+# Scalars: a section is a list of aggregates over the prefix table (``tp`` and
+# ``fp`` count the rows at or above the score) and what is read off them.
+
+
+def _tp() -> Column:
+    return F.col("P") - F.col("below_pos")
+
+
+def _fp() -> Column:
+    return F.col("N") - F.col("below_neg")
+
+
+def _below() -> Column:
+    return F.col("below_pos") + F.col("below_neg")
+
+
+def _cnt() -> Column:
+    return F.col("pos") + F.col("neg")
+
+
+def _totals() -> list[Column]:
+    return [F.max("P").alias("P"), F.max("N").alias("N")]
+
+
+def _scalars(g: DataFrame, *aggregates: Column) -> DataFrame:
+    """One row: the aggregates, and the label totals ``P, N``."""
+    return _prefix(g).agg(*_totals(), *aggregates)
+
+
+def _area() -> list[Column]:
+    return [
+        F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)).alias("auc_num"),
+        F.sum(F.col("pos").cast("double") * _tp() / (_tp() + _fp())).alias("ap_num"),
+    ]
+
+
+def _auc() -> Column:
+    return F.try_divide(F.col("auc_num"), F.col("P").cast("double") * F.col("N"))
+
+
+def _ap() -> Column:
+    return F.try_divide(F.col("ap_num"), F.col("P").cast("double"))
+
+
+def _count_nonfinite(g: DataFrame) -> Column:
+    return F.coalesce(g.where(_nonfinite()).agg(F.sum(F.col("pos") + F.col("neg"))).scalar(), F.lit(0))
+
+
 def auc_ap(g: DataFrame) -> DataFrame:
     """One row ``n_rows, n_pos, n_neg, n_nonfinite, auc, ap``.
 
     AUC by the trapezoid rule equals ``sum(pos * (neg_below + neg / 2)) /
     (P N)``; AP = ``sum((R_n - R_{n-1}) P_n)`` = ``sum(pos * precision) / P``.
     """
-    pt = _counts_ge(prefix_table(finite(g)))
-    stats = pt.agg(
-        F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)).alias("auc_num"),
-        F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap_num"),
-        F.first("P").alias("P"),
-        F.first("N").alias("N"),
-    )
-    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == F.lit(INF))
-    nonfinite = g.agg(
-        F.coalesce(F.sum(F.when(bad, F.col("pos") + F.col("neg"))), F.lit(0))
-    ).scalar()
-    return stats.select(
+    return _scalars(g, *_area()).select(
         (F.col("P") + F.col("N")).cast("bigint").alias("n_rows"),
         F.col("P").cast("bigint").alias("n_pos"),
         F.col("N").cast("bigint").alias("n_neg"),
-        nonfinite.cast("bigint").alias("n_nonfinite"),
-        F.try_divide(F.col("auc_num"), F.col("P").cast("double") * F.col("N")).alias("auc"),
-        F.try_divide(F.col("ap_num"), F.col("P").cast("double")).alias("ap"),
+        _count_nonfinite(g).cast("bigint").alias("n_nonfinite"),
+        _auc().alias("auc"),
+        _ap().alias("ap"),
+    )
+
+
+def _best() -> Column:
+    """The Youden point with its counts: the largest ``(j, score)``."""
+    tpr, fpr = _div(_tp(), F.col("P")), _div(_fp(), F.col("N"))
+    return F.max(F.struct(
+        (tpr - fpr).alias("j"), F.col("score").alias("t"), tpr.alias("tpr"), fpr.alias("fpr"),
+        _tp().cast("bigint").alias("tp"), _fp().cast("bigint").alias("fp"),
+    )).alias("best")
+
+
+def _with_best(scalars: DataFrame) -> DataFrame:
+    """The curve's start (threshold +inf, J = 0, nothing predicted) counts, too."""
+    start = F.struct(
+        F.lit(0.0).alias("j"), F.lit(INF).alias("t"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"),
+        F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"),
     )
+    rows = scalars.withColumn("best", F.greatest(F.coalesce("best", start), start))
+    return rows.withColumns({"P": F.coalesce("P", F.lit(0)).cast("bigint"), "N": F.coalesce("N", F.lit(0)).cast("bigint")})
 
 
 def youden(g: DataFrame) -> DataFrame:
     """R2: first maximum of tpr - fpr over thresholds in descending order
     (the largest threshold on a tie); the start point (+inf, J = 0) counts."""
-    pt = _counts_ge(prefix_table(finite(g)))
-    j = _div(F.col("tp"), F.col("P")) - _div(F.col("fp"), F.col("N"))
-    cand = pt.select(
-        F.struct(j.alias("j"), F.col("score").alias("t"),
-                 _div(F.col("tp"), F.col("P")).alias("tpr"),
-                 _div(F.col("fp"), F.col("N")).alias("fpr")).alias("c")
-    )
-    best = cand.agg(F.max("c").alias("b"))
-    start = F.struct(F.lit(0.0).alias("j"), F.lit(INF).alias("t"),
-                     F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
-    return best.select(
-        F.greatest(F.coalesce(F.col("b"), start), start).alias("b")
-    ).select(
-        F.col("b.t").alias("threshold"),
-        F.col("b.j").alias("j"),
-        F.col("b.tpr").alias("tpr"),
-        F.col("b.fpr").alias("fpr"),
+    return _with_best(_scalars(g, _best())).select(
+        F.col("best.t").alias("threshold"), "best.j", "best.tpr", "best.fpr"
     )
 
 
@@ -144,26 +205,15 @@ def predict(scored: DataFrame, threshold: Column, score: str = "score") -> DataF
     return scored.withColumn("y_pred", (F.col(score) >= threshold).cast("int"))
 
 
-def _confusion_counts(g: DataFrame) -> DataFrame:
-    """TP, FP, FN, TN at the Youden threshold, read off the score table."""
-    thr = youden_threshold(g)
-    hit = F.col("score") >= thr
-    return finite(g).agg(
-        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).cast("bigint").alias("tp"),
-        F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).cast("bigint").alias("fp"),
-        F.coalesce(F.sum("pos"), F.lit(0)).cast("bigint").alias("P"),
-        F.coalesce(F.sum("neg"), F.lit(0)).cast("bigint").alias("N"),
-    ).select(
-        "tp", "fp",
-        (F.col("P") - F.col("tp")).alias("fn"),
-        (F.col("N") - F.col("fp")).alias("tn"),
-        "P", "N",
-    )
+def _confusion_counts(scalars: DataFrame) -> DataFrame:
+    """TP, FP, FN, TN at the Youden threshold: the counts of that point."""
+    rows = _with_best(scalars).withColumns({"tp": F.col("best.tp"), "fp": F.col("best.fp")})
+    return rows.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")})
 
 
 def confusion(g: DataFrame) -> DataFrame:
     """Full 2x2 grid ``y_true, y_pred, n`` at the Youden threshold."""
-    c = _confusion_counts(g)
+    c = _confusion_counts(_scalars(g, _best()))
     return c.select(
         F.inline(
             F.array(
@@ -183,13 +233,16 @@ def class_report(g: DataFrame) -> DataFrame:
     (not repeated as in the reference's table, SURVEY Q22), macro and
     weighted averages.
     """
-    c = _confusion_counts(g)
+    return _class_rows(_confusion_counts(_scalars(g, _best())))
+
+
+def _class_rows(c: DataFrame, *carried: str) -> DataFrame:
     p1 = _div(F.col("tp"), F.col("tp") + F.col("fp"))
     r1 = _div(F.col("tp"), F.col("P"))
     p0 = _div(F.col("tn"), F.col("tn") + F.col("fn"))
     r0 = _div(F.col("tn"), F.col("N"))
     m = c.select(
-        "P", "N", "tp", "tn",
+        *carried, "P", "N", "tp", "tn",
         p1.alias("p1"), r1.alias("r1"), p0.alias("p0"), r0.alias("r0"),
     )
     m = m.withColumn("f1", _div(2 * F.col("p1") * F.col("r1"), F.col("p1") + F.col("r1")))
@@ -219,13 +272,17 @@ def class_report(g: DataFrame) -> DataFrame:
         row("weighted avg", "f1-score", wavg("f0", "f1")),
         row("weighted avg", "support", tot),
     ]
-    return m.select(F.inline(F.array(*rows)))
+    return m.select(*carried, F.inline(F.array(*rows)))
 
 
 def report_scalars(g: DataFrame, skip_support: bool = False) -> DataFrame:
     """``name, value`` = ``test_{class}_{metric}`` rounded to 3 digits
     for the two classes, plus ``best_roc_threshold`` rounded to 4."""
-    rep = class_report(g).where(F.col("class_name").isin(list(CLASS_NAMES.values())))
+    rep = _class_rows(_confusion_counts(_scalars(g, _best())).withColumn("threshold", F.col("best.t")), "threshold")
+    thr = rep.where((F.col("class_name") == "accuracy")).select(
+        F.lit("best_roc_threshold").alias("name"), F.round("threshold", 4).alias("value")
+    )
+    rep = rep.where(F.col("class_name").isin(list(CLASS_NAMES.values())))
     if skip_support:
         rep = rep.where(F.col("metric") != "support")
     scal = rep.select(
@@ -234,9 +291,6 @@ def report_scalars(g: DataFrame, skip_support: bool = False) -> DataFrame:
         ).alias("name"),
         F.round("value", 3).alias("value"),
     )
-    thr = youden(g).select(
-        F.lit("best_roc_threshold").alias("name"), F.round("threshold", 4).alias("value")
-    )
     return scal.unionByName(thr)
 
 
@@ -265,51 +319,31 @@ def mann_whitney_less(g: DataFrame) -> DataFrame:
     and continuity correction: ``z = (n1 n0 - U1 - n1 n0 / 2 - 0.5) / s``,
     ``p = erfc(z / sqrt 2) / 2``.
     """
-    pt = prefix_table(finite(g))
-    below = F.col("below_pos") + F.col("below_neg")
-    t = (F.col("pos") + F.col("neg")).cast("double")  # t^3 passes the long range at two million ties
-    agg = pt.agg(
-        F.sum(F.col("pos") * (below + (t + 1) / 2.0)).alias("R1"),
-        F.sum(t * t * t - t).alias("ties"),
-        F.first("P").alias("n1"),
-        F.first("N").alias("n0"),
-    )
-    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    n1, n0, u1, z = _rank_test()
+    return _scalars(g, *_ranks()).select(
+        n1.cast("bigint").alias("n1"), n0.cast("bigint").alias("n0"), u1.alias("u1"), z.alias("z"),
+    ).withColumn("p_value", erfc(F.col("z") / F.lit(2.0 ** 0.5)) / 2)
+
+
+def _ranks() -> list[Column]:
+    t = _cnt().cast("double")  # t^3 passes the long range at two million ties
+    return [F.sum(F.col("pos") * (_below() + (t + 1) / 2.0)).alias("R1"), F.sum(t * t * t - t).alias("ties")]
+
+
+def _rank_test() -> tuple[Column, Column, Column, Column]:
+    """n1, n0, U1 and z of the aggregated ranks."""
+    n1, n0 = F.col("P").cast("double"), F.col("N").cast("double")
     n = n1 + n0
     u1 = F.col("R1") - n1 * (n1 + 1) / 2
     s = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
-    z = F.try_divide(n1 * n0 - u1 - n1 * n0 / 2 - 0.5, s)
-    return agg.select(
-        F.col("n1").cast("bigint").alias("n1"),
-        F.col("n0").cast("bigint").alias("n0"),
-        u1.alias("u1"),
-        z.alias("z"),
-    ).withColumn("p_value", erfc(F.col("z") / F.lit(2.0 ** 0.5)) / 2)
+    return n1, n0, u1, F.try_divide(n1 * n0 - u1 - n1 * n0 / 2 - 0.5, s)
 
 
 def median_by_label(g: DataFrame) -> DataFrame:
     """Exact median per label from the prefix table (no value list is
     gathered in one task): the k-th value is the score whose running count
     range covers k."""
-    pt = prefix_table(finite(g))
-
-    def kth(cnt: str, below: str, total: str, k: Column) -> Column:
-        hit = (F.col(below) < k) & (F.col(below) + F.col(cnt) >= k)
-        return F.max(F.when(hit, F.col("score")))
-
-    def med(cnt: str, below: str, total: str) -> list[Column]:
-        n = F.col(total)
-        lo = F.floor((n + 1) / 2)
-        hi = F.ceil((n + 1) / 2)
-        return [kth(cnt, below, total, lo), kth(cnt, below, total, hi)]
-
-    a = med("pos", "below_pos", "P")
-    b = med("neg", "below_neg", "N")
-    agg = pt.agg(
-        a[0].alias("p_lo"), a[1].alias("p_hi"), b[0].alias("n_lo"), b[1].alias("n_hi"),
-        F.first("P").alias("P"), F.first("N").alias("N"),
-    )
-    return agg.select(
+    return _scalars(g, *_middles()).select(
         F.inline(
             F.array(
                 F.struct(F.lit(0).alias("label"), F.col("N").cast("bigint").alias("n"),
@@ -321,36 +355,48 @@ def median_by_label(g: DataFrame) -> DataFrame:
     )
 
 
+def _middles() -> list[Column]:
+    def kth(cnt: str, below: str, k: Column) -> Column:
+        hit = (F.col(below) < k) & (F.col(below) + F.col(cnt) >= k)
+        return F.max(F.when(hit, F.col("score")))
+
+    out = []
+    for name, cnt, below, total in (("p", "pos", "below_pos", "P"), ("n", "neg", "below_neg", "N")):
+        out.append(kth(cnt, below, F.floor((F.col(total) + 1) / 2)).alias(f"{name}_lo"))
+        out.append(kth(cnt, below, F.ceil((F.col(total) + 1) / 2)).alias(f"{name}_hi"))
+    return out
+
+
 def score_box(g: DataFrame) -> DataFrame:
     """R13 box summary: ``n, min, q1, median, q3, max, mean`` of all finite
     scores; quartiles interpolate linearly between order statistics
     (position ``(n - 1) p``), read exactly off the prefix table."""
-    pt = prefix_table(finite(g))
-    below = F.col("below_pos") + F.col("below_neg")
-    cnt = F.col("pos") + F.col("neg")
+    return _scalars(g, *_quartiles()).select(
+        (F.col("P") + F.col("N")).cast("bigint").alias("n"), "min", *(_quartile(q).alias(q) for q in QUARTILES), "max", "mean"
+    )
+
+
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def _quartiles() -> list[Column]:
     n = F.col("P") + F.col("N")
 
     def at(rank: Column) -> Column:
         """Value of the 0-based order statistic ``rank``."""
-        return F.max(F.when((below <= rank) & (below + cnt > rank), F.col("score")))
+        return F.max(F.when((_below() <= rank) & (_below() + _cnt() > rank), F.col("score")))
 
-    def quant(p: float) -> list[Column]:
+    out = [F.min("score").alias("min"), F.max("score").alias("max"), (F.sum(F.col("score") * _cnt()) / F.sum(_cnt())).alias("mean")]
+    for name, p in QUARTILES.items():
         h = (n - 1) * p
         lo = F.floor(h)
-        hi = F.least(lo + 1, n - 1)
-        return [at(lo), at(hi), F.max(h - lo)]
-
-    qs = {name: quant(p) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
-    aggs = [F.min("score").alias("min"), F.max("score").alias("max"),
-            (F.sum(F.col("score") * cnt) / F.sum(cnt)).alias("mean"), F.max(n).alias("n")]
-    for name, (lo, hi, fr) in qs.items():
-        aggs += [lo.alias(f"_{name}_lo"), hi.alias(f"_{name}_hi"), fr.alias(f"_{name}_f")]
-    a = pt.agg(*aggs)
-    out = [F.col("n").cast("bigint").alias("n"), "min"]
-    for name in qs:
-        lo, hi, fr = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
-        out.append((lo + (hi - lo) * fr).alias(name))
-    return a.select(*out, "max", "mean")
+        out += [at(lo).alias(f"_{name}_lo"), at(F.least(lo + 1, n - 1)).alias(f"_{name}_hi"), F.max(h - lo).alias(f"_{name}_f")]
+    return out
+
+
+def _quartile(name: str) -> Column:
+    lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+    return lo + (hi - lo) * F.col(f"_{name}_f")
 
 
 def _label_rows(g: DataFrame) -> DataFrame:
@@ -445,6 +491,46 @@ def score_kde(g: DataFrame, points: int = KDE_POINTS) -> DataFrame:
     )
 
 
+def report_all(g: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Every scalar of the report as ``section, name, value``, from one
+    aggregate over ``g`` (and one over ``raw``, the evaluator's own values,
+    for rank test and medians, where that differs)."""
+
+    def row(section: str, name: str, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), value.cast("double").alias("value"))
+
+    def rank_rows() -> list[Column]:
+        n1, n0, u1, z = _rank_test()
+        return [
+            row("mwu", "n1", n1), row("mwu", "n0", n0), row("mwu", "u1", u1), row("mwu", "z", z),
+            row("mwu", "p_value", erfc(z / F.lit(2.0 ** 0.5)) / 2),
+            row("median", "0", (F.col("n_lo") + F.col("n_hi")) / 2), row("median", "1", (F.col("p_lo") + F.col("p_hi")) / 2),
+        ]
+
+    ranks = [*_ranks(), *_middles()]
+    one = _scalars(g, *_area(), _best(), *_quartiles(), *([] if raw is not None else ranks))
+    best = _confusion_counts(one)
+    rows = [
+        row("auc_ap", "n_rows", F.col("P") + F.col("N")), row("auc_ap", "n_pos", F.col("P")), row("auc_ap", "n_neg", F.col("N")),
+        row("auc_ap", "auc", _auc()), row("auc_ap", "ap", _ap()),
+        *(row("youden", n, F.col(f"best.{c}")) for n, c in (("threshold", "t"), ("j", "j"), ("tpr", "tpr"), ("fpr", "fpr"))),
+        *(row("confusion", n, F.col(n)) for n in ("tn", "fp", "fn", "tp")),
+        *(row("box", n, F.col(n)) for n in ("min", "max", "mean")), *(row("box", q, _quartile(q)) for q in QUARTILES),
+        *([] if raw is not None else rank_rows()),
+    ]
+    out = _class_rows(best.withColumn("_rows", F.array(*rows)), "_rows")
+    # The class rows and the others come from one row each way of the same aggregate.
+    classes = F.array_sort(F.collect_list(F.struct(
+        F.concat(F.lit("class:"), F.col("class_name")).alias("section"), F.col("metric").alias("name"), "value"
+    )))
+    out = out.groupBy().agg(classes.alias("c"), F.first("_rows").alias("r")).select(F.inline(F.concat("c", "r")))
+    bad = g.where(_nonfinite()).agg(F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).cast("double").alias("value"))
+    out = out.unionByName(bad.select(F.lit("auc_ap").alias("section"), F.lit("n_nonfinite").alias("name"), "value"))
+    if raw is not None:
+        out = out.unionByName(_scalars(raw, *ranks).select(F.inline(F.array(*rank_rows()))))
+    return out
+
+
 def report_plan(
     scored: DataFrame, score: str = "score", label: str = "label", raw_score: str | None = None
 ) -> dict[str, DataFrame]:
@@ -471,4 +557,5 @@ def report_plan(
         "histogram_raw": score_hist(raw),
         "box": score_box(g),
         "kde": score_kde(g),
+        "scalars_all": report_all(g, raw if raw_score else None),
     }

@@ -7,15 +7,24 @@ quality is compared (AUC), not the bits (SURVEY 7.6).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values from the reference: ensemble sizes, seed, test share.
 N_TREES = 1000
 N_ITERATIONS = 1000
+
+# The deepest trees Spark grows (the reference's have no bound).
+FOREST_DEPTH = 30
+# A forest of full trees has a node for nearly every row of every tree, all
+# held by the driver: it learns from at most so many labelled rows, taken
+# by hash in proportion to the labels.
+FOREST_ROWS = 1000
 SEED = 42
 TEST_SHARE = 0.2
 
@@ -49,25 +58,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return _m(df)
 
 
+def labelled_sample(train: DataFrame, id_col: str = "id", bound: int = FOREST_ROWS, seed: int = SEED) -> DataFrame:
+    """At most about ``bound`` rows (exact but for rounding per label) with
+    the labels' shares kept; the whole table if it is no larger."""
+    from tessera.operators.sampling import hashed_take
+
+    n = train.count()
+    if n <= bound:
+        return train
+    return hashed_take(train, id_col, seed, frac=bound / n, strata=["label"]).drop("draw")
+
+
 def train_random_forest(train: DataFrame, n_trees: int = N_TREES, seed: int = SEED,
-                        max_depth: int = 10):
-    """``RandomForestClassifier`` with sqrt feature subsets."""
+                        max_depth: int = FOREST_DEPTH, memory_mb: int = 512):
+    """``RandomForestClassifier`` with sqrt feature subsets. Node ids are
+    cached per row and checkpointed every ten levels, so a deep level does
+    not walk all trees from their roots; ``memory_mb`` bounds the statistics
+    of the nodes that are split at once."""
     rf = RandomForestClassifier(
         numTrees=n_trees, seed=seed, featureSubsetStrategy="sqrt", maxDepth=max_depth,
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=memory_mb,
         featuresCol="features", labelCol="label",
     )
-    return rf.fit(train)
+    return rf.fit(materialize(train))
 
 
-def train_gbt(train_valid: DataFrame, max_iter: int = N_ITERATIONS, seed: int = SEED,
-              validation_col: str | None = "is_valid", max_depth: int = 5):
-    """Boosted trees (log-loss); with ``validation_col`` Spark stops on
-    the validation error like the reference's eval set."""
+def train_gbt(train: DataFrame, eval_set: DataFrame | None = None, max_iter: int = N_ITERATIONS, seed: int = SEED,
+              max_depth: int = 5):
+    """Boosted trees (log-loss). With an eval set (the reference takes
+    its test rows) rounds end when its loss grows, and the model keeps the
+    best round."""
     kw = dict(maxIter=max_iter, seed=seed, maxDepth=max_depth, featuresCol="features",
-              labelCol="label", lossType="logistic")
-    if validation_col:
-        kw["validationIndicatorCol"] = validation_col
-    return GBTClassifier(**kw).fit(train_valid)
+              labelCol="label", lossType="logistic", cacheNodeIds=True, checkpointInterval=10)
+    rows = train
+    if eval_set is not None:
+        kw |= dict(validationIndicatorCol="is_valid", validationTol=0.0)
+        rows = train.withColumn("is_valid", F.lit(False)).unionByName(eval_set.withColumn("is_valid", F.lit(True)))
+    return GBTClassifier(**kw).fit(materialize(rows))
 
 
 def predictions(model, test: DataFrame, id_col: str = "id") -> DataFrame:
@@ -81,66 +108,83 @@ def predictions(model, test: DataFrame, id_col: str = "id") -> DataFrame:
     )
 
 
-def gbt_iterations(model, test: DataFrame) -> DataFrame:
-    """T5: log-loss of the tree prefixes on the test rows, per iteration."""
-    losses = model.evaluateEachIteration(test)
-    spark = test.sparkSession
-    return spark.createDataFrame(
-        [(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, logloss double"
+def node_arrays(model) -> DataFrame:
+    """The nodes of an ensemble's trees, one row a tree: ``tree, w`` and, by
+    node, ``feature, threshold, left, right`` (-1 at a leaf) and ``value``.
+    Read from the tables that Spark saves a model in; continuous features."""
+    from tessera.session import ensure_checkpoint_dir, get_spark
+
+    spark = get_spark()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    node = F.struct(
+        "id", F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("prediction").alias("value"),
     )
+    trees = nodes.groupBy("treeID").agg(F.array_sort(F.collect_list(node)).alias("n"))  # the nodes of one tree
+    weights = spark.createDataFrame(list(enumerate(map(float, model.treeWeights))), "treeID int, w double")
+    return trees.join(weights, "treeID").select(
+        F.col("treeID").alias("tree"), "w", "n.feature", "n.threshold", "n.left", "n.right", "n.value"
+    )
+
+
+_TREES = "array<struct<tree:int,w:double,feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>>>"
+
+
+def running_margins(model, features: Column) -> Column:
+    """Margins after each round as an array: every tree is walked by index
+    in the arrays of its nodes. The trees (at most rounds x 2^(depth + 1)
+    nodes) are one constant of the plan."""
+    trees = node_arrays(model).agg(F.to_json(F.array_sort(F.collect_list(F.struct("tree", "w", "feature", "threshold", "left", "right", "value")))))
+    trees = F.from_json(F.lit(trees.first()[0]), _TREES)
+    depth = max(t.depth for t in model.trees)
+
+    def leaf(t: Column) -> Column:
+        def down(n: Column, _level: Column) -> Column:
+            goes_left = F.get(features, F.get(t["feature"], n)) <= F.get(t["threshold"], n)
+            return F.when(F.get(t["left"], n) < 0, n).when(goes_left, F.get(t["left"], n)).otherwise(F.get(t["right"], n))
 
+        return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), F.lit(0), down)
 
-def iteration_probabilities(model, test: DataFrame, id_col: str = "id") -> DataFrame:
-    """Probability of class 1 after each boosting iteration, one pass.
-
-    Every tree is evaluated JVM-side as a column of the test rows; the
-    weighted contributions are exploded to ``(id, iteration)`` rows and a
-    running sum per test row gives the prefix margin (Spark's logistic
-    boosting: ``p = 1 / (1 + exp(-2 margin))``).
-    """
-    df = test
-    contrib = []
-    for i, (tree, w) in enumerate(zip(model.trees, model.treeWeights)):
-        t = tree.copy()
-        t.setPredictionCol(f"_t{i}")
-        df = t.transform(df)
-        contrib.append(F.col(f"_t{i}") * float(w))
-    long = df.select(id_col, "label", F.posexplode(F.array(*contrib)).alias("k", "c"))
-    run = Window.partitionBy(id_col).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m = long.withColumn("margin", F.sum("c").over(run))
-    return m.select(
-        id_col, (F.col("k") + 1).alias("iteration"), F.col("label").cast("int").alias("label"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * F.col("margin")))).alias("score"),
+    steps = F.transform(trees, lambda t: t["w"] * F.get(t["value"], leaf(t)))
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("m"))
+    return F.aggregate(
+        steps, start,
+        lambda a, c: F.struct((a["s"] + c).alias("s"), F.array_append(a["m"], a["s"] + c).alias("m")),
+        lambda a: a["m"],
     )
 
 
-def iteration_metrics(model, test: DataFrame, id_col: str = "id") -> DataFrame:
-    """T5: per iteration the test log-loss (``evaluateEachIteration``), AUC
-    (trapezoid = Mann-Whitney, from a per-iteration prefix table) and F1 of
-    class 1 at probability 0.5."""
+def iteration_metrics(model, rows: DataFrame, part: str = "part") -> DataFrame:
+    """T5: ``part, iteration, logloss, auc, f1`` of every boosting round on
+    every part of the rows (learn and test): scores are counted per part,
+    round and value, and one pass over their running counts gives all three
+    (F1 of class 1 at probability 0.5)."""
     from tessera.operators.ranking import grouped_prefix_table
 
-    probs = iteration_probabilities(model, test, id_col)
-    g = probs.groupBy("iteration", "score").agg(
+    x = rows.select(part, F.col("label").cast("int").alias("label"), vector_to_array("features").alias("_x"))
+    long = x.select(part, "label", F.posexplode(running_margins(model, F.col("_x"))).alias("k", "margin"))
+    # Spark's logistic boosting: p = 1 / (1 + exp(-2 margin)).
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * F.col("margin")))
+    g = long.groupBy(part, (F.col("k") + 1).alias("iteration"), score.alias("score")).agg(
         F.sum("label").alias("pos"), F.sum(F.lit(1) - F.col("label")).alias("neg")
     )
-    pt = grouped_prefix_table(g, ["iteration"])
-    auc = pt.groupBy("iteration").agg(
-        (F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0))
-         / (F.first("P").cast("double") * F.first("N"))).alias("auc")
+    pt = grouped_prefix_table(materialize(g), [part, "iteration"])
+    p, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    hit = p >= 0.5
+    sums = pt.groupBy(part, "iteration").agg(
+        F.sum(-pos * F.ln(F.greatest(p, F.lit(1e-15))) - neg * F.ln(F.greatest(1 - p, F.lit(1e-15)))).alias("loss"),
+        F.sum(pos * (F.col("below_neg") + neg / 2.0)).alias("u"),
+        F.sum(F.when(hit, pos).otherwise(0)).alias("tp"), F.sum(F.when(hit, neg).otherwise(0)).alias("fp"),
+        F.first("P").alias("P"), F.first("N").alias("N"),
     )
-    hit = F.col("score") >= 0.5
-    f1 = probs.groupBy("iteration").agg(
-        F.count_if(hit & (F.col("label") == 1)).alias("tp"),
-        F.count_if(hit & (F.col("label") == 0)).alias("fp"),
-        F.count_if(~hit & (F.col("label") == 1)).alias("fn"),
-    ).select(
-        "iteration",
-        F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0,
-               2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0).alias("f1"),
+    found = F.col("tp") + F.col("fp") + F.col("P")
+    return sums.select(
+        part, "iteration", (F.col("loss") / (F.col("P") + F.col("N"))).alias("logloss"),
+        F.try_divide(F.col("u"), F.col("P").cast("double") * F.col("N")).alias("auc"),
+        F.when(found > 0, 2 * F.col("tp") / found).otherwise(0.0).alias("f1"),
     )
-    losses = gbt_iterations(model, test)
-    return losses.join(auc, "iteration", "left").join(f1, "iteration", "left")
 
 
 def model_facts(model, test: DataFrame, valid: DataFrame | None = None) -> DataFrame:

@@ -106,6 +106,17 @@ QUERIES = {
     f"{name}{suffix}": _make(op, RAW.get(suffix, src) if name in RAW_OPS else src)
     for suffix, src in SETS.items() for name, op in OPS.items()
 }
+
+
+def _make_all(src, raw):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranks = R.score_table(raw(spark, sf_dir)) if raw else None
+        return round_doubles(R.report_all(R.score_table(src(spark, sf_dir)), ranks))
+
+    return q
+
+
+QUERIES |= {f"report_all{suffix}": _make_all(src, RAW.get(suffix)) for suffix, src in SETS.items()}
 QUERIES |= {f"score_hist{suffix}_raw": _make(R.score_hist, src) for suffix, src in RAW.items()}
 
 
@@ -342,6 +353,30 @@ group by gl.label, grid.i
     }
 
 
+def _all_sql(sqls: dict[str, str]) -> str:
+    """All scalars of the single reports as ``section, name, value``."""
+
+    def wide(section: str, query: str, names: dict[str, str]) -> str:
+        return (
+            f"select '{section}' as section, unnest([{', '.join(repr(n) for n in names)}]) as name, "
+            f"unnest([{', '.join(f'({c})::DOUBLE' for c in names.values())}]) as value from ({sqls[query]})"
+        )
+
+    def plain(section: str, query: str, *names: str) -> str:
+        return wide(section, query, {n: n for n in names})
+
+    return " union all ".join([
+        f"select 'class:' || class_name as section, metric as name, value::DOUBLE as value from ({sqls['class_report']})",
+        plain("auc_ap", "auc_ap", "n_rows", "n_pos", "n_neg", "n_nonfinite", "auc", "ap"),
+        plain("youden", "youden", "threshold", "j", "tpr", "fpr"),
+        "select 'confusion' as section, case when y_true = 0 then (case when y_pred = 0 then 'tn' else 'fp' end)"
+        f" else (case when y_pred = 0 then 'fn' else 'tp' end) end as name, n::DOUBLE as value from ({sqls['confusion']})",
+        plain("box", "score_box", "min", "max", "mean", "q1", "median", "q3"),
+        plain("mwu", "mwu", "n1", "n0", "u1", "z", "p_value"),
+        f"select 'median' as section, label::BIGINT::VARCHAR as name, median::DOUBLE as value from ({sqls['median_by_label']})",
+    ])
+
+
 def oracle() -> dict[str, str]:
     out: dict[str, str] = {}
     for suffix in SETS:
@@ -352,6 +387,7 @@ def oracle() -> dict[str, str]:
             sqls |= {name: raw[name] for name in RAW_OPS} | {"score_hist_raw": raw["score_hist"]}
         if suffix == "_ppl":
             sqls = {k: v.replace("with s as (", "with " + F2_SQL + ", s as (", 1) for k, v in sqls.items()}
+        out[f"report_all{suffix}"] = _all_sql(sqls)
         for name, sql in sqls.items():
             out[f"score_hist{suffix}_raw" if name == "score_hist_raw" else f"{name}{suffix}"] = sql
     return out

@@ -64,19 +64,27 @@ f9 as (
 """
 
 
+_U = "('0x' || substr(md5(concat_ws('|', '42', cast({c} as varchar))), 1, 8))::BIGINT / 4294967296.0"
+
+
+def split_sql() -> str:
+    """CTE ``split``: the test rows of F9."""
+    return f""",
+r as (
+  select id, Y, row_number() over (partition by Y order by {_U.format(c='id')}, id) as rn,
+         count(*) over (partition by Y) as n
+  from f9
+),
+split as (select id, Y as y from r where rn <= floor(n * {TEST_FRAC} + 0.5))
+"""
+
+
 def oracle() -> dict[str, str]:
-    u = "('0x' || substr(md5(concat_ws('|', '42', cast({c} as varchar))), 1, 8))::BIGINT / 4294967296.0"
+    u = _U
     return {
         "seeded_sample": f"""
 select o_orderkey::BIGINT as o_orderkey, round(o_totalprice, 6) as o_totalprice
 from orders order by {u.format(c='o_orderkey')}, o_orderkey limit {SAMPLE_N}
 """,
-        "stratified_split": "with " + F9_SQL + f""",
-r as (
-  select id, Y, row_number() over (partition by Y order by {u.format(c='id')}, id) as rn,
-         count(*) over (partition by Y) as n
-  from f9
-)
-select id::BIGINT as id, Y::BIGINT as y from r where rn <= floor(n * {TEST_FRAC} + 0.5)
-""",
+        "stratified_split": "with " + F9_SQL + split_sql() + "select id::BIGINT as id, y::BIGINT as y from split",
     }

@@ -140,3 +140,33 @@ def test_report_plan_uses_the_raw_score_for_ranks(spark):
     plan = R.report_plan(df, raw_score="raw")
     assert {r["label"]: r["median"] for r in plan["medians"].collect()} == {0: 5.0, 1: 1.5}
     assert plan["mann_whitney"].first()["p_value"] < 0.1 and plan["auc_ap"].first()["auc"] == 1.0
+
+
+def test_report_all_equals_the_single_reports(spark):
+    rng = random.Random(8)
+    rows = [(round(rng.gauss(y, 1), 1), y) for y in (0, 1) for _ in range(120)] + [(float("nan"), 1), (float("inf"), 0), (None, 1)]
+    g = R.score_table(spark.createDataFrame(rows, "score double, label int"))
+    got = {(r["section"], r["name"]): r["value"] for r in R.report_all(g).collect()}
+    for section, op in (("auc_ap", R.auc_ap), ("youden", R.youden), ("box", R.score_box), ("mwu", R.mann_whitney_less)):
+        for name, value in op(g).first().asDict().items():
+            if section != "box" or name != "n":
+                assert got[section, name] == pytest.approx(value, rel=1e-12), (section, name)
+    assert {k[1]: v for k, v in got.items() if k[0] == "confusion"} == {
+        {(0, 0): "tn", (0, 1): "fp", (1, 0): "fn", (1, 1): "tp"}[r["y_true"], r["y_pred"]]: r["n"] for r in R.confusion(g).collect()}
+    for r in R.class_report(g).collect():
+        assert got["class:" + r["class_name"], r["metric"]] == pytest.approx(r["value"], rel=1e-12)
+    assert {r["label"]: r["median"] for r in R.median_by_label(g).collect()} == {int(n): v for (s, n), v in got.items() if s == "median"}
+    assert got["auc_ap", "n_nonfinite"] == 3 and len(got) == 44
+
+
+def test_report_of_no_finite_score(spark):
+    g = R.score_table(spark.createDataFrame([(float("nan"), 1), (None, 0)], "score double, label int"))
+    got = {(r["section"], r["name"]): r["value"] for r in R.report_all(g).collect()}
+    assert got["auc_ap", "n_nonfinite"] == 2 and got["confusion", "tp"] == 0 and got["youden", "threshold"] == math.inf
+    assert R.roc_points(g).count() == 1 and R.auc_ap(g).first()["n_nonfinite"] == 2
+
+
+def test_scalars_are_one_aggregate(spark):
+    g = R.score_table(spark.createDataFrame([(float(v), v % 2) for v in range(50)], "score double, label int"))
+    plan = R.class_report(g)._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in plan and "Join" not in plan and "Window" not in plan

@@ -23,14 +23,54 @@ def test_grouped_prefix_equals_per_group(spark):
             assert got[(k, r["score"])] == (r["below_pos"], r["below_neg"])
 
 
-def test_iteration_auc_matches_final_report(spark):
+@pytest.fixture(scope="module")
+def data(spark):
     rows = stratified_split(f9_rows(spark, SF_SMALL), "id", "Y", 0.2, 42)
-    data = TR.materialize(TR.assemble(rows, FEATURES, "Y"))
-    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-    model = TR.train_gbt(train, max_iter=5, validation_col=None, max_depth=3)
-    m = {r["iteration"]: r for r in TR.iteration_metrics(model, test).collect()}
-    assert sorted(m) == [1, 2, 3, 4, 5]
-    p = TR.predictions(model, test).select(F.col("proba_class_1").alias("score"), F.col("y_true").alias("label"))
-    want = R.auc_ap(R.score_table(p)).first()["auc"]
-    assert m[5]["auc"] == pytest.approx(want, abs=1e-9)
-    assert all(0.0 <= r["f1"] <= 1.0 for r in m.values())
+    rows = TR.materialize(TR.assemble(rows, FEATURES, "Y"))
+    return rows.where(~F.col("is_test")), rows.where(F.col("is_test"))
+
+
+def test_rounds_of_both_parts(spark, data):
+    train, test = data
+    model = TR.train_gbt(train, max_iter=6, max_depth=3)
+    rows = train.withColumn("part", F.lit("learn")).unionByName(test.withColumn("part", F.lit("test")))
+    got = {(r["part"], r["iteration"]): r for r in TR.iteration_metrics(model, rows).collect()}
+    assert sorted(got) == [(p, k) for p in ("learn", "test") for k in range(1, 7)]
+    for part, df in (("learn", train), ("test", test)):
+        # Spark's own loss is twice the mean negative log-likelihood.
+        for k, loss in enumerate(model.evaluateEachIteration(df), 1):
+            assert got[part, k]["logloss"] == pytest.approx(loss / 2, abs=1e-9)
+        p = TR.predictions(model, df).select(F.col("proba_class_1").alias("score"), F.col("y_true").alias("label"))
+        assert got[part, 6]["auc"] == pytest.approx(R.auc_ap(R.score_table(p)).first()["auc"], abs=1e-9)
+        hit = p.selectExpr("count_if(score >= 0.5 and label = 1)", "count_if(score >= 0.5 and label = 0)", "count_if(score < 0.5 and label = 1)").first()
+        assert got[part, 6]["f1"] == pytest.approx(2 * hit[0] / max(1, 2 * hit[0] + hit[1] + hit[2]))
+
+
+def test_running_margins_walk_every_tree(spark, data):
+    from pyspark.ml.functions import vector_to_array
+
+    _, test = data
+    model = TR.train_gbt(test, max_iter=3, max_depth=4)
+    x = test.withColumn("x", vector_to_array("features"))
+    rows = x.select("features", TR.running_margins(model, F.col("x")).alias("m")).limit(40).collect()
+    for r in rows:
+        want, total = [], 0.0
+        for tree, w in zip(model.trees, model.treeWeights):
+            total += w * tree.predict(r["features"])
+            want.append(total)
+        assert r["m"] == pytest.approx(want, abs=1e-12)
+
+
+def test_eval_set_ends_the_rounds(spark, data):
+    train, test = data
+    model = TR.train_gbt(train, test, max_iter=40, max_depth=2)
+    losses = model.evaluateEachIteration(test)
+    assert model.getNumTrees <= 40 and losses[-1] == min(losses)
+
+
+def test_labelled_sample_keeps_the_shares(spark, data):
+    train, _ = data
+    took = TR.labelled_sample(train, bound=200)
+    share = lambda df: df.agg(F.avg("label")).first()[0]
+    assert abs(took.count() - 200) <= 1 and share(took) == pytest.approx(share(train), abs=0.01)
+    assert TR.labelled_sample(train, bound=10**6).count() == train.count()
