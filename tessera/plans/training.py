@@ -23,20 +23,27 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _fitted(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
-    """``model, train, test``: one fit per session and folder serves all queries of a model."""
+    """``model, best round, train, test``: one fit per session and folder serves all queries of a model."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
         train, test = _split(spark, sf_dir)
-        model = TR.train_random_forest(TR.labelled_sample(train)) if kind == "rf" else TR.train_gbt(train, test)
-        _MODELS[key] = model, train, test
+        if kind == "rf":
+            found = TR.train_random_forest(TR.labelled_sample(train)), None
+        else:
+            found = TR.train_gbt_to_best(train, test)
+        _MODELS[key] = *found, train, test
     return _MODELS[key]
 
 
+def _scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    model, best, _, test = _fitted(spark, sf_dir, kind)
+    return TR.predictions(model, test) if best is None else TR.predictions_at(model, best, test)
+
+
 def _predictions(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         """T4: class probabilities of the test rows."""
-        model, _, test = _fitted(spark, sf_dir, kind)
-        return round_doubles(TR.predictions(model, test))
+        return round_doubles(_scored(spark, sf_dir, kind))
 
     return q
 
@@ -44,10 +51,9 @@ def _predictions(kind: str):
 def _checked(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         """T4: the scored rows, their labels, and whether their probabilities are a distribution."""
-        model, _, test = _fitted(spark, sf_dir, kind)
         p0, p1 = F.col("proba_class_0"), F.col("proba_class_1")
         sound = p0.between(0, 1) & p1.between(0, 1) & (F.abs(p0 + p1 - 1) < 1e-9)
-        return TR.predictions(model, test).select(
+        return _scored(spark, sf_dir, kind).select(
             F.col("eval_id").cast("bigint"), F.col("y_true").cast("bigint").alias("y_true"), sound.alias("sound")
         )
 
@@ -57,8 +63,7 @@ def _checked(kind: str):
 def _report(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The whole report on the test predictions."""
-        model, _, test = _fitted(spark, sf_dir, kind)
-        p = TR.predictions(model, test).select(F.col("proba_class_1").alias("score"), F.col("y_true").alias("label"))
+        p = _scored(spark, sf_dir, kind).select(F.col("proba_class_1").alias("score"), F.col("y_true").alias("label"))
         return round_doubles(R.report_all(R.score_table(p)))
 
     return q
@@ -67,7 +72,7 @@ def _report(kind: str):
 def _facts(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         """For boosting also the best round on the eval set and its loss."""
-        model, _, test = _fitted(spark, sf_dir, kind)
+        model, _, _, test = _fitted(spark, sf_dir, kind)
         return round_doubles(TR.model_facts(model, test, valid=test if kind == "gbt" else None))
 
     return q
@@ -75,7 +80,7 @@ def _facts(kind: str):
 
 def q_gbt_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: log-loss, AUC and F1 of learn and test rows after each boosting round."""
-    model, train, test = _fitted(spark, sf_dir, "gbt")
+    model, _, train, test = _fitted(spark, sf_dir, "gbt")
     rows = train.withColumn("part", F.lit("learn")).unionByName(test.withColumn("part", F.lit("test")))
     return round_doubles(TR.iteration_metrics(model, rows))
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -63,9 +64,15 @@ def test_running_margins_walk_every_tree(spark, data):
 
 def test_eval_set_ends_the_rounds(spark, data):
     train, test = data
-    model = TR.train_gbt(train, test, max_iter=40, max_depth=2)
+    model, best = TR.train_gbt_to_best(train, test, max_iter=12, patience=3, max_depth=2)
     losses = model.evaluateEachIteration(test)
-    assert model.getNumTrees <= 40 and losses[-1] == min(losses)
+    assert losses[best - 1] == min(losses) and (len(losses) == 12 or len(losses) - best >= 3)
+    p = {r["eval_id"]: r for r in TR.predictions_at(model, best, test).collect()}
+    loss = 0.0
+    for r in p.values():
+        assert r["proba_class_0"] + r["proba_class_1"] == pytest.approx(1.0)
+        loss -= math.log(r["proba_class_1"] if r["y_true"] else r["proba_class_0"])
+    assert loss / len(p) == pytest.approx(losses[best - 1] / 2, abs=1e-9)
 
 
 def test_labelled_sample_keeps_the_shares(spark, data):
