@@ -183,17 +183,86 @@ def apply_draws(ranked: DataFrame, draws: DataFrame, key: str) -> DataFrame:
     )
 
 
+MASKS_TYPE = "array<array<struct<token_str:string,score:double>>>"
+
+
+def mask_calls(ranked: DataFrame, key: str) -> DataFrame:
+    """The model's inputs, one row per chunk that has a mask (no other
+    reaches it): ``key, chunk_no, text, n_masks, first_mask``; ``first_mask``
+    counts the key's masks in earlier chunks."""
+    chunks = sentence_chunks(masked_texts(ranked, key), key).where("has_mask")
+    before = Window.partitionBy(key).orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.select(
+        key, "chunk_no", "text", "n_masks", F.coalesce(F.sum("n_masks").over(before), F.lit(0)).cast("int").alias("first_mask")
+    )
+
+
+def fill_with_function(calls: DataFrame, scorer_factory, key: str, **how) -> DataFrame:
+    """B7 by an external model: ``fn({'text': ...})`` returns per mask a list
+    of ``(token_str, score)``. Adds ``masks, ok, error``; ``how`` goes to
+    :func:`tessera.operators.scoring.results_with_function`."""
+    from tessera.operators.scoring import results_with_function
+
+    def convert(value) -> dict:
+        return {"masks": [[{"token_str": t, "score": float(p)} for t, p in mask] for mask in value]}
+
+    return results_with_function(calls, scorer_factory, [key, "chunk_no", "first_mask", "n_masks"], ["text"], f"masks {MASKS_TYPE}", convert, **how)
+
+
+def fill_with_table(calls: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """B7 from earlier results ``text, masks``: a chunk whose text has none fails."""
+    found = cache.select(F.sha2("text", 256).alias("_h"), "masks")
+    out = calls.withColumn("_h", F.sha2("text", 256)).join(found, "_h", "left")
+    ok = F.col("masks").isNotNull()
+    return out.select(
+        key, "chunk_no", "first_mask", "n_masks", "masks", ok.alias("ok"),
+        F.when(~ok, F.concat(F.lit("KeyError: no candidates for chunk "), F.col("chunk_no").cast("string"))).alias("error"),
+    )
+
+
+def mask_candidates(filled: DataFrame, key: str) -> DataFrame:
+    """``key, mask_no, cand_no, token_str, score`` of all answered calls,
+    masks numbered over the key's whole text."""
+    masks = filled.where("ok").select(key, "first_mask", F.posexplode("masks").alias("_m", "cands"))
+    return masks.select(
+        key, (F.col("first_mask") + F.col("_m")).alias("mask_no"), F.posexplode("cands").alias("cand_no", "c")
+    ).select(key, "mask_no", "cand_no", "c.token_str", "c.score")
+
+
+def call_status(filled: DataFrame, key: str) -> DataFrame:
+    """``key, ok, error``: a key fails with the first of its calls that failed."""
+    return filled.groupBy(key).agg(
+        F.bool_and("ok").alias("ok"), F.min_by("error", F.when(~F.col("ok"), F.col("chunk_no"))).alias("error")
+    )
+
+
 def perturb(
-    units: DataFrame, cands: DataFrame, key: str, n: int, ascending: bool = False, seed: int = 42
+    units: DataFrame, cands: DataFrame, key: str, n: int, ascending: bool = False, seed: int = 42,
+    status: DataFrame | None = None,
 ) -> DataFrame:
     """B1-B14 end to end: ``key, context, change_set``. A mask without a draw
-    stays in the text. Only keys of which no mask got a draw although they
-    have masks (the model call failed) are left out, so the B15 left join
-    gives them a null context (B14)."""
+    stays in the text. Keys whose ``status`` (:func:`call_status`) says that a
+    call failed are left out, so the B15 left join gives them a null context;
+    a key without a status had no call to fail."""
     ranked = rank_units(units, key, n, ascending)
     draws = inverse_prob_draws(cands, key, seed)
-    out = apply_draws(ranked, draws, key)
-    return out.where((F.col("n_masks") == 0) | (F.col("n_draws") > 0)).drop("n_masks", "n_draws")
+    out = apply_draws(ranked, draws, key).drop("n_masks", "n_draws")
+    if status is not None:
+        out = out.join(status.where(~F.col("ok")).select(key), key, "left_anti")
+    return out
+
+
+def perturb_with_model(units: DataFrame, fill, key: str, n: int, ascending: bool = False, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The whole chain from units to ``(key, context, change_set)`` and the
+    status of the keys that had calls. ``fill`` answers :func:`mask_calls`
+    (:func:`fill_with_function` or :func:`fill_with_table`); its results are
+    written once, as both candidates and status read them."""
+    from tessera.session import materialize
+
+    units = materialize(units)
+    filled = materialize(fill(mask_calls(rank_units(units, key, n, ascending), key)))
+    status = call_status(filled, key)
+    return perturb(units, mask_candidates(filled, key), key, n, ascending, seed, status), status
 
 
 def merge_perturbed(qa: DataFrame, ptb: DataFrame, key: str) -> DataFrame:

@@ -5,18 +5,21 @@ What runs here: vector similarity and softmax as Catalyst expressions, the
 verdict aggregates behind faithfulness / answer correctness, and a batch
 scorer contract:
 
-* ``score_with_function`` -- ``mapInPandas`` over Arrow batches; a scorer
-  factory is called once per task (model/client setup), rows are scored with
-  bounded concurrency inside the batch, a failing row gets ``ok = false`` and
-  ``error = 'Type: message'`` while the rest of the batch goes on (E4, E5);
+* ``results_with_function`` (and ``score_with_function``,
+  ``steps_with_function`` on it) -- a scorer factory is called once per task
+  (model/client setup), rows are scored with bounded concurrency across the
+  task's batches and come out as calls end, a failing or late row gets ``ok =
+  false`` and ``error = 'Type: message'`` while the others go on (E4, E5);
 * ``score_with_table`` -- scores that already exist as a table (a cache of
   earlier calls, or a test double) are joined by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+import queue
+import threading
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,61 +113,130 @@ def score_with_table(
 ScoreFn = Callable[[dict], float]
 
 
-def score_with_function(
+def calls_in_flight(fn: Callable, items: Iterable, concurrency: int, timeout: float | None) -> Iterator[tuple]:
+    """E5: ``(item, value, error)`` in the order in which calls end.
+
+    At most ``concurrency`` calls run at once, and each has ``timeout`` seconds
+    from its own start. A call over its time is given up: its item fails, its
+    place goes to the next item, and what it returns later is not looked at. So
+    a hung call delays no other. ``items`` is read as places become free.
+    """
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+    waiting, running, number = iter(items), {}, 0
+
+    def work(k: int, item) -> None:
+        try:
+            ended.put((k, fn(item), None))
+        except Exception as e:  # noqa: BLE001 - a failed call fails its item only
+            ended.put((k, None, f"{type(e).__name__}: {e}"))
+
+    more = True
+    while True:
+        while more and len(running) < max(1, concurrency):
+            try:
+                item = next(waiting)
+            except StopIteration:
+                more = False
+                break
+            running[number] = item, None if timeout is None else time.monotonic() + timeout
+            threading.Thread(target=work, args=(number, item), daemon=True).start()  # a hung call must not hold the task
+            number += 1
+        if not running:
+            return
+        # Calls start in order and have the same time, so the first one running is due first.
+        due = next(iter(running.values()))[1]
+        try:
+            k, value, error = ended.get(timeout=None if due is None else max(0.0, due - time.monotonic()))
+        except queue.Empty:
+            item, _ = running.pop(next(iter(running)))
+            yield item, None, f"TimeoutError: no answer in {timeout:g} s"
+            continue
+        if k in running:
+            yield running.pop(k)[0], value, error
+
+
+def results_with_function(
     rows: DataFrame,
-    scorer_factory: Callable[[], ScoreFn],
-    key: str,
+    scorer_factory: Callable[[], Callable],
+    key: str | list[str],
     inputs: list[str],
-    score_name: str = "score",
+    result: str,
+    convert: Callable = lambda value: value,
     concurrency: int = DEFAULT_CONCURRENCY,
+    timeout: float | None = DEFAULT_TIMEOUT,
+    batch: bool = False,
     progress=None,
+    out_rows: int = 256,
 ) -> DataFrame:
-    """Call an external scorer per row inside Arrow batches.
+    """An external call per row (per Arrow batch of rows, with
+    ``batch``); any result type.
 
     ``scorer_factory()`` runs once per task and returns ``fn(row_dict) ->
-    float``; up to ``concurrency`` calls run at once per task (the outer
-    parallelism is the number of partitions). Output: ``key, ok, score,
-    error``; a raised exception becomes ``error = 'Type: message'``.
-    ``progress``: an optional Spark accumulator; each task adds the rows it
-    scored (the reference's progress counter), readable on the driver.
+    value``, or ``fn([row_dict]) -> [value]``; ``convert`` makes a dict of the
+    columns ``result`` (DDL) of a value. Output: the keys, those columns (null
+    where the call failed), ``ok`` and ``error = 'Type: message'``, in the
+    order in which calls end. ``progress``: a Spark accumulator of rows done.
     """
-    key_type = rows.schema[key].dataType
+    keys = [key] if isinstance(key, str) else list(key)
+    fields = T.StructType.fromDDL(result)
     schema = T.StructType(
-        [
-            T.StructField(key, key_type),
-            T.StructField("ok", T.BooleanType()),
-            T.StructField(score_name, T.DoubleType()),
-            T.StructField("error", T.StringType()),
-        ]
+        [rows.schema[k] for k in keys] + fields.fields + [T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())]
     )
+    names = fields.fieldNames()
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        arrow = to_arrow_schema(schema)
         fn = scorer_factory()
 
-        def one(rec: dict):
-            try:
-                return True, float(fn(rec)), None
-            except Exception as e:  # noqa: BLE001 - a failed call fails one row
-                return False, None, f"{type(e).__name__}: {e}"
-
-        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
-            for pdf in batches:
-                recs = pdf.to_dict("records")
-                res = list(pool.map(one, recs))
-                if progress is not None:
-                    progress.add(len(res))
-                yield pd.DataFrame(
-                    {
-                        key: pdf[key],
-                        "ok": [r[0] for r in res],
-                        score_name: [r[1] for r in res],
-                        "error": [r[2] for r in res],
-                    }
-                )
-
-    return rows.select(key, *inputs).mapInPandas(run, schema)
+        def one(recs: list[dict]) -> list[dict]:
+            values = fn(recs) if batch else [fn(recs[0])]
+            done = [convert(v) for v in values]
+            if len(done) != len(recs):
+                raise ValueError(f"{len(done)} results for {len(recs)} rows")
+            return done
+
+        def items():
+            for part in batches:
+                recs = part.to_pylist()
+                yield from ([recs] if batch else ([r] for r in recs))
+
+        out: list[dict] = []
+        for recs, values, error in calls_in_flight(one, items(), concurrency, timeout):
+            if progress is not None:
+                progress.add(len(recs))
+            for i, r in enumerate(recs):
+                value = dict.fromkeys(names) if error else values[i]
+                out.append({k: r[k] for k in keys} | value | {"ok": error is None, "error": error})
+            if len(out) >= out_rows:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.select(*keys, *[c for c in inputs if c not in keys]).mapInArrow(run, schema)
+
+
+def score_with_function(
+    rows: DataFrame,
+    scorer_factory: Callable[[], ScoreFn],
+    key: str,
+    inputs: list[str],
+    score_name: str = "score",
+    concurrency: int = DEFAULT_CONCURRENCY,
+    progress=None,
+    timeout: float | None = DEFAULT_TIMEOUT,
+) -> DataFrame:
+    """One number per row: ``key, ok, score, error``."""
+    out = results_with_function(
+        rows, scorer_factory, key, inputs, f"`{score_name}` double", lambda v: {score_name: float(v)}, concurrency, timeout, progress=progress
+    )
+    return out.select(key, "ok", score_name, "error")
+
+
+STEPS_TYPE = "array<array<struct<decoded_token:string,logprob:double,rank:int>>>"
 
 
 def steps_with_function(
@@ -183,44 +255,18 @@ def steps_with_function(
     (steps, prefix_length)``, or with ``batch`` ``fn([row_dict]) -> [...]``; a
     step is a list of ``(decoded_token, logprob, rank)`` or None. A call that
     raises, or takes longer than ``timeout`` seconds, fails its row only
-    (its rows, with ``batch``).
+    (its rows, with ``batch``): no steps and prefix 0.
     """
-    step = "array<array<struct<decoded_token:string,logprob:double,rank:int>>>"
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, prompt_logprob {step}, prefix_length int, ok boolean, error string"
     names = ("decoded_token", "logprob", "rank")
 
-    def run(batches):
-        import pyarrow as pa
+    def convert(value) -> dict:
+        steps, prefix = value
+        return {"prompt_logprob": [None if s is None else [dict(zip(names, a)) for a in s] for s in steps], "prefix_length": int(prefix)}
 
-        fn = scorer_factory()
-        pool = ThreadPoolExecutor(max_workers=max(1, concurrency))
-        try:
-            for part in batches:
-                recs = part.to_pylist()
-                calls = [recs] if batch else [[r] for r in recs]
-                waiting = [pool.submit(fn, c if batch else c[0]) for c in calls]
-                out = []
-                for call, future in zip(calls, waiting):
-                    try:
-                        got = future.result(timeout=timeout)
-                        got = got if batch else [got]
-                        done = [
-                            {"prompt_logprob": [None if s is None else [dict(zip(names, a)) for a in s] for s in steps],
-                             "prefix_length": int(prefix), "ok": True, "error": None}
-                            for steps, prefix in got
-                        ]
-                        if len(done) != len(call):
-                            raise ValueError(f"{len(done)} results for {len(call)} rows")
-                    except Exception as e:  # noqa: BLE001 - a failed call fails its rows
-                        future.cancel()
-                        done = [{"prompt_logprob": [], "prefix_length": 0, "ok": False, "error": f"{type(e).__name__}: {e}"}] * len(call)
-                    out += [{key: r[key], **d} for r, d in zip(call, done)]
-                alternative = pa.struct([("decoded_token", pa.string()), ("logprob", pa.float64()), ("rank", pa.int32())])
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                    (key, part.schema.field(key).type), ("prompt_logprob", pa.list_(pa.list_(alternative))),
-                    ("prefix_length", pa.int32()), ("ok", pa.bool_()), ("error", pa.string()),
-                ]))
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)  # a hung call must not hold the task
-
-    return rows.select(key, *inputs).mapInArrow(run, schema)
+    out = results_with_function(
+        rows, scorer_factory, key, inputs, f"prompt_logprob {STEPS_TYPE}, prefix_length int", convert, concurrency, timeout, batch
+    )
+    return out.select(
+        key, F.coalesce("prompt_logprob", F.array().cast(STEPS_TYPE)).alias("prompt_logprob"),
+        F.coalesce("prefix_length", F.lit(0)).alias("prefix_length"), "ok", "error",
+    )

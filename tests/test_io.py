@@ -79,3 +79,52 @@ def test_steps_with_function(spark):
     scored = steps_with_function(rows.withColumn("x", F.lit("ok")), factory, "eval_id", ["x"])
     io.write_logprobs(rows.join(scored, "eval_id"), out)
     assert io.read_logprobs(spark, out, ["eval_id", "prompt_logprob"]).first()["steps_ok"]
+
+
+def test_a_hung_call_delays_no_other():
+    import threading
+    import time
+
+    from tessera.operators.scoring import calls_in_flight
+
+    free = threading.Event()
+
+    def fn(x):
+        if x == "hung":
+            free.wait()
+        if x == "slow":
+            time.sleep(0.25)
+        if x == "bad":
+            raise KeyError(x)
+        return x
+
+    items = ["hung", "slow", "bad", *range(40)]
+    t0, order, late = time.monotonic(), [], {}
+    for item, value, error in calls_in_flight(fn, iter(items), 2, 1.0):
+        order.append(item)
+        late[item] = time.monotonic() - t0, value, error
+    free.set()
+    assert sorted(map(str, order)) == sorted(map(str, items))
+    assert order[-1] == "hung" and late["hung"][2].startswith("TimeoutError") and late["hung"][0] < 1.5
+    assert late[39][0] < 0.9 and late[39][1:] == (39, None) and late["bad"][2] == "KeyError: 'bad'"
+    # Each call has its own time: the second hung call starts when the first one's place is free.
+    free.clear()
+    t0 = time.monotonic()
+    got = [(i, round(time.monotonic() - t0, 1)) for i, _, e in calls_in_flight(fn, ["hung", "hung"], 1, 0.3) if e]
+    free.set()
+    assert [g[0] for g in got] == ["hung", "hung"] and 0.5 <= got[1][1] <= 0.9
+    assert list(calls_in_flight(fn, [], 3, None)) == []
+
+
+def test_results_of_any_type_by_two_keys(spark):
+    from tessera.operators.scoring import results_with_function
+
+    def factory():
+        return lambda r: [[("x", 0.5)], []] if r["b"] else 1 / 0
+
+    df = spark.createDataFrame([(1, "p", 1), (2, "q", 0)], "a long, k string, b int")
+    out = results_with_function(df, factory, ["a", "k"], ["b"], "m array<array<struct<t:string,s:double>>>",
+                                lambda v: {"m": [[{"t": t, "s": s} for t, s in x] for x in v]})
+    got = {r["a"]: r for r in out.collect()}
+    assert got[1]["m"][0][0]["s"] == 0.5 and got[1]["m"][1] == [] and got[1]["ok"] and got[1]["k"] == "p"
+    assert got[2]["m"] is None and not got[2]["ok"] and got[2]["error"].startswith("ZeroDivisionError")

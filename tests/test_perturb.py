@@ -82,7 +82,58 @@ def test_masking_and_apply(spark):
     assert out["context"] == "AX<mask> d" and dict(out["change_set"]) == {1: "X"}
     kept = B.perturb(u, cands, "k", 2).first()
     assert kept["context"] == "AX<mask> d"  # partly drawn: kept, with the mask that has no draw
-    assert B.perturb(u, cands.limit(0), "k", 2).count() == 0  # no draw at all: the call failed
+    assert B.perturb(u, cands.limit(0), "k", 2).first()["context"] == "A<mask><mask> d"  # no candidates, but no failure either
+    failed = spark.createDataFrame([(1, False, "x")], "k int, ok boolean, error string")
+    assert B.perturb(u, cands, "k", 2, status=failed).count() == 0
+
+
+def test_chain_from_units_to_context(spark):
+    long = [(" w" if i else "w") + f"{i}" + ("." if i % 120 == 119 else "") for i in range(400)]
+    texts = {1: (["A", " b", " c.", " d"], [0, 2]), 2: (long, [1, 300]), 3: (["x", " y"], []), 4: (["no", " luck", " at", " all"], [1, 2]), 5: (long, [5, 250, 251])}
+    units = [(k, i, t, 1.0 if i in m else 0.0) for k, (ts, m) in texts.items() for i, t in enumerate(ts)]
+    u = spark.createDataFrame(units, "k int, index int, text_unit string, value double").where("k != 3 or index >= 0")
+    seen = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def fn(rec):
+            seen.add(1)
+            n = rec["text"].count(B.MASK)
+            assert n > 0
+            if "luck" in rec["text"] or "no" in rec["text"]:
+                raise OSError("model is gone")
+            return [[(f" <{j}>", 0.5), ("  ", 0.1)] for j in range(min(n, 1))]  # never more than one answer a chunk
+
+        return fn
+
+    def chain(keys, n):
+        part = u.where(F.col("k").isin(keys))
+        ptb, status = B.perturb_with_model(part, lambda c: B.fill_with_function(c, factory, "k"), "k", n)
+        return {r["k"]: r for r in ptb.collect()}, {r["k"]: r for r in status.collect()}
+
+    out, status = chain([1, 2, 4], 2)
+    assert out[1]["context"] == "<0> b<mask> d" and dict(out[1]["change_set"]) == {0: "<0>"}  # partly drawn
+    # Two chunks, a mask in each: masks are numbered over the whole text.
+    assert dict(out[2]["change_set"]) == {1: "<0>", 300: "<0>"} and B.MASK not in out[2]["context"]
+    assert 4 not in out and not status[4]["ok"] and status[4]["error"] == "OSError: model is gone" and status[1]["ok"]
+    out, _ = chain([5], 3)
+    assert dict(out[5]["change_set"]) == {5: "<0>", 250: "<0>"} and out[5]["context"].count(B.MASK) == 1
+    out, status = chain([3], 0)  # nothing masked: no call, the text as it was
+    assert out[3]["context"] == "x y" and status == {} and out[3]["change_set"] == {}
+
+
+def test_only_chunks_with_masks_are_calls(spark):
+    words = [(" w" if i else "w") + ("." if i % 50 == 49 else "") for i in range(1000)]
+    u = spark.createDataFrame([(1, i, t, float(i == 990)) for i, t in enumerate(words)], "k int, index int, text_unit string, value double")
+    ranked = B.rank_units(u, "k", 1)
+    chunks = B.sentence_chunks(B.masked_texts(ranked, "k"), "k")
+    calls = B.mask_calls(ranked, "k").collect()
+    assert chunks.count() > 4 and len(calls) == 1 and calls[0]["n_masks"] == 1 and calls[0]["first_mask"] == 0
+    text = calls[0]["text"]
+    cache = spark.createDataFrame([(text, [[("t", 1.0)]]), ("other", [])], f"text string, masks {B.MASKS_TYPE}")
+    hit = B.fill_with_table(B.mask_calls(ranked, "k"), cache, "k").first()
+    assert hit["ok"] and hit["masks"][0][0]["token_str"] == "t"
+    miss = B.fill_with_table(B.mask_calls(ranked, "k"), cache.where("text = 'other'"), "k").first()
+    assert not miss["ok"] and miss["error"].startswith("KeyError")
 
 
 def test_draw_frequencies_follow_inverse_weights(spark):
