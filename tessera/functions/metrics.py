@@ -13,6 +13,7 @@ Lambdas re-evaluate outer sub-expressions on every call, so repeated values
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -201,24 +202,50 @@ def invert_entropy(score: Column) -> Column:
 
 # ------------------------------------------------------------------ registry
 
+# A metric is one expression of one of three kinds:
+#   step      a step -> its value
+#   sequence  an array of steps -> array<struct<value, index, text_unit>>
+#   word      a step -> its token's value, averaged over each word
 MetricFn = Callable[[Column], Column]
-METRICS: dict[str, MetricFn] = {}
+KINDS = ("step", "sequence", "word")
 
 
-def register(name: str, fn: MetricFn) -> None:
-    """Named registry of ``array<step> -> array<unit>`` metrics."""
+class Metric(NamedTuple):
+    kind: str
+    fn: MetricFn
+
+
+METRICS: dict[str, Metric] = {}
+
+
+def register(name: str, fn: MetricFn, kind: str = "step") -> None:
+    """The one registry of named metrics, built-in and the user's. A
+    registered metric works on segments (``by_name.apply_metric``), on tables
+    of step arrays (``by_name.apply_to_sequences``) and, but for words, as an
+    expression over a step array (:func:`get_metric`)."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}; known: {KINDS}")
     if name in METRICS:
         raise RuntimeError(f"metric {name!r} is already registered")
-    METRICS[name] = fn
+    METRICS[name] = Metric(kind, fn)
 
 
-def get_metric(name: str) -> MetricFn:
+def find_metric(name: str) -> Metric:
     try:
         return METRICS[name]
     except KeyError:
         raise KeyError(f"unknown metric {name!r}; known: {sorted(METRICS)}") from None
 
 
-register(TOKEN_LL, token_ll)
-register(TOKEN_NLL, token_nll)
-register(TOKEN_ENTROPY, token_entropy)
+def get_metric(name: str) -> MetricFn:
+    """The metric as ``array<step> -> array<unit>``."""
+    kind, fn = find_metric(name)
+    if kind == "word":
+        raise ValueError(f"{name!r} groups tokens to words: apply it to a table")
+    return fn if kind == "sequence" else lambda steps: _units(steps, fn)
+
+
+register(TOKEN_LL, step_ll)
+register(TOKEN_NLL, step_nll)
+register(TOKEN_ENTROPY, step_entropy)
+register(WORD_MEAN_ENTROPY, step_entropy, kind="word")

@@ -8,8 +8,6 @@ a column per segment, the layout of the scores file (K3).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,41 +17,48 @@ from tessera.operators.words import word_units
 SEGMENTS = ("instruct", "context", "question", "answer")
 
 
-def _by_step(value_fn) -> Callable[[DataFrame], DataFrame]:
-    def run(seg: DataFrame) -> DataFrame:
-        w = Window.partitionBy("eval_id", "segment").orderBy("pos")
-        return seg.select(
-            "eval_id", "segment",
-            (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
-            F.col("step")[0]["decoded_token"].alias("text_unit"),
-            value_fn(F.col("step")).alias("value"),
-        )
+def _by_step(seg: DataFrame, fn: M.MetricFn) -> DataFrame:
+    w = Window.partitionBy("eval_id", "segment").orderBy("pos")
+    return seg.select(
+        "eval_id", "segment",
+        (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
+        F.col("step")[0]["decoded_token"].alias("text_unit"),
+        fn(F.col("step")).alias("value"),
+    )
+
 
-    return run
+def _by_sequence(seg: DataFrame, fn: M.MetricFn) -> DataFrame:
+    # A segment's steps are the elements of one answer's row.
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"])
+    units = seg.groupBy("eval_id", "segment").agg(steps.alias("_steps")).select("eval_id", "segment", F.inline_outer(fn(F.col("_steps"))))
+    return units.where(F.col("index").isNotNull()).select("eval_id", "segment", F.col("index").cast("bigint").alias("idx"), "text_unit", "value")
 
 
-def _by_word(seg: DataFrame) -> DataFrame:
-    tokens = seg.select(
-        "eval_id", "segment", "pos", F.col("step")[0]["decoded_token"].alias("token"), M.step_entropy(F.col("step")).alias("value")
-    )
+def _by_word(seg: DataFrame, fn: M.MetricFn) -> DataFrame:
+    tokens = seg.select("eval_id", "segment", "pos", F.col("step")[0]["decoded_token"].alias("token"), fn(F.col("step")).alias("value"))
     return word_units(tokens, ["eval_id", "segment"]).select(
         "eval_id", "segment", F.col("index").cast("bigint").alias("idx"), "text_unit", "value"
     )
 
 
-SEGMENT_METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    M.TOKEN_LL: _by_step(M.step_ll),
-    M.TOKEN_NLL: _by_step(M.step_nll),
-    M.TOKEN_ENTROPY: _by_step(M.step_entropy),
-    M.WORD_MEAN_ENTROPY: _by_word,
-}
+_FORMS = {"step": _by_step, "sequence": _by_sequence, "word": _by_word}
 
 
 def apply_metric(seg: DataFrame, name: str) -> DataFrame:
     """One named metric over all segments; an unknown name is an error."""
-    if name not in SEGMENT_METRICS:
-        raise KeyError(f"unknown metric {name!r}; known: {sorted(SEGMENT_METRICS)}")
-    return SEGMENT_METRICS[name](seg)
+    kind, fn = M.find_metric(name)
+    return _FORMS[kind](seg, fn)
+
+
+def apply_to_sequences(rows: DataFrame, name: str, key: str = "eval_id", steps: str = "steps") -> DataFrame:
+    """The same metric over a table of step arrays: ``key, idx, text_unit, value``."""
+    kind, _ = M.find_metric(name)
+    if kind != "word":
+        units = rows.select(key, F.inline_outer(M.get_metric(name)(F.col(steps)))).where(F.col("index").isNotNull())
+        return units.select(key, F.col("index").cast("bigint").alias("idx"), "text_unit", "value")
+    long = rows.select(F.col(key).alias("eval_id"), F.lit("").alias("segment"), F.posexplode_outer(steps).alias("pos", "step"))
+    long = long.where(F.col("step").isNotNull() & (F.size("step") > 0))
+    return apply_metric(long, name).select(F.col("eval_id").alias(key), "idx", "text_unit", "value")
 
 
 def parted_scores(units: DataFrame) -> DataFrame:

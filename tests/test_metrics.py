@@ -66,4 +66,42 @@ def test_sequence_values_by_hand(spark, seqs):
 def test_registry_rejects_duplicates():
     with pytest.raises(RuntimeError):
         M.register("token_ll", M.token_ll)
-    assert set(M.METRICS) >= {"token_ll", "token_nll", "token_entropy"}
+    with pytest.raises(ValueError):
+        M.register("other", M.step_ll, kind="page")
+    with pytest.raises(KeyError):
+        M.get_metric("none")
+    assert set(M.METRICS) >= {"token_ll", "token_nll", "token_entropy", "word_mean_entropy"}
+
+
+@pytest.fixture()
+def user_metrics():
+    M.register("alternatives", lambda step: F.size(step).cast("double"))
+    M.register("rise", M.token_inflection, kind="sequence")
+    M.register("word_alternatives", lambda step: F.size(step).cast("double"), kind="word")
+    yield
+    for name in ("alternatives", "rise", "word_alternatives"):
+        del M.METRICS[name]
+
+
+def test_user_metric_in_every_form(spark, user_metrics):
+    from tessera.operators.by_name import apply_metric, apply_to_sequences, parted_scores
+
+    steps = [step(-1.0, -2.0, tok="a"), step(-3.0, tok="b"), None, [], step(-0.5, -1.0, -2.0, tok=" c")]
+    rows = spark.createDataFrame([(1, steps), (2, [])], f"eval_id long, steps {SEQ.simpleString()}")
+    seg = spark.createDataFrame(
+        [(1, "context", i, s) for i, s in enumerate(steps) if s] + [(1, "answer", 9, step(-2.0, tok="z"))],
+        f"eval_id long, segment string, pos int, step {SEQ.simpleString()[6:-1]}",
+    )
+    want = {
+        "alternatives": [("a", 2.0), ("b", 1.0), (" c", 3.0)],
+        "rise": [("a", None), ("b", -2.0), (" c", 2.5)],
+        "word_alternatives": [("ab", 1.5), (" c", 3.0)],
+        "token_ll": [("a", -1.0), ("b", -3.0), (" c", -0.5)],
+    }
+    for name, units in want.items():
+        from_rows = [(r["text_unit"], r["value"]) for r in apply_to_sequences(rows, name).orderBy("idx").collect()]
+        by_segment = apply_metric(seg, name)
+        got = [(r["text_unit"], r["value"]) for r in by_segment.where("segment = 'context'").orderBy("idx").collect()]
+        assert from_rows == units and got == units, name
+        wide = parted_scores(by_segment).first()
+        assert [(u["text_unit"], u["value"]) for u in wide["context"]] == units and len(wide["answer"]) == 1
