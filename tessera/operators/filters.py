@@ -12,14 +12,18 @@ def ok_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("ok"))
 
 
-def scored_rows(df: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
-    """Ok rows with a usable score, plus one row of counts
-    ``kept, failed`` (no second pass: both come from one aggregate)."""
+def usable(score: str) -> Column:
+    """Ok, and a score that is a number (never null)."""
     s = F.col(score)
-    good = F.col("ok") & s.isNotNull() & ~F.isnan(s)
-    counts = df.agg(
-        F.count_if(good).alias("kept"), F.count_if(~F.coalesce(good, F.lit(False))).alias("failed")
-    )
+    return F.coalesce(F.col("ok") & s.isNotNull() & ~F.isnan(s), F.lit(False))
+
+
+def scored_rows(df: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
+    """Ok rows with a usable score, plus one row of counts ``kept,
+    failed``. Where the rows are written anyway,
+    :func:`tessera.sources.io.write_evaluated` counts in the same pass."""
+    good = usable(score)
+    counts = df.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("failed"))
     return df.where(good), counts
 
 

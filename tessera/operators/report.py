@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import finite, prefix_table, score_counts, with_lower_neighbor
+from tessera.operators.ranking import default_buckets, finite, prefix_table, score_counts, with_lower_neighbor
 
 # Fixed values from the reference: class names of the report (0 = false,
 # 1 = true) and the metric names of the per-class table.
@@ -24,6 +24,12 @@ CLASS_NAMES = {0: "Ложь", 1: "Истина"}
 REPORT_METRICS = ("precision", "recall", "f1-score", "support")
 KDE_POINTS = 500
 HIST_BINS = 50
+# Cells of the binned density per grid point.
+KDE_CELLS = 16
+# Bandwidths beyond which the kernel is taken as 0 (below 2e-14 of its peak).
+KDE_REACH = 8
+# Fixed value from the reference: bin width of the distribution plot.
+BIN_SIZE = 0.01
 
 INF = float("inf")
 
@@ -531,6 +537,105 @@ def report_all(g: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def binned_kde(g: DataFrame, points: int = KDE_POINTS, cells: int = KDE_CELLS) -> DataFrame:
+    """The density of :func:`score_kde` by linear binning.
+
+    Every distinct score is split between the two nearest of ``cells *
+    (points - 1) + 1`` equally spaced places, in one aggregate; then each grid
+    point sums the truncated kernel over the places in its reach. The cost is
+    that of the aggregate plus a constant, and all of it is expressions. With
+    places ``d`` apart the error is at most ``(d / bandwidth)^2 / 8`` of the
+    kernel's peak.
+    """
+    rows, last = _label_rows(g), cells * (points - 1)
+    one = rows.agg(
+        F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"), *(
+            F.sum(F.when(F.col("label") == k, F.col("cnt") * (F.col("score") if p else 1))).cast("double").alias(f"s{k}{p}")
+            for k in (0, 1) for p in (0, 1)
+        )).alias("x")
+    ).scalar()
+    rows = rows.withColumns({"lo": one["lo"], "hi": one["hi"]}).withColumn("mu", F.when(F.col("label") == 1, one["s11"] / one["s10"]).otherwise(one["s01"] / one["s00"]))
+    at = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * last).otherwise(0.0)
+    rows = rows.withColumn("at", at).withColumn("cell", F.least(F.floor("at"), F.lit(last - 1)).cast("int"))
+    share = F.col("at") - F.col("cell")
+    # One shuffle of at most two rows a place and label from each task.
+    halves = rows.select(
+        "label", "lo", "hi", (F.col("cnt") * F.pow(F.col("score") - F.col("mu"), 2)).alias("q"), "cnt",
+        F.inline(F.array(
+            F.struct(F.col("cell").alias("j"), (F.col("cnt") * (1 - share)).alias("w"), F.lit(1).alias("first")),
+            F.struct((F.col("cell") + 1).alias("j"), (F.col("cnt") * share).alias("w"), F.lit(0).alias("first")),
+        )),
+    )
+    places = halves.groupBy("label", "j").agg(
+        F.sum("w").alias("w"), F.sum(F.col("q") * F.col("first")).alias("q"), F.sum(F.col("cnt") * F.col("first")).alias("n"),
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+    )
+    # At most one entry a place: a bounded array for each of two labels.
+    labels = places.groupBy("label").agg(
+        F.map_from_entries(F.collect_list(F.struct("j", "w"))).alias("ws"), F.sum("q").alias("q"), F.sum("n").alias("n"),
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+    )
+    width = (F.col("hi") - F.col("lo")) / last
+    bw = F.nullif(F.sqrt(F.try_divide(F.col("q"), F.col("n") - 1)) * F.pow(F.col("n"), F.lit(-0.2)), F.lit(0.0))
+    labels = labels.select(
+        "label", "n", "lo", "hi", width.alias("d"), bw.alias("bw"),
+        F.transform(F.sequence(F.lit(0), F.lit(last)), lambda j: F.coalesce(F.try_element_at("ws", j), F.lit(0.0))).alias("w"),
+    )
+    reach = F.least(F.ceil(F.try_divide(F.lit(KDE_REACH) * F.col("bw"), F.col("d"))), F.lit(last)).cast("int")
+    grid = labels.withColumn("reach", F.coalesce(reach, F.lit(0))).repartition(default_buckets(g)).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
+    ).repartition(default_buckets(g), "label", "i")
+    here = F.col("i") * cells
+
+    def near(s: Column, w: Column, k: Column) -> Column:
+        return s + F.when(w == 0, 0.0).otherwise(w * F.exp(-F.pow((k + F.col("from") - here) * F.col("d") / F.col("bw"), 2) / 2))
+
+    grid = grid.withColumn("from", F.greatest(here - F.col("reach"), F.lit(0)))
+    window = F.slice("w", F.col("from") + 1, F.least(here + F.col("reach"), F.lit(last)) - F.col("from") + 1)
+    summed = F.aggregate(
+        F.transform(window, lambda w, k: near(F.lit(0.0), w, k)), F.lit(0.0), lambda s, x: s + x
+    )
+    scale = F.col("n") * F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5)
+    return grid.select(
+        F.col("label").cast("bigint").alias("label"), F.col("i").cast("bigint").alias("i"),
+        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)).alias("x"),
+        (summed / scale).alias("density"),
+    )
+
+
+def binned_hist(g: DataFrame, bin_size: float = BIN_SIZE) -> DataFrame:
+    """Histogram with bins of ``bin_size`` from each label's least score,
+    as probability density: ``label, bin, bin_lo, n, density``."""
+    rows = _label_rows(g)
+    lows = rows.agg(F.struct(*(F.min(F.when(F.col("label") == k, F.col("score"))).alias(f"l{k}") for k in (0, 1)), *(
+        F.sum(F.when(F.col("label") == k, F.col("cnt"))).alias(f"n{k}") for k in (0, 1)
+    ))).scalar()
+    lo = F.when(F.col("label") == 1, lows["l1"]).otherwise(lows["l0"])
+    total = F.when(F.col("label") == 1, lows["n1"]).otherwise(lows["n0"])
+    rows = rows.withColumns({"lo": lo, "total": total}).withColumn("bin", F.floor((F.col("score") - F.col("lo")) / bin_size))
+    return rows.groupBy("label", "bin").agg(F.sum("cnt").alias("n"), F.first("lo").alias("lo"), F.first("total").alias("total")).select(
+        F.col("label").cast("bigint").alias("label"), F.col("bin").cast("bigint").alias("bin"),
+        (F.col("lo") + F.col("bin") * bin_size).alias("bin_lo"), F.col("n").cast("bigint").alias("n"),
+        (F.col("n") / (F.col("total") * bin_size)).alias("density"),
+    )
+
+
+def score_distplot(g: DataFrame, bin_size: float = BIN_SIZE) -> DataFrame:
+    """What the distribution plot draws per label, as ``part`` (density,
+    histogram), ``label, i, x, y``. The rug is :func:`score_rug`."""
+    density = binned_kde(g).select(F.lit("density").alias("part"), "label", "i", "x", F.col("density").alias("y"))
+    hist = binned_hist(g, bin_size).select(F.lit("histogram").alias("part"), "label", F.col("bin").alias("i"), F.col("bin_lo").alias("x"), F.col("density").alias("y"))
+    return density.unionByName(hist)
+
+
+def score_rug(scored: DataFrame, key: str = "eval_id", score: str = "score", label: str = "label") -> DataFrame:
+    """The plot's rug, ``label, score, id`` of every finite score."""
+    s = F.col(score)
+    return scored.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) != F.lit(INF))).select(
+        F.col(label).cast("bigint").alias("label"), s.cast("double").alias("score"), F.col(key).alias("id")
+    )
+
+
 def report_plan(
     scored: DataFrame, score: str = "score", label: str = "label", raw_score: str | None = None
 ) -> dict[str, DataFrame]:
@@ -557,5 +662,6 @@ def report_plan(
         "histogram_raw": score_hist(raw),
         "box": score_box(g),
         "kde": score_kde(g),
+        "distplot": score_distplot(g),
         "scalars_all": report_all(g, raw if raw_score else None),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tessera.functions import metrics as M
 from tessera.operators import report as R
 from tessera.plans.fixtures import f2_prompts
+from tessera.session import materialize
 from tessera.sources.tables import read_table
 
 
@@ -117,6 +118,22 @@ def _make_all(src, raw):
 
 
 QUERIES |= {f"report_all{suffix}": _make_all(src, RAW.get(suffix)) for suffix, src in SETS.items()}
+
+
+def q_distplot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(R.score_distplot(R.score_table(f7_docs(spark, sf_dir)), bin_size=10.0))
+
+
+def q_distplot_ppl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(R.score_distplot(R.score_table(f2_ppl_scores(spark, sf_dir))))
+
+
+def q_rug_ppl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = materialize(f2_ppl_scores(spark, sf_dir))  # else filters evaluate the score again
+    return round_doubles(R.score_rug(scored)).withColumn("id", F.col("id").cast("bigint"))
+
+
+QUERIES |= {"score_distplot_docs": q_distplot_docs, "score_distplot": q_distplot_ppl, "score_rug": q_rug_ppl}
 QUERIES |= {f"score_hist{suffix}_raw": _make(R.score_hist, src) for suffix, src in RAW.items()}
 
 
@@ -170,7 +187,7 @@ RAW_SQL = {"_ppl": "select label, exp(-avg(ll)) as score from ans_ll where ok gr
 SCORED_SQL["_ppl"] = "select label, avg(ll) as score from ans_ll where ok group by eval_id, label"
 
 
-def _report_sql(scored: str) -> dict[str, str]:
+def _report_sql(scored: str, bin_size: float = R.BIN_SIZE) -> dict[str, str]:
     head = f"""
 with s as ({scored}),
 fin as (select score::DOUBLE as score, label from s where score is not null and isfinite(score)),
@@ -338,6 +355,7 @@ select count(*)::BIGINT as n, round(min(score), 6) as min,
        round(quantile_cont(score, 0.75), 6) as q3, round(max(score), 6) as max, round(avg(score), 6) as mean
 from fin
 """,
+        "score_distplot": _distplot_sql(head, bin_size),
         "score_kde": head
         + """
 , gl as (select label, score, count(*) as cnt from fin group by label, score),
@@ -353,6 +371,37 @@ group by gl.label, grid.i
     }
 
 
+def _distplot_sql(head: str, bin_size: float) -> str:
+    """Linear binning and truncated kernel as in ``report.binned_kde``, and bins from each label's least score."""
+    last = R.KDE_CELLS * (R.KDE_POINTS - 1)
+    return head + f"""
+, mu as (select label, avg(score) as mu, count(*) as n, min(score) as low from fin group by label),
+st as (select f.label, nullif(sqrt(sum((f.score - mu.mu) * (f.score - mu.mu)) / (any_value(mu.n) - 1)) * pow(any_value(mu.n), -0.2), 0) as bw,
+              any_value(mu.n) as n from fin f join mu using (label) group by f.label),
+place as (select label, case when hi > lo then (score - lo) / (hi - lo) * {last} else 0.0 end as spot from fin, mm),
+cell as (select label, spot, least(floor(spot), {last - 1})::INT as c from place),
+w as (
+  select label, j, sum(w) as w from (
+    select label, c as j, 1 - (spot - c) as w from cell union all select label, c + 1, spot - c from cell
+  ) group by all
+),
+grid as (select i, lo + (hi - lo) * i / {R.KDE_POINTS - 1} as x, (hi - lo) / {last} as d from range({R.KDE_POINTS}) r(i), mm),
+dens as (
+  select st.label, i, any_value(x) as x,
+         coalesce(sum(case when abs(j - i * {R.KDE_CELLS}) <= least(ceil({R.KDE_REACH} * bw / d), {last})
+                  then w * exp(-pow((j - i * {R.KDE_CELLS}) * d / bw, 2) / 2) end), 0) / (any_value(n) * any_value(bw) * sqrt(2 * pi())) as y
+  from w join st using (label), grid group by st.label, i
+),
+hist as (
+  select f.label, floor((score - low) / {bin_size})::BIGINT as i, any_value(low) as low, count(*) as c, any_value(mu.n) as n
+  from fin f join mu using (label) group by all
+)
+select 'density' as part, label::BIGINT as label, i::BIGINT as i, round(x, 6) as x, round(y, 6) as y from dens
+union all
+select 'histogram', label::BIGINT, i, round(low + i * {bin_size}, 6), round(c / (n * {bin_size}), 6) from hist
+"""
+
+
 def _all_sql(sqls: dict[str, str]) -> str:
     """All scalars of the single reports as ``section, name, value``."""
 
@@ -381,13 +430,19 @@ def oracle() -> dict[str, str]:
     out: dict[str, str] = {}
     for suffix in SETS:
         scored = SCORED_SQL[suffix]
-        sqls = _report_sql(scored)
+        sqls = _report_sql(scored, 10.0 if suffix == "_docs" else R.BIN_SIZE)
         if suffix in RAW_SQL:
             raw = _report_sql(RAW_SQL[suffix])
             sqls |= {name: raw[name] for name in RAW_OPS} | {"score_hist_raw": raw["score_hist"]}
         if suffix == "_ppl":
             sqls = {k: v.replace("with s as (", "with " + F2_SQL + ", s as (", 1) for k, v in sqls.items()}
         out[f"report_all{suffix}"] = _all_sql(sqls)
+        distplot = sqls.pop("score_distplot")
+        if suffix in ("_docs", "_ppl"):
+            out["score_distplot_docs" if suffix == "_docs" else "score_distplot"] = distplot
         for name, sql in sqls.items():
             out[f"score_hist{suffix}_raw" if name == "score_hist_raw" else f"{name}{suffix}"] = sql
+    out["score_rug"] = "with " + F2_SQL + """
+select label::BIGINT as label, round(avg(ll), 6) as score, eval_id::BIGINT as id from ans_ll where ok group by eval_id, label
+"""
     return out

@@ -30,8 +30,8 @@ def test_items_quarantine_and_passages(spark):
         f.write(json.dumps({"idx": None, "passage": {"text": "kept whole", "questions": []}}) + "\n")
     items, bad = io.read_items(spark, os.path.join(d, "items.jsonl"))
     assert items.count() == 1 and items.columns == ["idx", "passage"]
-    lines = {r["_corrupt_record"] for r in bad.collect()}
-    assert len(lines) == 2 and "{broken" in lines and any("kept whole" in x for x in lines)
+    lines = {r["_corrupt_record"]: r["faults"] for r in bad.collect()}
+    assert len(lines) == 2 and lines["{broken"] == ["line: malformed"] and any("kept whole" in x for x in lines)
     with open(os.path.join(d, "passages.json"), "w") as f:
         json.dump({"1": "one", "2": "two"}, f)
     p = {r["passage_id"]: r["passage"] for r in io.read_passages(spark, os.path.join(d, "passages.json")).collect()}
@@ -128,3 +128,69 @@ def test_results_of_any_type_by_two_keys(spark):
     got = {r["a"]: r for r in out.collect()}
     assert got[1]["m"][0][0]["s"] == 0.5 and got[1]["m"][1] == [] and got[1]["ok"] and got[1]["k"] == "p"
     assert got[2]["m"] is None and not got[2]["ok"] and got[2]["error"].startswith("ZeroDivisionError")
+
+
+def test_faults_inside_items(spark, tmp_path):
+    def item(**answer):
+        return {"idx": 1, "passage": {"text": "t", "questions": [{"idx": 0, "question": "q", "answers": [{"idx": 0, "text": "a", "label": 1}, {"idx": 1, "text": "b", **answer}]}]}}
+
+    at = "passage.questions[0].answers[1]"
+    cases = [
+        (item(label=0), None), (item(label=None), None), (item(), None), (item(label=2), [f"{at}.label: not 1, 0 or null"]),
+        (item(label="yes"), ["line: malformed"]), (item(text=None, idx=None), [f"{at}.idx: missing", f"{at}.text: missing"]),
+        ({"idx": 1, "passage": {"text": None, "questions": [None]}}, ["passage.text: missing", "passage.questions[0]: missing"]),
+        ({"idx": 1, "passage": {"text": "t", "questions": [{"idx": 2, "question": None, "answers": None}]}},
+         ["passage.questions[0].question: missing", "passage.questions[0].answers: missing"]),
+        ({"idx": 1, "passage": {"text": "t"}}, ["passage.questions: missing"]), ({"passage": None}, ["idx: missing", "passage: missing"]),
+    ]
+    lines = [json.dumps(c) for c, _ in cases]
+    (tmp_path / "items.jsonl").write_text("\n".join(lines) + "\n\n")
+    items, bad = io.read_items(spark, str(tmp_path / "items.jsonl"))
+    assert items.count() == sum(f is None for _, f in cases)
+    assert {r["_corrupt_record"]: r["faults"] for r in bad.collect()} == {line: f for line, (_, f) in zip(lines, cases) if f}
+
+
+def test_evaluated_rows_in_one_pass(spark, tmp_path):
+    rows = [(1, 1, True, 0.5, None), (2, 0, True, float("nan"), None), (3, 1, True, None, None), (4, 0, False, 0.1, 'bad "line"\nnext, line'), (5, 0, None, 0.2, "")]
+    passes = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "eval_id long, label int, ok boolean, score double, error string").repartition(1)
+    counted = df.rdd.map(lambda r: (passes.add(1), r)[1])
+    df = spark.createDataFrame(counted, df.schema)
+    got = io.write_evaluated(df, "score", str(tmp_path / "kept"), str(tmp_path / "failed"))
+    assert got == {"kept": 1, "failed": 4, "ok_rows": 3} and passes.value == len(rows)
+    assert [r["eval_id"] for r in io.read_evaluated(spark, str(tmp_path / "kept")).collect()] == [1]
+    back = {r["eval_id"]: r for r in io.read_failed(spark, str(tmp_path / "failed"), "eval_id long, label int, ok boolean, score double, error string").collect()}
+    assert set(back) == {2, 3, 4, 5} and back[4]["error"] == 'bad "line"\nnext, line' and back[3]["score"] is None
+
+
+def test_segment_files_round_trip_and_faults(spark, tmp_path):
+    steps = [step(-0.1, -2.0, tok="a"), step(-0.3, tok=" é")]
+    seq = f"{SEQ.simpleString()}"
+    df = spark.createDataFrame([(1, steps, [], steps, steps)], "eval_id long, " + ", ".join(f"{c} {seq}" for c in io.SEGMENTS))
+    io.write_parted(df, str(tmp_path / "parted"))
+    good, bad = io.read_parted(spark, str(tmp_path / "parted"))
+    assert good.first().asDict(recursive=True) == df.first().asDict(recursive=True) and bad.count() == 0
+    units = "array<struct<value:double,index:int,text_unit:string>>"
+    scores = spark.createDataFrame([(1, [(0.5, 0, "a")], [], [], [(None, 0, "b")])], "eval_id long, " + ", ".join(f"{c} {units}" for c in io.SEGMENTS))
+    io.write_scores(scores, str(tmp_path / "scores"))
+    good, bad = io.read_scores(spark, str(tmp_path / "scores"))
+    assert good.first().asDict(recursive=True) == scores.first().asDict(recursive=True) and bad.count() == 0
+    raw = spark.createDataFrame([(1, "[]", "{oops", "[]", None)], "eval_id long, " + ", ".join(f"{c} string" for c in io.SEGMENTS))
+    raw.write.parquet(str(tmp_path / "raw"))
+    good, bad = io.read_parted(spark, str(tmp_path / "raw"))
+    row = bad.first()
+    assert good.count() == 0 and row["error"] == "context: no list of steps; answer: no list of steps" and row["context"] == "{oops"
+
+
+def test_training_and_prediction_files(spark, tmp_path):
+    import pytest
+
+    spark.range(3).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("Y")).write.parquet(str(tmp_path / "train"))
+    assert io.read_training(spark, str(tmp_path / "train")).count() == 3
+    spark.range(1).select(F.lit("a").alias("x"), F.lit(1).alias("Y")).write.parquet(str(tmp_path / "odd"))
+    for path in ("train", "odd"):
+        with pytest.raises(ValueError):
+            io.read_training(spark, str(tmp_path / path), "x" if path == "odd" else "Z")
+    pred = spark.createDataFrame([(1, 0.25, 0.75, 1)], "eval_id long, proba_class_0 double, proba_class_1 double, y_true int")
+    io.write_predictions(pred, str(tmp_path / "pred"))
+    assert io.read_predictions(spark, str(tmp_path / "pred")).collect() == pred.collect()

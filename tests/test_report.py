@@ -170,3 +170,34 @@ def test_scalars_are_one_aggregate(spark):
     g = R.score_table(spark.createDataFrame([(float(v), v % 2) for v in range(50)], "score double, label int"))
     plan = R.class_report(g)._jdf.queryExecution().executedPlan().toString()
     assert "Subquery" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_binned_density_is_near_the_exact_one(spark):
+    rng = random.Random(4)
+    rows = [(rng.gauss(2 * y, 1 + y), 1 - y, y) for y in (0, 1) for _ in range(300)] + [(0.5, 40, 40)]
+    g = score_rows(spark, rows)
+    exact = {(r["label"], r["i"]): r for r in R.score_kde(g).collect()}
+    got = {(r["label"], r["i"]): r for r in R.binned_kde(g).collect()}
+    assert got.keys() == exact.keys()
+    for k, r in got.items():
+        assert r["x"] == pytest.approx(exact[k]["x"])
+        # places a sixteenth of a grid step apart: (d / bandwidth)^2 / 8 of the peak
+        assert r["density"] == pytest.approx(exact[k]["density"], abs=2e-4)
+    plan = R.score_distplot(g)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+
+
+def test_density_of_classes_without_spread(spark):
+    g = score_rows(spark, [(1.0, 3, 0), (2.0, 0, 4), (3.0, 0, 4)])
+    got = R.binned_kde(g).collect()
+    assert {r["label"] for r in got if r["density"] is None} == {1} and len(got) == 2 * R.KDE_POINTS
+    one = R.binned_kde(score_rows(spark, [(1.0, 3, 2)])).collect()
+    assert all(r["density"] is None for r in one) and R.binned_kde(score_rows(spark, [(1.0, 3, 2)]).limit(0)).count() == 0
+
+
+def test_histogram_of_width_and_rug(spark):
+    g = score_rows(spark, [(0.5, 1, 0), (0.74, 2, 1), (1.1, 0, 5), (9.5, 1, 0)])
+    got = {(r["label"], r["bin"]): (r["n"], r["bin_lo"], r["density"]) for r in R.binned_hist(g, 0.25).collect()}
+    assert got == {(1, 0): (3, 0.5, 3.0), (1, 36): (1, 9.5, 1.0), (0, 0): (1, 0.74, pytest.approx(1 / 6 / 0.25)), (0, 1): (5, 0.99, pytest.approx(5 / 6 / 0.25))}
+    df = spark.createDataFrame([(1, 0.5, 1), (2, None, 1), (3, float("inf"), 0)], "eval_id long, score double, label int")
+    assert [tuple(r) for r in R.score_rug(df).collect()] == [(1, 0.5, 1)]
