@@ -111,11 +111,11 @@ def segment_steps(
     start, end = F.col("_start"), F.col("_start") + F.col("_len")
     in_ctx = (
         (F.col("ctx_start") >= 0) & (F.col("_len") > 0)
-        & (start < F.col("ctx_end")) & (end > F.col("ctx_start"))
-    )
+        & (F.col("ctx_end") > F.col("ctx_start")) & (start < F.col("ctx_end")) & (end > F.col("ctx_start"))
+    )  # an empty range has no character that a token could hold
     in_q = (
         (F.col("q_start") >= 0) & (F.col("_len") > 0)
-        & (start < F.col("q_end")) & (end > F.col("q_start"))
+        & (F.col("q_end") > F.col("q_start")) & (start < F.col("q_end")) & (end > F.col("q_start"))
     )
     ex = ex.withColumn("_in_ctx", in_ctx).withColumn("_in_q", in_q)
     whole = Window.partitionBy(key)

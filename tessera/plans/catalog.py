@@ -10,9 +10,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from tessera.plans import evalsets, evaluators, perturb, qa, reports, samples, scoring, sequences, tokens, training
+    from tessera.plans import evalsets, evaluators, files, perturb, qa, reports, samples, scoring, sequences, tokens, training
 
-    return [tokens, reports, sequences, qa, samples, scoring, perturb, evalsets, evaluators, training]
+    return [tokens, reports, sequences, qa, samples, scoring, perturb, evalsets, evaluators, files, training]
 
 
 def queries() -> dict[str, QueryFn]:

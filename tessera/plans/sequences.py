@@ -177,8 +177,8 @@ pt2 as (
   from pt
 ),
 pt3 as (
-  select *, (ctx_start >= 0 and ln > 0 and st < ctx_end and st + ln > ctx_start) as in_ctx,
-            (q_start >= 0 and ln > 0 and st < q_end and st + ln > q_start) as in_q
+  select *, (ctx_start >= 0 and ln > 0 and ctx_end > ctx_start and st < ctx_end and st + ln > ctx_start) as in_ctx,
+            (q_start >= 0 and ln > 0 and q_end > q_start and st < q_end and st + ln > q_start) as in_q
   from pt2
 ),
 pt4 as (

@@ -93,3 +93,10 @@ def test_segment_counts_within_steps(spark):
     steps = f2.select("eval_id", F.size(F.filter("prompt_logprob", lambda s: s.isNotNull())).alias("n_steps"))
     bad = seg.join(steps, "eval_id").where(F.col("n_seg") > F.col("n_steps")).count()
     assert bad == 0 and seg.count() == f2.count()
+
+
+def test_an_empty_question_holds_no_token(spark):
+    # The token " x" spans the place after the marker, but an empty question has no character there.
+    s = toks("context: ", "c", "\nquestion:", " x", "a")
+    df = spark.createDataFrame([(1, "", 4, s)], f"eval_id int, question string, prefix_length int, prompt_logprob {SEQ.simpleString()}")
+    assert segment_steps(df).count() == 0 and segment_quarantine(df).count() == 1
