@@ -83,7 +83,7 @@ class Marks:
 
     def split(self, df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
         """Rows whose id is marked, and the others, each with all columns."""
-        spotted = df.withColumn("_mark_spot", self.spot(F.col(id_col).cast("long")))
+        spotted = df.select("*", self.spot(F.col(id_col).cast("long")).alias("_mark_spot"))  # a further column, whatever names there are
 
         def rows(wanted: bool):
             def run(batches):

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every step is a pre-aggregated minimum per node and a join, so a node with
-very many links fills no task; labels and links stay in Spark.
+Every step is a pre-aggregated minimum per node and a join; labels and links
+stay in Spark. The minima are pre-aggregated, but the joins deal rows by node:
+the links of one hub meet in one task unless Spark's skew join splits it.
 """
 
 from __future__ import annotations

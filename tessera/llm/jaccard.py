@@ -388,8 +388,11 @@ def keep_one(
 
     Rows that repeat an id are judged by id and set, so a text in another
     component stays.  Rows without an id cannot be told apart, so all of them
-    stay.
+    stay.  Columns may have any names: they go by their place in here.
     """
+    names = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     found = judged(docs, id_col, text_col, percent, size)
     named = written(found.select(F.col("doc_id").alias("_id"), "component_id", F.col("node").alias("_node"), F.col("component").alias("_component")))
     repeated = written(named.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"))
@@ -398,7 +401,7 @@ def keep_one(
     marked, others = Marks(gone).split(docs, id_col)
     rest = others.unionByName(marked.join(gone, F.col(id_col) == F.col("_id"), "left_anti"))
     if repeated.isEmpty():
-        return rest
+        return rest.toDF(*names)
     marked, others = Marks(repeated).split(rest, id_col)
     single = marked.join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
     where = docs.columns.index(text_col)
@@ -413,4 +416,4 @@ def keep_one(
     stay = named.join(repeated, "_id", "left_semi").filter("component_id = _id").select("_id", "_node", "_component").distinct()
     once = again.join(stay, (F.col(id_col) == F.col("_id")) & F.col("_set").eqNullSafe(F.col("_node")))
     once = once.dropDuplicates([id_col, "_component"]).select(*docs.columns)
-    return others.unionByName(single).unionByName(once)
+    return others.unionByName(single).unionByName(once).toDF(*names)

@@ -190,7 +190,7 @@ def test_decontamination(spark, docs, empty):
                             found.add(str(item))
             assert (r.n_words, r.n_hit, list(r["items"])) == (len(w), len(hit), sorted(found))
         kept = decontamination.remove_contaminated(docs, bench, block_words=block_words)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 6}
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 6, 9, 9}
     assert decontamination.find_contamination(empty, bench).count() == 0
     assert decontamination.find_contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
@@ -240,7 +240,7 @@ def test_jaccard_join(spark, docs, empty, monkeypatch):
     assert jaccard.jaccard_components(empty).count() == 0
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, 8, None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, 8, 9, None])
 
 
 def test_jaccard_counts_every_link_once(spark, monkeypatch):
@@ -468,3 +468,14 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
     assert docs.count() >= 1
+
+
+def test_keep_one_with_any_column_names(spark):
+    ship(spark)
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 7, "x", 3, "y"), (2, text, 7, "x", 3, "z"), (3, "other words here that no one else has", 7, "x", 3, "y"),
+            (3, text + " but not the same at all as before this", 7, "x", 3, "y"), (None, text, 1, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _set string, _mark_spot int, c0 string")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted((rows[0], *rows[2:]), key=str)
