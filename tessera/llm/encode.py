@@ -77,11 +77,10 @@ class Encoder:
             and split.get("use_regex", True) and not split.get("add_prefix_space")
         )
         self._pieces = _Pieces(self._tok.model)
-        added = "|".join(re.escape(t["content"]) for t in about["added_tokens"] or [] if t["content"])
-        self._whole = re.compile(f"{_NOT_PLAIN.pattern}|{added}" if added else _NOT_PLAIN.pattern)
+        self._added = [t["content"] for t in about["added_tokens"] or [] if t["content"]]
 
     def one(self, text: str) -> bytes:
-        if not self._by_piece or self._whole.search(text):
+        if not self._by_piece or _NOT_PLAIN.search(text) or any(t in text for t in self._added):
             return u32(self._tok.encode(text, add_special_tokens=False).ids)
         if len(self._pieces) > CACHE_PIECES:
             self._pieces.clear()
