@@ -1,25 +1,35 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The patterns give the base spans, which always stay.  The field labels the
-words that could be personal data at all (those with a digit or an "at" sign);
-every other word is fixed as "none", so the chain falls apart into short runs
-and the work follows the number of such words.  Neighbouring words share
-transition potentials; distant words that are repeated or similar (the same
-letters and digits once separators go) share skip potentials, so loopy message
-passing carries a label found in one place to the other places in the text.
-Words under base spans are evidence.  Runs of words with one label and high
-belief become additional spans.
-
-The field learns from the base spans, by pseudo-likelihood, on a bounded
-hashed sample of documents (``SAMPLE``); its weights have a fixed size.  Every
-document is searched over its whole text in one pass without a shuffle.
-
-Defined results: null or empty texts have no spans; repeated rows are searched
-one by one; a sample without personal data trains a field that adds nothing.
+The patterns give the base spans, which always stay.  The field labels units:
+base spans (evidence) and the other words that could be personal data at all
+(those with a digit or an "at" sign; a run of such words is one unit where it
+spells a base span of the same text).  Every other word is fixed as "none", so
+the chain falls apart into short runs and the work follows the number of units.
+Neighbouring units share transition potentials.  Distant units that are repeated
+or similar (``keys``: equal digits, equal last digits, equal groups of digits,
+equal letters and digits of an address) meet in one hub per key, and each
+shares a skip potential with its hub: two steps of loopy message passing carry
+a label to every other place, however many there are.  Messages pass until they
+settle.  Units with high belief that no pattern covers become additional spans.
+
+The field learns by pseudo-likelihood from a bounded hashed sample of documents
+(``SAMPLE``) and of units (``SAMPLE_UNITS``); its weights have a fixed size.
+Base spans are evidence there as in the search.  The truth is rewritten repeats
+of them planted into the sampled texts, planted numbers that differ from them in
+some digits ("none") and the other uncovered units ("none"); one that shares a
+key with a base span has no truth and is left out.  Every document is searched over its whole text in one pass without a
+shuffle.
+
+Defined results: null or empty texts have no spans; null ids stay null; repeated
+rows are searched one by one; other columns are not read; an empty table gives
+no rows; a sample without personal data trains a field that adds nothing.  A
+unit whose keys meet base spans of several kinds takes the kind of the highest
+belief, if it reaches ``BELIEF``.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -34,9 +44,17 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 SAMPLE = 20_000
 WEIGHTS = 1 << 12
-ROUNDS = 150
-PASSES = 6
-BELIEF = 0.95
+#: Distinct units the field is fitted on, each weighted by its count.
+SAMPLE_UNITS = 200_000
+ROUNDS = 300
+#: Of features, and of potentials: labels should follow repeats rather than writings.
+DECAY = (1e-5, 1e-6)
+#: Messages settle when none moves by more than this; loops may keep some moving, hence an end.
+SETTLED = 1e-3
+PASSES = 200
+#: Words of a run that may spell a base span together.
+RUN = 6
+BELIEF = 0.7
 EVIDENCE = 12.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,7 +63,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_COULD = re.compile(r"[0-9@]")
+_AT = r"[\[({<]\s*(?:at|AT)\s*[\])}>]"
+_DOT = re.compile(r"[\[({<]\s*(?:dot|DOT|\.)\s*[\])}>]")
+_COULD = re.compile("[0-9@]|" + _AT)
 _EDGE = ".,;:!?\"'()[]<>"
 
 
@@ -102,24 +122,73 @@ def _hash(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "replace")) % WEIGHTS
 
 
+def keys(word: str) -> list[str]:
+    """What a unit has in common with its repeats in another writing."""
+    bare = _DOT.sub(".", re.sub(_AT, "@", word)).strip(_EDGE).lower()
+    if "@" in bare:
+        key = re.sub(r"[\W_]+", "", bare)
+        return [f"a {key}"] if len(key) >= 6 else []
+    if any(c.isalpha() for c in bare):
+        return []
+    n = _digits(bare)
+    out = [f"d {n}"] if len(n) >= 9 else []
+    if 7 <= len(n) <= 12:
+        out.append(f"t {n[-7:]}")
+    groups = re.findall("[0-9]+", bare)
+    if len(groups) == 4 and len(n) < 13:
+        out.append("g " + ".".join(groups))
+    return out
+
+
 class Graph:
-    """Words that could be personal data, of any number of texts, with their edges."""
+    """Units of any number of texts, with chain edges and (hub, unit) edges of each shared key."""
 
     def __init__(self):
         self.owner, self.spans, self.features, self.labels = [], [], [], []
-        self.chain, self.skip = [], []
+        self.chain, self.skip, self.hubs = [], [], 0
 
-    def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
+    def _units(self, text: str, base: list[tuple[int, int, int]]):
+        """(start, end, label) of the units in order, with the words they cover."""
         words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         covered = sorted((a, b, k) for k, a, b in base)
-        last, previous, at = defaultdict(lambda: None), None, 0
-        for i, (a, b) in enumerate(words):
-            word = text[a:b]
-            if not _COULD.search(word):
+        known = {key for a, b, _ in covered for key in keys(text[a:b]) if key[0] != "t"}
+        units, i, at = [], 0, 0
+        while i < len(words):
+            a, b = words[i]
+            while at < len(covered) and covered[at][1] <= a:
+                at += 1
+            if at < len(covered) and covered[at][0] < b:  # a base span, with all words it touches
+                j, label = i, covered[at][2] + 1
+                while j + 1 < len(words) and words[j + 1][0] < covered[at][1]:
+                    j += 1
+                units.append((i, j, covered[at][0], covered[at][1], label))
+                i = j + 1
                 continue
-            bare = word.strip(_EDGE)
+            stop = covered[at][0] if at < len(covered) else len(text) + 1
+            last = None
+            if known and (_COULD.search(text, a, b) or i + 1 < len(words) and _COULD.match(text, words[i + 1][0])):
+                for j in range(min(i + RUN, len(words)) - 1, i, -1):
+                    if words[j][1] <= stop and not known.isdisjoint(keys(text[a : words[j][1]])):
+                        last = j
+                        break
+            if last is None and _COULD.search(text, a, b):
+                last = i
+            if last is not None:
+                bare = text[a : words[last][1]]
+                lead = len(bare) - len(bare.lstrip(_EDGE))
+                end = a + len(bare.rstrip(_EDGE))
+                units.append((i, last, *((a + lead, end) if a + lead < end else (a, words[last][1])), 0))
+            i = i + 1 if last is None else last + 1
+        return words, units
+
+    def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
+        words, units = self._units(text, base)
+        shared, previous = defaultdict(list), None
+        for i, j, a, b, label in units:
+            word = text[words[i][0] : words[j][1]]
+            bare = text[a:b]
             before = text[slice(*words[i - 1])] if i else "^"
-            after = text[slice(*words[i + 1])] if i + 1 < len(words) else "$"
+            after = text[slice(*words[j + 1])] if j + 1 < len(words) else "$"
             n = len(_digits(word))
             node = len(self.spans)
             self.features.append(sorted({
@@ -129,21 +198,98 @@ class Graph:
                     f"word {before.lower()[:20]}", f"kind {n > 0} {any(c.isalpha() for c in bare)} {'-' in bare}",
                 )
             }))
-            while at < len(covered) and covered[at][1] <= a:
-                at += 1
-            label = next((k + 1 for x, y, k in covered[at : at + 4] if x < b and y > a), 0)
             self.owner.append(doc)
-            lead = len(word) - len(word.lstrip(_EDGE))
-            self.spans.append((a + lead, a + lead + len(bare)) if bare else (a, b))
+            self.spans.append((a, b))
             self.labels.append(label)
             if previous == i - 1 and previous is not None:
                 self.chain.append((node - 1, node))
-            previous = i
-            key = re.sub(r"[\W_]+", "", word.lower())
-            if len(key) >= 5:  # the last place with the same letters and digits
-                if last[key] is not None:
-                    self.skip.append((last[key], node))
-                last[key] = node
+            previous = j
+            for key in keys(bare):
+                shared[key].append(node)
+        for key in sorted(k for k, nodes in shared.items() if len(nodes) > 1):
+            self.skip += [(self.hubs, node) for node in shared[key]]
+            self.hubs += 1
+
+
+def rewritten(kind: int, span: str, rng: random.Random) -> str:
+    """A base span in a writing that the patterns need not know."""
+    if kind == 0:
+        return span.replace("@", rng.choice(["(at)", "[at]", " (at) "]))
+    if kind == 1:
+        return rng.choice(["-", ",", "[.]", "/"]).join(re.findall("[0-9]+", span))
+    n = _digits(span)
+    if kind == 3 and rng.random() < 0.7:  # without the country's digits
+        n = rng.choice([n[-9:], n[-8:], n[-7:], f"0{n[2:]}", f"0{n[-9:]}"])
+        if rng.random() < 0.5:
+            return n[:-7] + rng.choice("/-. _")[: len(n) - 7] + n[-7:]
+    step, mark = rng.choice([3, 4, 5]), rng.choice([".", "_", "/", "-", "", ". "])
+    return mark.join(n[k : k + step] for k in range(0, len(n), step))
+
+
+def altered(span: str, rng: random.Random) -> str:
+    """The same writing with three digits changed, early, midway and late (an address: its first letters)."""
+    at = [k for k, c in enumerate(span) if "0" <= c <= "9"]
+    out = list(span)
+    for k in (at[:1] + at[len(at) // 2 :][:1] + at[-1:]) if "@" not in span and "at" not in span else ():
+        out[k] = str((int(out[k]) + rng.randint(1, 9)) % 10)
+    return "".join(out) if at and "@" not in span and "at" not in span else rng.choice(["team", "info", "desk"]) + span
+
+
+def plant(text: str, base: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with rewritten repeats and altered ones of some base spans, and where the repeats are."""
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    gaps = [m.start() for m in re.finditer(r"\s", text)] + [len(text)]
+    inside = lambda g: any(a <= g < b for _, a, b in base)
+    gaps = [g for g in gaps if not inside(g)] or [len(text)]
+    new = []
+    for kind, a, b in rng.sample(base, min(3, len(base))):
+        other = rewritten(kind, text[a:b], rng)
+        new += [(rng.choice(gaps), kind, other), (rng.choice(gaps), None, altered(other, rng))]
+    out, at, spans, size = [], 0, [], 0
+    for gap, kind, word in sorted(new, key=lambda x: x[0]):
+        out += [text[at:gap], " "]
+        size += gap - at + 1
+        if kind is not None:
+            spans.append((kind, size, size + len(word)))
+        out += [word, " "]
+        size += len(word) + 1
+        at = gap
+    return "".join(out) + text[at:], spans
+
+
+def lessons(text: str):
+    """(features, label, left label, right label, hub labels) of each unit with a truth; -1 is no neighbour.
+
+    A hub is a lesson without features, with the labels of its units.
+    """
+    base = base_spans(text)
+    for planted in (False, True) if base else (False,):
+        if planted:
+            text, repeats = plant(text, base)
+            base = base_spans(text)
+        g = Graph()
+        g.add(0, text, base)
+        truth, known = list(g.labels), list(g.labels)
+        if planted:
+            for node, (a, b) in enumerate(g.spans):
+                if not truth[node]:
+                    truth[node] = next((k + 1 for k, x, y in repeats if x < b and y > a), 0)
+        hub = [0] * g.hubs
+        for h, node in g.skip:
+            hub[h] = hub[h] or truth[node]
+        around = defaultdict(list)
+        for h, node in g.skip:
+            around[node].append(hub[h])
+        left, right = {b: truth[a] for a, b in g.chain}, {a: truth[b] for a, b in g.chain}
+        for node, label in enumerate(truth):
+            # Base spans are evidence and need no label; a unit like one, not planted, has no truth.
+            if not known[node] and (label or not any(around[node])):
+                yield g.features[node], label, left.get(node, -1), right.get(node, -1), sorted(around[node])
+        members = defaultdict(list)
+        for h, node in g.skip:
+            members[h].append(truth[node])
+        for h, labels in members.items():
+            yield [], hub[h], -1, -1, sorted(set(labels))
 
 
 class Field:
@@ -163,31 +309,42 @@ class Field:
         rows, cols = self._flat(features)
         return np.stack([np.bincount(rows, weights=self.unary[cols, k], minlength=len(features)) for k in range(LABELS)], axis=1)
 
-    def fit(self, g: Graph) -> "Field":
-        y = np.array(g.labels, dtype=int)
-        if not len(y) or not y.any():
+    def fit(self, units: list[tuple]) -> "Field":
+        """From (features, label, left label, right label, hub labels, count) by pseudo-likelihood."""
+        if not any(u[1] for u in units):
             return self
-        rows, cols = self._flat(g.features)
-        edges = [np.array(e, dtype=int).reshape(-1, 2) for e in (g.chain, g.skip)]
+        y = np.array([u[1] for u in units], dtype=int)
+        weight = np.array([u[5] for u in units], dtype=float)
+        met = np.array([len(u[4]) > 0 for u in units])
+        for part in (met, ~met):  # the few units with hubs weigh as much as all others
+            weight[part] *= 0.5 / max(1.0, weight[part].sum())
+        rows, cols = self._flat([u[0] for u in units])
+        # (table, row of units, label at the other end); the chain's table is read from the left.
+        lefts = np.array([(i, u[2]) for i, u in enumerate(units) if u[2] >= 0], dtype=int).reshape(-1, 2)
+        rights = np.array([(i, u[3]) for i, u in enumerate(units) if u[3] >= 0], dtype=int).reshape(-1, 2)
+        hubs = np.array([(i, h) for i, u in enumerate(units) if u[0] for h in u[4]], dtype=int).reshape(-1, 2)
+        members = np.array([(i, m) for i, u in enumerate(units) if not u[0] for m in u[4]], dtype=int).reshape(-1, 2)
         truth = np.eye(LABELS)[y]
         shapes = [self.unary.shape, (LABELS, LABELS), (LABELS, LABELS)]
         params = [np.zeros(s) for s in shapes]
         moments = [(np.zeros(s), np.zeros(s)) for s in shapes]
-        for t in range(1, ROUNDS + 1):  # pseudo-likelihood: each word given its neighbours' labels
+        for t in range(1, ROUNDS + 1):
             z = np.stack([np.bincount(rows, weights=params[0][cols, k], minlength=len(y)) for k in range(LABELS)], axis=1)
-            for e, w in zip(edges, params[1:]):
-                np.add.at(z, e[:, 1], w[y[e[:, 0]]])
-                np.add.at(z, e[:, 0], w.T[y[e[:, 1]]])
+            np.add.at(z, lefts[:, 0], params[1][lefts[:, 1]])
+            np.add.at(z, rights[:, 0], params[1].T[rights[:, 1]])
+            np.add.at(z, hubs[:, 0], params[2][hubs[:, 1]])
+            np.add.at(z, members[:, 0], params[2].T[members[:, 1]])
             p = np.exp(z - z.max(axis=1, keepdims=True))
-            miss = p / p.sum(axis=1, keepdims=True) - truth
+            miss = (p / p.sum(axis=1, keepdims=True) - truth) * weight[:, None]
             grads = [np.zeros(s) for s in shapes]
             for k in range(LABELS):
                 grads[0][:, k] = np.bincount(cols, weights=miss[rows, k], minlength=WEIGHTS)
-            for e, grad in zip(edges, grads[1:]):
-                np.add.at(grad, y[e[:, 0]], miss[e[:, 1]])
-                np.add.at(grad.T, y[e[:, 1]], miss[e[:, 0]])
+            np.add.at(grads[1], lefts[:, 1], miss[lefts[:, 0]])
+            np.add.at(grads[1].T, rights[:, 1], miss[rights[:, 0]])
+            np.add.at(grads[2], hubs[:, 1], miss[hubs[:, 0]])
+            np.add.at(grads[2].T, members[:, 1], miss[members[:, 0]])
             for k, (w, grad) in enumerate(zip(params, grads)):
-                grad = grad / len(y) + 1e-4 * w
+                grad = grad + DECAY[min(k, 1)] * w
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad**2 - v)
@@ -196,25 +353,37 @@ class Field:
         return self
 
     def beliefs(self, g: Graph) -> np.ndarray:
-        """Label beliefs by loopy sum-product, all texts of the graph at once."""
+        """Label beliefs of the units by loopy sum-product, all texts of the graph at once."""
         unary = self.scores(g.features)
         known = np.array(g.labels, dtype=int)
         unary[known > 0] = -EVIDENCE
         unary[known > 0, known[known > 0]] = EVIDENCE
-        edges = np.array(g.chain + g.skip, dtype=int).reshape(-1, 2)
-        weights = np.stack([self.pairs[0]] * len(g.chain) + [self.pairs[1]] * len(g.skip)) if len(edges) else None
-        right = np.zeros((len(edges), LABELS))  # message to the later word
+        n = len(unary)
+        unary = np.concatenate([unary, np.zeros((g.hubs, LABELS))])
+        edges = np.array(g.chain + [(n + h, node) for h, node in g.skip], dtype=int).reshape(-1, 2)
+        which = np.repeat([0, 1], [len(g.chain), len(g.skip)])
+        tables = np.stack(self.pairs)
+        right = np.zeros((len(edges), LABELS))  # message to the edge's second end
         left = np.zeros((len(edges), LABELS))
-        total = unary.copy()
-        for _ in range(PASSES if len(edges) else 0):
-            to_right = _lse(weights + (total[edges[:, 0]] - left)[:, :, None], axis=1)
-            to_left = _lse(weights + (total[edges[:, 1]] - right)[:, None, :], axis=2)
-            right = 0.5 * right + 0.5 * (to_right - _lse(to_right, axis=1)[:, None])
-            left = 0.5 * left + 0.5 * (to_left - _lse(to_left, axis=1)[:, None])
-            total = unary.copy()
-            np.add.at(total, edges[:, 1], right)
-            np.add.at(total, edges[:, 0], left)
-        return np.exp(total - _lse(total, axis=1)[:, None])
+        total, live = unary.copy(), np.arange(len(edges))
+        # An edge rests once its messages and those into its ends have settled.
+        for _ in range(PASSES):
+            if not len(live):
+                break
+            first, second, weights = edges[live, 0], edges[live, 1], tables[which[live]]
+            to_right = _lse(weights + (total[first] - left[live])[:, :, None], axis=1)
+            to_left = _lse(weights + (total[second] - right[live])[:, None, :], axis=2)
+            to_right = 0.5 * (to_right - _lse(to_right, axis=1)[:, None] - right[live])
+            to_left = 0.5 * (to_left - _lse(to_left, axis=1)[:, None] - left[live])
+            right[live] += to_right
+            left[live] += to_left
+            np.add.at(total, second, to_right)
+            np.add.at(total, first, to_left)
+            moved = np.zeros(len(total), dtype=bool)
+            far = np.maximum(np.abs(to_right).max(axis=1), np.abs(to_left).max(axis=1)) > SETTLED
+            moved[first[far]] = moved[second[far]] = True
+            live = np.flatnonzero(moved[edges[:, 0]] | moved[edges[:, 1]])
+        return np.exp(total - _lse(total, axis=1)[:, None])[:n]
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -235,52 +404,42 @@ def all_spans(texts: list[str], field: Field) -> tuple[list, list]:
         belief = field.beliefs(g)
         label = belief.argmax(axis=1)
         label[belief.max(axis=1) < BELIEF] = 0
-        linked = {b for a, b in g.chain if label[a] == label[b]}
-        run = None
         for node in np.flatnonzero((label > 0) & (np.array(g.labels) == 0)):
-            doc, kind, (a, b) = g.owner[node], int(label[node]) - 1, g.spans[node]
-            if run and node in linked and run[4] == node - 1:
-                run[3], run[4] = b, node
-            else:
-                run = [doc, kind, a, b, node]
-                out[doc].append(run)
-        for i, spans in enumerate(out):
-            taken = sorted((a, b) for _, a, b in base[i])
-            added = [tuple(s[1:4]) for s in spans if isinstance(s, list)]
-            out[i] = base[i] + [s for s in added if not any(a < s[2] and b > s[1] for a, b in taken)]
+            i, (a, b) = g.owner[node], g.spans[node]
+            if not any(a < y and b > x for _, x, y in base[i]):
+                out[i].append((int(label[node]) - 1, a, b))
     return base, [sorted(s) for s in out]
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """The field, learned from the base spans of a hashed sample of documents."""
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, units: int = SAMPLE_UNITS) -> Field:
+    """The field, learned from a hashed sample of documents; equal units travel once, with their count."""
     text = F.col(text_col).cast("string")
     n = docs.count()
     share = int(min(1.0, sample / max(1, n)) * (1 << 30)) + 1
     spot = F.pmod(F.xxhash64(text), F.lit(1 << 30))
     # Equal texts teach nothing new: each distinct sampled text counts once.
-    rows = docs.select(text.alias("t")).filter(F.col("t").rlike("[0-9@]") & (spot < share)).distinct().limit(2 * sample)
+    rows = docs.select(text.alias("t")).filter(F.col("t").rlike(_COULD.pattern) & (spot < share)).distinct()
 
-    def graph(batches):
+    def learn(batches):
         for batch in batches:
+            found = defaultdict(int)
             for text in batch.column(0).to_pylist():
-                g = Graph()
-                g.add(0, text, base_spans(text))
-                pairs = lambda e: pa.array([[x for p in e for x in p]], pa.list_(pa.int32()))
+                for features, label, left, right, around in lessons(text):
+                    found[tuple(features), label, left, right, tuple(around)] += 1
+            if found:
+                columns = [*map(list, zip(*found)), list(found.values())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g.features], pa.list_(pa.list_(pa.int32()))), pa.array([g.labels], pa.list_(pa.int32())),
-                     pairs(g.chain), pairs(g.skip)], ["features", "labels", "chain", "skip"]
+                    [pa.array(c, t) for c, t in zip(columns, (ints, pa.int32(), pa.int32(), pa.int32(), ints, pa.int64()))],
+                    ["features", "label", "lft", "rgt", "hubs", "c"],
                 )
 
-    parts = rows.mapInArrow(graph, "features array<array<int>>, labels array<int>, chain array<int>, skip array<int>").toArrow()
-    whole = Graph()
-    for row in sorted(parts.to_pylist(), key=lambda r: (r["labels"], r["features"])):  # one order on every run
-        at = len(whole.features)
-        whole.features += row["features"]
-        whole.labels += row["labels"]
-        for name, edges in (("chain", whole.chain), ("skip", whole.skip)):
-            flat = row[name]
-            edges += [(at + a, at + b) for a, b in zip(flat[::2], flat[1::2])]
-    return Field().fit(whole)
+    ints = pa.list_(pa.int32())
+    key = ["features", "label", "lft", "rgt", "hubs"]
+    parts = rows.mapInArrow(learn, "features array<int>, label int, lft int, rgt int, hubs array<int>, c long")
+    # Units with a label or a hub first: they are few and teach the most.
+    rank = [F.when((F.col("label") > 0) | (F.size("hubs") > 0), 0).otherwise(1), F.xxhash64(*key), *key]
+    table = parts.groupBy(*key).agg(F.sum("c").alias("c")).orderBy(*rank).limit(units).toArrow()
+    return Field().fit([tuple(r[k] for k in (*key, "c")) for r in table.to_pylist()])
 
 
 def _find(shared):

@@ -443,18 +443,82 @@ def test_pii_field_spreads_labels(spark, docs, empty):
         base = [(s.kind, s.start, s.end) for s in r.base]
         assert base == [(pii.KINDS[k], a, b) for k, a, b in pattern_spans(rows[r.doc_id][1])]
         assert set(base) <= {(s.kind, s.start, s.end) for s in r.spans}
-    # A repeated word shares its belief with the other place.
-    g = pii.Graph()
-    g.add(0, "x a1@b.co y A1@b.co z", [(0, 2, 9)])
-    assert g.skip == [(0, 1)]
-    tuned = pii.Field()
-    tuned.pairs = [np.zeros((5, 5)), 6.0 * np.eye(5)]
-    assert tuned.beliefs(g)[1].argmax() == 1 and pii.Field().beliefs(g)[1].max() < 0.5
     assert pii.find(docs, field).count() == len(EDGE) and pii.find(empty, pii.fit(empty)).count() == 0
     masked = {r.doc_id: r for r in pii.mask(df, field).collect()}
     assert "<EMAIL>" in masked[3].text and "@" not in masked[3].text and masked[3].text.endswith("bill 4512.")
 
 
+def exact_beliefs(field, g):
+    """Marginals by summing over all labellings of units and hubs."""
+    import itertools
+
+    n = len(g.spans)
+    score = field.scores(g.features)
+    out = np.zeros((n, pii.LABELS))
+    for y in itertools.product(range(pii.LABELS), repeat=n + g.hubs):
+        e = sum(score[i, y[i]] if not g.labels[i] else pii.EVIDENCE * (1 if y[i] == g.labels[i] else -1) for i in range(n))
+        e += sum(field.pairs[0][y[a], y[b]] for a, b in g.chain) + sum(field.pairs[1][y[n + h], y[i]] for h, i in g.skip)
+        out[range(n), y[:n]] += np.exp(e - 40)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_pii_beliefs_match_exact_sums():
+    rng = np.random.default_rng(3)
+    field = pii.Field()
+    field.unary = rng.normal(size=field.unary.shape)
+    field.pairs = [rng.normal(size=(5, 5)), 2 * rng.normal(size=(5, 5))]
+    for text in ("x a1@b.co y A1@b.co z", "4111 1111 1111 1111 or 4111.1111.1111.1111 7", "77 88 99 word 5", "nothing"):
+        g = pii.Graph()
+        g.add(0, text, pii.base_spans(text))
+        if g.spans:  # no loops: message passing is exact
+            assert np.abs(field.beliefs(g) - exact_beliefs(field, g)).max() < 0.01, text
+    # A loop (two keys, two units): the most likely labels agree.
+    g = pii.Graph()
+    text = "+49 30 5550107 or 49/305550107"
+    g.add(0, text, pii.base_spans(text))
+    assert g.hubs == 2 and len(g.skip) == 4
+    assert (field.beliefs(g).argmax(axis=1) == exact_beliefs(field, g).argmax(axis=1)).all()
+
+
+def test_pii_field_finds_rewritten_repeats(spark):
+    rng = np.random.default_rng(11)
+
+    def card():
+        d = [int(x) for x in rng.integers(0, 10, 15)]
+        return next(s for s in ("".join(map(str, [*d, c])) for c in range(10)) if pii.luhn(s))
+
+    def text(repeat, others=True):
+        c, tail = card(), int(rng.integers(1_000_000, 9_999_999))
+        ip = ".".join(str(x) for x in rng.integers(11, 250, 4))
+        name = f"max{int(rng.integers(10, 99))}@mail.example.com"
+        parts = [f"paid with {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} on day {int(rng.integers(1, 29))}", f"call +49 30 {tail}",
+                 f"from {ip} at 10:45", f"write {name} now", "words " * int(rng.integers(5, 300))]
+        new = [f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}", f"030/{tail}", ip.replace(".", "-"), name.replace("@", "(at)")] if repeat else []
+        other = card()
+        decoys = ["1-2-3-4", "2024-05-06"]
+        if others:  # the same writing of other numbers
+            decoys += [f"{other[:4]}.{other[4:8]}.{other[8:12]}.{other[12:]}", f"030/{(tail + 1234567) % 9999999}"]
+        order = [*parts, *new, *decoys]
+        return " and then ".join(order[k] for k in rng.permutation(len(order))), new
+
+    train = spark.createDataFrame([(i, text(False, False)[0]) for i in range(300)], "doc_id long, text string")
+    field = pii.fit(train)
+    told = [text(i % 2 == 0) for i in range(300)]
+    base, spans = pii.all_spans([t for t, _ in told], field)
+    found = planted = wrong = 0
+    for (t, new), b, s in zip(told, base, spans):
+        assert set(b) <= set(s)
+        added = [t[x:y] for _, x, y in set(s) - set(b)]
+        found += sum(any(n == w for w in added) for n in new)
+        wrong += sum(w not in new for w in added)
+        planted += len(new)
+    assert found >= 0.9 * planted and wrong <= 0.01 * planted, (found, planted, wrong)
+    # Evidence reaches every repeat, however many there are.
+    t, new = told[0]
+    many = t + (" word word " + new[0]) * 40
+    assert sum(many[x:y] == new[0] for _, x, y in pii.all_spans([many], field)[1][0]) >= 41
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
