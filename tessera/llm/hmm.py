@@ -7,12 +7,15 @@ word and state:
 * counts of all words of all training texts: partial counts per batch, summed
   by a shuffle;
 * the head of the vocabulary, at most ``HEAD`` words found by a histogram of
-  counts, is broadcast with its emissions; all rarer words stay in Spark, and
-  each pass joins their emissions to the texts that hold them;
+  counts, is broadcast with its emissions; all rarer words stay in Spark;
 * each Baum-Welch round is one pass over all training texts, each as one whole
   sequence; expected counts are summed by word in a shuffle, and the driver
   sees the start, the transitions and the head only;
-* the scaled forward recursion scores every whole text exactly.
+* up to the last round a rarer word emits its corpus count alike in every state,
+  a factor that drops out of the state probabilities, so that no join is needed;
+  the last round gathers the expected counts of all words, rarer ones too;
+* the scaled forward recursion scores every whole text exactly, with the rarer
+  words' own emissions, which one join by word brings to the texts.
 
 With E_s(w) the expected count of a word in a state, p_s the share of tokens in
 the state, N tokens and V words in training (the end of a text is a word),
@@ -30,14 +33,12 @@ zero and the model is uniform.  Other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,18 +227,23 @@ class Weights:
         return (sums / self.share + SMOOTH) / self.mass
 
 
+def _unpack(n: int, packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec=PACKED), dtype="<u4")
+
+
 def _texts(batches, states):
-    """Row, ids, and places, table ids and expected counts of the tail, of every text."""
+    """Row, ids, and places and expected counts of the rarer words, of every text; the row is all columns but the last two."""
     for batch in batches:
-        lists = batch.column(3)
+        lists = batch.column(batch.num_columns - 1)
         ends = np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
         flat = lists.flatten()
-        places, names = (flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        sums = np.stack([flat.field(2 + k).to_numpy(zero_copy_only=False) for k in range(states)], axis=1)
-        for r, (row, n, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+        places = flat.field(0).to_numpy(zero_copy_only=False)
+        sums = np.stack([flat.field(1 + k).to_numpy(zero_copy_only=False) for k in range(states)], axis=1)
+        columns = [c.to_pylist() for c in batch.columns[:-2]]
+        sizes = batch.column("n_tokens").to_pylist()
+        for r, (n, packed) in enumerate(zip(sizes, batch.column("ids").to_pylist())):
             own = slice(int(ends[r - 1]) if r else 0, int(ends[r]))
-            ids = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec=PACKED), dtype="<u4")
-            yield row, ids, places[own], names[own], sums[own]
+            yield tuple(c[r] for c in columns), _unpack(n, packed), places[own], sums[own]
 
 
 def _groups(texts, tokens):
@@ -254,77 +260,77 @@ def _groups(texts, tokens):
 
 
 def _side_by_side(group, weights: Weights, head: np.ndarray):
-    """The model of a group (head, then the tails of its texts), its ids, and the tails' ids there and in the tables."""
+    """The model of a group (head, then the tails of its texts) and its ids."""
     first, shift, arrays, spots = len(head), 0, [], []
-    for _, ids, places, _, _ in group:
+    for _, ids, places, _ in group:
         arrays.append(np.where(ids >= first, ids + np.uint32(shift), ids))
         spots.append(places.astype(np.int64) + shift)
         shift += max(0, int(ids.max()) + 1 - first)
-    spots = np.concatenate(spots)
     sums = np.zeros((shift, head.shape[1]))
-    sums[spots] = np.concatenate([t[4] for t in group])
-    model = Model(weights.start, weights.moves, np.concatenate([head, weights.emits(sums).astype(head.dtype)]))
-    return model, arrays, first + spots, np.concatenate([t[3] for t in group])
+    sums[np.concatenate(spots)] = np.concatenate([t[3] for t in group])
+    return Model(weights.start, weights.moves, np.concatenate([head, weights.emits(sums).astype(head.dtype)])), arrays
 
 
-def _expect(shared):
-    """Expected counts of a partition by id; below 0: start, log likelihood, occupation, transitions."""
+def _expect(shared, rarer: bool = False):
+    """Expected counts of a partition by id; below 0: start, log likelihood, occupation, transitions.
 
-    def rows(ids, sums):  # float is what they were computed in; Spark sums them in double
+    Texts come as row, n_tokens, ids and the rarer words in the order of their ids; with ``rarer`` the expected
+    counts of those come out by word.
+    """
+
+    def rows(ids, words, sums):  # float is what they were computed in; Spark sums them in double
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), *(pa.array(sums[:, j].astype(np.float32)) for j in range(sums.shape[1]))],
-            ["id", *(f"s{j}" for j in range(sums.shape[1]))],
+            [pa.array(ids, pa.int64()), words, *(pa.array(sums[:, j].astype(np.float32)) for j in range(sums.shape[1]))],
+            ["id", "word", *(f"s{j}" for j in range(sums.shape[1]))],
         )
 
+    def texts(batches):
+        for batch in batches:
+            words = batch.column(3).to_pylist() if rarer else [None] * batch.num_rows
+            for n, packed, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), words):
+                yield own, _unpack(n, packed)
+
     def run(batches):
         weights: Weights = shared.value
-        k, head = len(weights.start), weights.emits(weights.head).astype(np.float32)
+        k, first = len(weights.start), len(weights.head)
+        head = weights.emits(weights.head).astype(np.float32)
+        alike = weights.emits(np.zeros((1, k))).astype(np.float32)
         total, fixed = np.zeros(head.shape), np.zeros((3 + k, k))
-        for group in _groups(_texts(batches, k), TRAIN_TOKENS):
-            model, arrays, spots, names = _side_by_side(group, weights, head)
+        for group in _groups(texts(batches), TRAIN_TOKENS):
+            emits, arrays = np.concatenate([head, alike]), [np.minimum(ids, np.uint32(first)) for _, ids in group]
+            if rarer:  # an id for each rarer word of the group
+                words = pa.array([w for own, _ in group for w in own or ()], pa.binary()).dictionary_encode()
+                codes, at = words.indices.to_numpy(zero_copy_only=False).astype(np.uint32) + np.uint32(first), 0
+                emits = np.concatenate([head, np.repeat(alike, len(words.dictionary), axis=0)])
+                for i, (own, ids) in enumerate(group):
+                    names = codes[at : at + len(own or ())]
+                    at += len(names)
+                    far = ids >= first
+                    arrays[i] = ids.copy()
+                    arrays[i][far] = names[ids[far] - first]
+            model = Model(weights.start, weights.moves, emits)
             start, pair, seen, loglik = model.expect(*_cut(arrays, None))
-            total += seen[: len(head)]
+            total += seen[:first]
             del group, arrays
             fixed[0] += start
             fixed[1, 0] += loglik
             fixed[2] += seen.sum(axis=0)
             fixed[3:] += pair
-            if len(spots):
-                yield rows(names, seen[spots])
+            if rarer and len(words.dictionary):
+                yield rows(np.full(len(seen) - first, first), words.dictionary, seen[first:])
         hit = np.flatnonzero(total.any(axis=1))
         ids = np.r_[-1 - np.arange(3 + k), hit]
-        yield rows(ids, np.concatenate([fixed, total[hit]]))
+        yield rows(ids, pa.nulls(len(ids), pa.binary()), np.concatenate([fixed, total[hit]]))
 
     return run
 
 
-def _with_tails(sequences: DataFrame, rare: DataFrame, tail: DataFrame, states: int, tasks: int) -> DataFrame:
-    """_row, n_tokens, ids and the expected counts of the text's rarer words that are in ``tail``."""
-    held = rare.join(tail, "id").repartition(tasks, "_row").groupBy("_row").agg(
-        F.collect_list(F.struct("place", "id", *(f"s{j}" for j in range(states)))).alias("tail")
-    )
-    return sequences.join(held, "_row", "left").select("_row", "n_tokens", "ids", "tail")
-
-
-def release(spark, tables=()) -> None:
-    """Delete written tables that no plan reads any more, and the shuffle files of plans that are gone.
-
-    By itself Spark deletes the latter when the driver's heap fills.
-    """
-    sc = spark.sparkContext
-    for name in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    sc._jvm.System.gc()
-
-
 def train(
-    sequences: DataFrame, rare: DataFrame, tail: DataFrame, head_counts: np.ndarray, n_all: int, n_words: int,
-    states: int = STATES, rounds: int = ROUNDS, tasks: int = 8,
+    texts: DataFrame, head_counts: np.ndarray, n_all: int, n_words: int, states: int = STATES, rounds: int = ROUNDS
 ) -> tuple[Weights, DataFrame, list[float]]:
-    """Baum-Welch over all training rows: weights, tail emissions, and each round's log likelihood before its update."""
-    spark, names, history = sequences.sparkSession, [f"s{j}" for j in range(states)], []
+    """Baum-Welch over all training texts (_row, n_tokens, ids, tail): weights, expected counts of the rarer words
+    by word, and each round's log likelihood before its update (up to a term that no round changes)."""
+    spark, names, history = texts.sparkSession, [f"s{j}" for j in range(states)], []
     # Corpus counts, for the head shaken differently (but always alike) for each state.
     shaken = np.exp(np.random.default_rng(20_240_501).normal(0.0, 1.0, (len(head_counts), states)))
     head = head_counts[:, None] * shaken / shaken.sum(axis=1, keepdims=True)
@@ -332,17 +338,13 @@ def train(
     moves /= moves.sum(axis=1, keepdims=True)
     occupied = head.sum(axis=0) + (n_all - head_counts.sum()) / states
     weights = Weights(np.full(states, 1.0 / states), moves, head, occupied, n_all, n_words)
-    old, tail = [], tail.select("id", *((F.col("c") / states).alias(n) for n in names))
-    schema = "id long, " + ", ".join(f"{n} float" for n in names)
-    for _ in range(rounds if n_all else 0):
+    schema = "id long, word binary, " + ", ".join(f"{n} float" for n in names)
+    tail = spark.createDataFrame([], "word binary, " + ", ".join(f"{n} double" for n in names))
+    for r in range(rounds if n_all else 0):
         shared = spark.sparkContext.broadcast(weights)
-        parts = _with_tails(sequences.filter("not held_out"), rare.filter("not held_out"), tail, states, tasks)
-        parts = parts.mapInArrow(_expect(shared), schema)
-        sums = written(parts.groupBy("id").agg(*(F.sum(n).alias(n) for n in names)))
+        parts = texts.mapInArrow(_expect(shared, rarer=r == rounds - 1), schema)
+        sums = written(parts.groupBy("id", "word").agg(*(F.sum(n).alias(n) for n in names)))
         shared.unpersist()
-        del parts
-        release(spark, old)
-        old = [sums]
         fixed = sums.filter(F.col("id") < len(head_counts)).toArrow()  # at most HEAD rows and the parameters
         ids = fixed.column("id").to_numpy()
         values = np.stack([fixed.column(n).to_numpy() for n in names], axis=1)
@@ -353,18 +355,22 @@ def train(
         history.append(float(small[1, 0]))
         start, pair = small[0] + 1e-3, small[3:] + 1e-3
         weights = Weights(start / start.sum(), pair / pair.sum(axis=1, keepdims=True), head, small[2], n_all, n_words)
-        tail = sums.filter(F.col("id") >= len(head_counts))
+        tail = sums.filter(F.col("id") >= len(head_counts)).select("word", *names)
     return weights, tail, history
 
 
 def _score(shared):
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "all_log"]
+
     def run(batches):
         weights: Weights = shared.value
         head = weights.emits(weights.head)
         for group in _groups(_texts(batches, len(weights.start)), SCORE_TOKENS):  # many texts side by side in one recursion
-            model, arrays, _, _ = _side_by_side(group, weights, head)
+            model, arrays = _side_by_side(group, weights, head)
             loglik = model.forward(*_cut(arrays, None)) / math.log(10.0)
-            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in group], pa.int64()), pa.array(loglik)], ["_row", "score"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*(t[0] for t in group)), kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(loglik)], [*names, "score"])
 
     return run
 
@@ -375,8 +381,7 @@ def score_documents(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = written(narrow.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-                     .withColumn("id", F.monotonically_increasing_id()))
+    counts = written(narrow.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     ends = narrow.select("doc_id").filter(fold != 0).count()
 
@@ -399,35 +404,32 @@ def score_documents(
 
     shared = spark.sparkContext.broadcast(vocab)
     encoded = written(narrow.mapInArrow(_encode(shared), _ENCODED).withColumn("_row", F.monotonically_increasing_id()))
-    # Dealt by row once; every pass brings the rarer words' emissions there.
-    side = spark.sparkContext.defaultParallelism
     n_tokens = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    tasks = side * max(1, -(-n_tokens // (side * TASK_TOKENS)))
-    sequences = encoded.select("_row", "held_out", "n_tokens", "ids").repartition(tasks, "_row")
-    sequences = sequences.sortWithinPartitions("_row").persist(StorageLevel.DISK_ONLY)
-    # Rare words: one row per text and word, with the word's count and id if training texts hold it.
-    first = len(vocab.counts)
-    rare = encoded.select("_row", "held_out", F.posexplode("tail").alias("place", "t")).select(
-        "_row", "held_out", "place", F.col("t.w").alias("word"), F.col("t.n").alias("n")
-    )
-    rarer = (counts if least is None else counts.filter(level < least)).withColumn("id", F.col("id") + first)
-    found = written(rare.join(rarer, "word", "left").drop("word"))
-    known = found.filter("id is not null").select("_row", "held_out", "place", "id")
-    weights, tail, _ = train(sequences, known, rarer, vocab.counts, n_all, n_words, states, rounds, tasks)
+    side = spark.sparkContext.defaultParallelism
+    # Each task of a round sends out the head once, so tasks are large; written files are dealt without a shuffle.
+    texts = encoded.filter("not held_out").select("_row", "n_tokens", "ids", F.col("tail.w").alias("tail"))
+    texts = texts.coalesce(side * max(1, -(-n_tokens // (side * TASK_TOKENS))))
+    weights, sums, _ = train(texts, vocab.counts, n_all, n_words, states, rounds)
     scorer = spark.sparkContext.broadcast(weights)
-    chain = written(_with_tails(sequences, known, tail, states, tasks).mapInArrow(_score(scorer), "_row long, score double"))
-    sequences.unpersist()
 
-    tails = found.withColumn("c", F.coalesce("c", F.lit(0))).groupBy("_row").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("_log"),
+    # Rarer words: one row per text and word, which meets the word's count and expected counts once.
+    names = [f"s{j}" for j in range(states)]
+    rare = encoded.select("_row", F.posexplode("tail").alias("place", "t")).select(
+        "_row", "place", F.col("t.w").alias("word"), F.col("t.n").alias("n")
+    )
+    rarer = (counts if least is None else counts.filter(level < least)).select("word", "c").join(sums, "word", "left")
+    seen = F.when(F.col("c") > 0, F.struct("place", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names)))
+    tails = rare.join(rarer, "word", "left").groupBy("_row").agg(
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("_log"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
+        F.collect_list(seen).alias("tail"),  # no nulls
     )
-    rest = encoded.drop("ids", "tail").join(tails, "_row", "left").join(chain, "_row")
-    all_log = F.col("all_log") + F.coalesce("_log", F.lit(0.0))
-    return rest.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (all_log - F.col("n_tokens") * math.log10(n_all + SMOOTH * (n_words + 1))).alias("base_score"),
+    scored = encoded.drop("tail").join(tails, "_row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        (F.col("all_log") + F.coalesce("_log", F.lit(0.0))).alias("all_log"), "ids", "tail",
+    ).mapInArrow(_score(scorer), "doc_id long, held_out boolean, n_tokens long, n_known long, all_log double, score double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("all_log") - F.col("n_tokens") * math.log10(n_all + SMOOTH * (n_words + 1))).alias("base_score"),
         "score",
     )
