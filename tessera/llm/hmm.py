@@ -36,6 +36,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ HEAD = 300_000
 #: Distinct words of a batch that are counted before partial counts go out.
 BATCH_WORDS = 300_000
 #: Tokens whose state probabilities a worker holds at a time.
-TRAIN_TOKENS = 500_000
+TRAIN_TOKENS = 800_000
 #: Tokens of a task in a pass, about: each task sends out the head's expected counts once.
 TASK_TOKENS = 32_000_000
 #: Tokens of the texts that are scored side by side.
@@ -111,7 +112,7 @@ def _encode(shared):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                     words = words_of(text)
                     ids = np.zeros(len(words) + 1, dtype="<u4")
-                    ids[:-1] = [vocab.ids.get(w, 0) for w in words]
+                    ids[:-1] = np.fromiter(map(vocab.ids.get, words, repeat(0)), dtype="<u4", count=len(words))
                     places, tail = {}, Counter()
                     for t in np.flatnonzero(ids[:-1] == 0).tolist():
                         w = words[t]
