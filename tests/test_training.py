@@ -81,3 +81,66 @@ def test_labelled_sample_keeps_the_shares(spark, data):
     share = lambda df: df.agg(F.avg("label")).first()[0]
     assert abs(took.count() - 200) <= 1 and share(took) == pytest.approx(share(train), abs=0.01)
     assert TR.labelled_sample(train, bound=10**6).count() == train.count()
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    """Train and test rows: two features of few values, two of many."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(2500):
+        x = [float(rng.randint(1, 12)), float(rng.randint(0, 4)), rng.random(), rng.gauss(0, 2)]
+        rows.append((k, *x, int(x[0] + 2 * x[1] + 5 * x[2] + rng.gauss(0, 3) > 12)))
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} double" for c in FEATURES) + ", Y int")
+    df = TR.materialize(TR.assemble(stratified_split(df, "id", "Y", 0.2, 42), FEATURES, "Y"))
+    return df.where(~F.col("is_test")), df.where(F.col("is_test"))
+
+
+def test_cells_learn_and_score_as_their_rows(spark, made):
+    """Boosting on counted cells gives the rounds that boosting on the rows gives."""
+    train, test = made
+    borders = TR.feature_borders(train)
+    learn, held = (TR.cells(TR.binned(df, borders), "label") for df in (train, test))
+    assert learn.agg(F.sum("weight")).first()[0] == train.count() and learn.count() < train.count()
+    by_rows, by_cells = TR.train_gbt(train, 4, max_depth=3), TR.train_gbt(learn, 4, max_depth=3, weight="weight")
+    assert by_cells.evaluateEachIteration(held) == pytest.approx(by_rows.evaluateEachIteration(test), abs=1e-9)
+    p = TR.predictions_at(by_cells, 4, held.dropDuplicates(["bins"]), "bins")
+    got = {r["eval_id"]: r["proba_class_1"] for r in TR.score_cells(TR.binned(test, borders), p).collect()}
+    want = {r["eval_id"]: r["proba_class_1"] for r in TR.predictions(by_rows, test).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    rows = held.withColumn("part", F.lit("test"))
+    plain = test.withColumn("part", F.lit("test"))
+    got = [tuple(r)[1:] for r in TR.iteration_metrics(by_cells, rows, weight="weight").orderBy("iteration").collect()]
+    want = [tuple(r)[1:] for r in TR.iteration_metrics(by_rows, plain).orderBy("iteration").collect()]
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_borders_of_many_rows(spark, made, monkeypatch):
+    """The rows that borders are found on are not those the split took away."""
+    monkeypatch.setattr(TR, "BORDER_ROWS", 500)
+    borders = TR.feature_borders(made[0])
+    assert len(borders) == len(FEATURES) and borders[1] == [0.5, 1.5, 2.5, 3.5]
+    assert [len(b) for b in borders[::2]] == [11, TR.MAX_BINS - 1] and all(b == sorted(b) for b in borders)
+
+
+def test_missing_features_fall_in_the_last_bin(spark):
+    rows = spark.createDataFrame([(k, float(k % 7), None if k % 5 == 0 else float(k), k % 2) for k in range(200)], "id int, a double, b double, Y int")
+    rows = TR.assemble(rows, ["a", "b"])
+    borders = TR.feature_borders(rows)
+    assert borders[0] == [k + 0.5 for k in range(6)] and len(borders[1]) == TR.MAX_BINS - 1
+    last = TR.binned(rows, borders).where("b is null").select(F.col("bins")[1].alias("n")).distinct().collect()
+    assert [r["n"] for r in last] == [TR.MAX_BINS - 1]
+
+
+def test_forest_is_scored_from_its_nodes(spark, made):
+    """The same shares as the model's own transform, without the model in the plan."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, test = made
+    model = TR.train_random_forest(TR.labelled_sample(train, bound=300), n_trees=15, max_depth=12)
+    p = TR.predictions(model, test)
+    assert "MapInPandas" in p._jdf.queryExecution().toString()
+    got = {r["eval_id"]: r["proba_class_1"] for r in p.collect()}
+    own = model.transform(test).select("id", vector_to_array("probability")[1].alias("p")).collect()
+    assert got == pytest.approx({r["id"]: r["p"] for r in own}, abs=1e-12)
