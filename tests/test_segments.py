@@ -100,3 +100,13 @@ def test_an_empty_question_holds_no_token(spark):
     s = toks("context: ", "c", "\nquestion:", " x", "a")
     df = spark.createDataFrame([(1, "", 4, s)], f"eval_id int, question string, prefix_length int, prompt_logprob {SEQ.simpleString()}")
     assert segment_steps(df).count() == 0 and segment_quarantine(df).count() == 1
+
+
+def test_no_row_carries_the_whole_step_array(spark):
+    """A long text costs its steps once: beside the generator only narrow columns stay."""
+    import re
+
+    df = spark.createDataFrame([(1, "q", 2, [])], f"eval_id int, question string, prefix_length int, prompt_logprob {SEQ.simpleString()}")
+    plan = segment_steps(df, clustered=True)._jdf.queryExecution().executedPlan().toString()
+    made, kept = re.search(r"Generate posexplode\((\w+#\d+)\), \[([^\]]*)\]", plan).groups()
+    assert made not in kept and "prompt_logprob" not in kept
