@@ -34,6 +34,7 @@ def _fitted(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
         if kind == "rf":
             found = TR.train_random_forest(TR.as_features(learn)), None, None
         else:
+            TR.check_features(test)
             learn = TR.cells(learn, "label")
             found = *TR.train_gbt_to_best(learn, test_cells, weight="weight"), learn
         _MODELS[key] = *found, test_cells, test
