@@ -144,3 +144,34 @@ def test_forest_is_scored_from_its_nodes(spark, made):
     got = {r["eval_id"]: r["proba_class_1"] for r in p.collect()}
     for r in test.select("id", "features").limit(60).collect():
         assert got[r["id"]] == pytest.approx(model.predictProbability(r["features"])[1], abs=1e-12)
+
+
+def test_cells_are_scored_by_several_tasks(spark, made):
+    """Few narrow cells are not left to one task, and come once each."""
+    train, test = made
+    counted = TR.cells(TR.binned(test, TR.feature_borders(train)), "label")
+    one = TR.distinct_cells(counted)
+    tasks = one.select(F.spark_partition_id().alias("p"), "bins").toPandas()
+    assert tasks["p"].nunique() > 1 and len(tasks) == counted.select("bins").distinct().count()
+
+
+def test_rounds_of_a_batch_are_those_of_a_row(spark, made):
+    """Rows walking the trees together get the margins that a row's own walk gives."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, test = made
+    model = TR.train_gbt(train, 4, max_depth=6)
+    x = test.select("id", vector_to_array("features").alias("_x"))
+    got = {r["id"]: r["margins"] for r in TR.with_margins(x, model).collect()}
+    last = {r["id"]: r["margins"] for r in TR.with_margins(x, model, 3, last=True).collect()}
+    want = {r["id"]: r["m"] for r in x.select("id", TR.running_margins(model, F.col("_x")).alias("m")).collect()}
+    assert got == want and last == {k: [m[2]] for k, m in want.items()}
+
+
+def test_given_buckets_count_as_cut_points(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randint(0, 400) / 400, rng.randint(0, 3), rng.randint(0, 3)) for k in range(3) for _ in range(300)]
+    g = spark.createDataFrame(rows, "k int, score double, pos bigint, neg bigint").groupBy("k", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    keep = ("k", "score", "pos", "neg", "below_pos", "below_neg", "P", "N")
+    got = grouped_prefix_table(g, ["k"], bucket=F.floor(F.col("score") * 7).cast("int")).select(*keep).collect()
+    assert sorted(got) == sorted(grouped_prefix_table(g, ["k"], 4).select(*keep).collect())
