@@ -26,13 +26,16 @@ from tessera.functions.hashing import hash_u
 from tessera.session import materialize
 
 BUCKETS = 4096
+# Strata of a table that is sent to every task: a join by few strata would
+# leave all rows of a stratum to one.
+BROADCAST_STRATA = 10_000
 
 
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Attach a per-stratum table (one row per stratum).
 
-    With strata it is an equi-join whose strategy AQE picks from the bytes it
-    measures at run time. Without strata, the single row is attached as scalar
+    With strata it is an equi-join; a caller marks a table of few strata with
+    :func:`_few`, else AQE picks the strategy from the bytes it measures. Without strata, the single row is attached as scalar
     subqueries, so no cross join appears in the plan.
     """
     if keys:
@@ -41,6 +44,11 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return big.withColumn("_one", one).select("*", "_one.*").drop("_one")
 
 
+def _few(small: DataFrame, n: int) -> DataFrame:
+    """The table of ``n`` strata, marked for broadcast if these are few."""
+    return F.broadcast(small) if n <= BROADCAST_STRATA else small
+
+
 def _cut(counts: DataFrame, keys: list[str], bucket: str, quota: DataFrame) -> DataFrame:
     """Per stratum: the bucket where the running count reaches the quota,
     and how many rows precede it. ``k = B`` (beyond every bucket) when the
@@ -104,7 +112,8 @@ def hashed_flag(
     cut1 = materialize(_cut(c1, keys, "_b1", quota).withColumnRenamed("k", "_k1")
                        .withColumnRenamed("before", "_before1"))
 
-    edge = _join_small(x, cut1.drop("quota"), keys).where(F.col("_b1") == F.col("_k1"))
+    n_strata = cut1.count() if keys else 1
+    edge = _join_small(x, _few(cut1.drop("quota"), n_strata), keys).where(F.col("_b1") == F.col("_k1"))
     quota2 = cut1.select(*keys, (F.col("quota") - F.col("_before1")).alias("quota"))
     c2 = edge.groupBy(*keys, "_b2").agg(F.count(F.lit(1)).alias("c"))
     cut2 = materialize(_cut(c2, keys, "_b2", quota2).withColumnRenamed("k", "_k2")
@@ -113,7 +122,7 @@ def hashed_flag(
     # Rows of the boundary sub-bucket (about N / B^2) are ranked; the last
     # winner's (draw, id) is the stratum's threshold.
     w = Window.partitionBy(*keys).orderBy("_u", id_col)
-    last = _join_small(edge, cut2, keys).where(F.col("_b2") == F.col("_k2"))
+    last = _join_small(edge, _few(cut2, n_strata), keys).where(F.col("_b2") == F.col("_k2"))
     thr = materialize(
         last.withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") <= F.col("_q2") - F.col("_before2"))
@@ -125,7 +134,7 @@ def hashed_flag(
         limits = materialize(limits.join(thr, keys, "left"))
     else:
         limits = limits.withColumn("_thr", thr.select("_thr").scalar())
-    y = _join_small(x, limits, keys)
+    y = _join_small(x, _few(limits, n_strata), keys)
     in_edge = F.struct(F.col("_u"), F.col(id_col).alias("_id")) <= F.col("_thr")
     taken = (F.col("_b1") < F.col("_k1")) | (
         (F.col("_b1") == F.col("_k1"))

@@ -33,7 +33,7 @@ def _fitted(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
         learn, test = TR.binned(learn, borders), TR.materialize(TR.binned(test, borders))
         test_cells = TR.cells(test, "label")
         if kind == "rf":
-            found = TR.train_random_forest(TR.as_features(learn)), None, None
+            found = TR.train_random_forest(TR.forest_rows(TR.as_features(learn))), None, None
         else:
             TR.check_features(test)
             learn = TR.cells(learn, "label")

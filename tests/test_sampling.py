@@ -20,3 +20,13 @@ def test_stratified_quotas(spark):
     n0 = 5003 - n1
     assert counts[(1, True)] == int(n1 * 0.2 + 0.5)
     assert counts[(0, True)] == int(n0 * 0.2 + 0.5)
+
+
+def test_rows_of_a_label_stay_with_many_tasks(spark):
+    """Attaching the labels' cut points does not deal the rows out by label."""
+    from tessera.session import materialize
+
+    df = materialize(spark.range(0, 20000, 1, 8).select(F.col("id"), (F.col("id") % 4 == 0).cast("int").alias("y")))
+    s = stratified_split(df, "id", "y", 0.2).withColumn("task", F.spark_partition_id())
+    tasks = s.groupBy("y").agg(F.countDistinct("task").alias("n"), F.max("is_test").alias("t")).collect()
+    assert sorted(r["y"] for r in tasks) == [0, 1] and all(r["n"] == 8 and r["t"] for r in tasks)

@@ -175,3 +175,29 @@ def test_given_buckets_count_as_cut_points(spark):
     keep = ("k", "score", "pos", "neg", "below_pos", "below_neg", "P", "N")
     got = grouped_prefix_table(g, ["k"], bucket=F.floor(F.col("score") * 7).cast("int")).select(*keep).collect()
     assert sorted(got) == sorted(grouped_prefix_table(g, ["k"], 4).select(*keep).collect())
+
+
+def test_forest_does_not_depend_on_the_layout(spark, made):
+    """The same rows in other partitions and another order give the same trees."""
+    rows = made[0].where("id % 6 = 0")
+    found = []
+    for df in (rows.coalesce(1), rows.repartition(7, "l_tax").sortWithinPartitions(F.desc("id"))):
+        dealt = TR.forest_rows(TR.materialize(df))
+        assert dealt.rdd.getNumPartitions() == TR.FOREST_TASKS
+        found.append(TR.train_random_forest(dealt, n_trees=5, max_depth=6).toDebugString.split("\n", 1)[1])
+    assert found[0] == found[1]
+
+
+def test_collected_trees_are_the_node_arrays(spark, made):
+    import numpy as np
+
+    model = TR.train_gbt(made[0], 3, max_depth=4)
+    for rounds in (None, 2):
+        got = TR._collected_trees(model, rounds)
+        want = TR.node_arrays(model).orderBy("tree").collect()[:rounds]
+        assert [t[0] for t in got] == [r["w"] for r in want]
+        for (_, feature, threshold, children, value, share), r in zip(got, want, strict=True):
+            inner = np.array(r["left"]) >= 0
+            assert (feature[inner] == np.array(r["feature"])[inner]).all() and (threshold[inner] == np.array(r["threshold"], float)[inner]).all()
+            assert (children[::2][inner] == np.array(r["right"])[inner]).all() and (children[1::2][inner] == np.array(r["left"])[inner]).all()
+            assert (children[::2][~inner] == np.flatnonzero(~inner)).all() and list(value) == r["value"] and share.shape[1] == len(inner)
