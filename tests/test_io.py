@@ -194,3 +194,25 @@ def test_training_and_prediction_files(spark, tmp_path):
     pred = spark.createDataFrame([(1, 0.25, 0.75, 1)], "eval_id long, proba_class_0 double, proba_class_1 double, y_true int")
     io.write_predictions(pred, str(tmp_path / "pred"))
     assert io.read_predictions(spark, str(tmp_path / "pred")).collect() == pred.collect()
+
+
+def test_step_files_have_short_row_groups(spark, tmp_path):
+    """Spark reads thousands of rows at a time but never past a row group, so these must end by bytes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    steps = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.array(F.struct(
+        F.lit(" t").alias("decoded_token"), (-F.abs(F.xxhash64("id", i)) / 1e18).alias("logprob"), F.lit(1).alias("rank"))))
+    rows = spark.range(500).coalesce(1).select(
+        F.col("id").alias("eval_id"), F.lit("p").alias("passage_id"), F.lit(1).alias("label"), F.lit("q").alias("question"),
+        F.lit("a").alias("answer"), steps.alias("prompt_logprob"), F.lit(3).alias("prefix_length"), F.lit(True).alias("ok"), F.lit(None).alias("error"))
+    parted = rows.select("eval_id", *(F.col("prompt_logprob").alias(s) for s in io.SEGMENTS))
+    for write, df in ((io.write_logprobs, rows), (io.write_parted, parted)):
+        path = str(tmp_path / write.__name__)
+        write(df, path)
+        (name,) = glob.glob(f"{path}/*.parquet")
+        meta = pq.read_metadata(name)
+        groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+        assert len(groups) > 1 and sum(g.num_rows for g in groups) == 500
+        assert max(sum(g.column(c).total_uncompressed_size for c in range(g.num_columns)) for g in groups) < 64 << 20
