@@ -28,15 +28,13 @@ def _fitted(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
         train, test = _split(spark, sf_dir)
-        learn = TR.labelled_sample(train) if kind == "rf" else train
-        borders = TR.feature_borders(learn)
-        learn, test = TR.binned(learn, borders), TR.materialize(TR.binned(test, borders))
+        borders = TR.feature_borders(train, rows=None) if kind == "rf" else TR.feature_borders(train)
+        learn, test = TR.cells(TR.binned(train, borders), "label"), TR.materialize(TR.binned(test, borders))
         test_cells = TR.cells(test, "label")
         if kind == "rf":
-            found = TR.train_random_forest(TR.forest_rows(TR.as_features(learn))), None, None
+            found = TR.train_random_forest(learn, weight="weight"), None, None
         else:
             TR.check_features(test)
-            learn = TR.cells(learn, "label")
             found = *TR.train_gbt_to_best(learn, test_cells, weight="weight"), learn
         _MODELS[key] = *found, test_cells, test
     return _MODELS[key]

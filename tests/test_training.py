@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,106 @@ def test_collected_trees_are_the_node_arrays(spark, made):
             assert (feature[inner] == np.array(r["feature"])[inner]).all() and (threshold[inner] == np.array(r["threshold"], float)[inner]).all()
             assert (children[::2][inner] == np.array(r["right"])[inner]).all() and (children[1::2][inner] == np.array(r["left"])[inner]).all()
             assert (children[::2][~inner] == np.flatnonzero(~inner)).all() and list(value) == r["value"] and share.shape[1] == len(inner)
+
+
+def test_forests_learn_from_every_row(spark, monkeypatch):
+    """The cells that the forest's learner gets stand for all training rows."""
+    from tessera.plans import training as P
+
+    class Seen(Exception):
+        pass
+
+    def stop(learn, *_args, weight=None, **_kw):
+        raise Seen(learn.agg(F.sum(weight) if weight else F.count("*")).first()[0])
+
+    monkeypatch.setattr(TR, "train_random_forest", stop)
+    monkeypatch.setattr(P, "_MODELS", {})
+    train, _ = P._split(spark, SF_SMALL)
+    n = train.count()
+    assert n > 4000
+    with pytest.raises(Seen) as seen:
+        P.QUERIES["rf_predictions"](spark, SF_SMALL)
+    assert seen.value.args == (n,)
+
+
+def _fold(values, most=32):
+    """Spark's rule for the split candidates of a feature, one value after the other."""
+    counts = sorted({v: values.count(v) for v in values}.items())
+    if len(counts) <= min(most, len(values)):
+        return [(a + b) / 2 for (a, _), (b, _) in zip(counts, counts[1:])]
+    stride = len(values) / min(most, len(values))
+    cuts, upto, target = [], counts[0][1], stride
+    for (last, _), (v, c) in zip(counts, counts[1:]):
+        if abs(upto - target) < abs(upto + c - target):
+            cuts.append((last + v) / 2)
+            target += stride
+        upto += c
+    return cuts
+
+
+def test_borders_on_all_rows_follow_the_fold(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, rng.gauss(0, 1), float(min(99, int(rng.expovariate(0.05)))), float(rng.choice([0, 0, 0, 7, rng.randint(0, 60)])), float(k % 5)) for k in range(1500)]
+    df = TR.assemble(spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double").withColumn("Y", F.lit(1)), list("abcd"))
+    want = [_fold([r[k] for r in rows]) for k in range(1, 5)]
+    assert TR.feature_borders(df) == want
+    monkeypatch.setattr(TR, "BORDER_ROWS", 200)
+    assert TR.feature_borders(df, rows=None) == want and TR.feature_borders(df) != want
+
+
+@pytest.fixture(scope="module")
+def counted(made):
+    train, test = made
+    borders = TR.feature_borders(train, rows=None)
+    return [TR.cells(TR.binned(df, borders), "label") for df in (train, test)]
+
+
+def test_a_tree_of_cells_is_the_tree_of_their_rows(spark, made, counted):
+    """Without draws, a tree grown from counted cells gives every cell the shares of Spark's tree on the rows."""
+    import numpy as np
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    rows = TR.as_features(TR.binned(made[0], TR.feature_borders(made[0], rows=None)))
+    spark_tree = DecisionTreeClassifier(maxDepth=12).fit(rows)
+    cells = {}
+    for r in counted[0].collect():
+        cells.setdefault(tuple(r["bins"]), [0, 0])[int(r["label"])] = int(r["weight"])
+    x, w = np.array(list(cells)), np.array(list(cells.values()))
+    grow, importance, pack = TR._tree_grower()
+    feature, cut, count = grow(x.astype(np.uint8), w, [32] * 4, 4, 12, np.random.default_rng(0))
+    assert (feature >= 0).sum() > 100 and abs(len(feature) - spark_tree.numNodes) <= 0.02 * len(feature)
+    tree = TR._tree_reader()(pack(feature, cut, count), [np.arange(31) + 0.5] * 4)
+    leaf = TR._leaf_finder()(x.astype(float).ravel(), 4, tree)
+    got = tree[-1][1][leaf]
+    want = np.array([spark_tree.predictProbability(v)[1] for v in map(_dense, x)])
+    assert np.mean(np.abs(got - want) < 1e-12) > 0.98  # two splits may gain the same
+    assert importance(feature, count, 4) == pytest.approx(spark_tree.featureImportances.toArray(), abs=0.01)
+
+
+def _dense(v):
+    from pyspark.ml.linalg import Vectors
+
+    return Vectors.dense([float(e) for e in v])
+
+
+def test_a_forest_of_cells_predicts_as_sparks(spark, made, counted):
+    """Trees on counted cells see as many rows as Spark's and give nearly its shares, the same however the cells lie."""
+    import numpy as np
+
+    learn, held = counted
+    model = TR.train_random_forest(learn, n_trees=120, weight="weight")
+    assert model.getNumTrees == 120 and model.numFeatures == 4 and model.numClasses == 2
+    roots = [np.frombuffer(zlib.decompress(r["nodes"]), np.int64, offset=2 * (len(zlib.decompress(r["nodes"])) // 18)).reshape(2, -1)[:, 0].sum() for r in model.trees.collect()]
+    assert np.mean(roots) == pytest.approx(made[0].count(), rel=0.02) and len(set(roots)) > 50
+    one = TR.distinct_cells(held)
+    got = {tuple(r["eval_id"]): r["proba_class_1"] for r in TR.predictions(model, one, "bins").collect()}
+    rows = TR.as_features(TR.binned(made[0], TR.feature_borders(made[0], rows=None)))
+    theirs = TR.train_random_forest(TR.forest_rows(rows), n_trees=120)
+    want = {tuple(r["eval_id"]): r["proba_class_1"] for r in TR.predictions(theirs, one, "bins").collect()}
+    assert got.keys() == want.keys()
+    a, b = (np.array([d[k] for k in want]) for d in (got, want))
+    assert abs(a.mean() - b.mean()) < 0.01 and np.abs(a - b).mean() < 0.03 and np.corrcoef(a, b)[0, 1] > 0.98
+    assert model.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=0.02)
+    again = TR.train_random_forest(learn.repartition(5).sortWithinPartitions(F.desc("weight")), n_trees=3, weight="weight")
+    first = TR.train_random_forest(learn, n_trees=3, weight="weight")
+    assert sorted(map(tuple, again.trees.select("tree", "nodes").collect())) == sorted(map(tuple, first.trees.select("tree", "nodes").collect()))
