@@ -110,3 +110,35 @@ def test_no_row_carries_the_whole_step_array(spark):
     plan = segment_steps(df, clustered=True)._jdf.queryExecution().executedPlan().toString()
     made, kept = re.search(r"Generate posexplode\((\w+#\d+)\), \[([^\]]*)\]", plan).groups()
     assert made not in kept and "prompt_logprob" not in kept
+
+
+def test_prompts_are_mapped_without_sort_or_window(spark, frame):
+    """A long prompt is mapped in its row: its steps are neither sorted nor kept in a window."""
+    for top in (None, "prompt_logprob"):
+        plan = segment_steps(frame, top_steps=top)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan and plan.count("Generate ") == 1
+
+
+def test_rows_of_one_key_are_one_prompt(spark):
+    """As before, rows that share a key have their characters counted over the steps of all of them."""
+    s = toks("in ", "context: ", "aa", "bb", "\nquestion: ", "cc", "dd", "<end>") + toks("x", "y")
+    rows = [(1, "ccdd", 8, s), (None, "ccdd", 8, s), (1, "ccdd", 8, s), (2, "ccdd", 8, s), (None, "ccdd", 8, s), (1, "ccdd", 8, s)]
+    df = spark.createDataFrame(rows, f"eval_id int, question string, prefix_length int, prompt_logprob {SEQ.simpleString()}")
+    got = {}
+    for r in segment_steps(df).collect():
+        got.setdefault(r["eval_id"], []).append((r["pos"], r["segment"]))
+    text = "".join(x[0]["decoded_token"] for x in s[:8])
+    cs, qp = text.find("context: ") + 9, text.find("question: ")
+    marks = [("context", cs, qp), ("question", qp + 10, qp + 14)]
+    for key, copies in ((1, 3), (2, 1), (None, 2)):
+        want, at, first = [], 0, None
+        for pos in range(10):
+            for _ in range(copies):
+                n = len(s[pos][0]["decoded_token"]) if pos < 8 else 0
+                name = next((m for m, lo, hi in marks if pos < 8 and at < hi and at + n > lo), "answer" if pos >= 8 else None)
+                at += n
+                if name in ("context", "question") and first is None:
+                    first = pos
+                want.append((pos, name))
+        want = [(p, "instruct" if p < first else m) for p, m in want if p < first or m]
+        assert sorted(got[key]) == sorted(want), key
