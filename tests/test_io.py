@@ -216,3 +216,17 @@ def test_step_files_have_short_row_groups(spark, tmp_path):
         groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
         assert len(groups) > 1 and sum(g.num_rows for g in groups) == 500
         assert max(sum(g.column(c).total_uncompressed_size for c in range(g.num_columns)) for g in groups) < 64 << 20
+
+
+def test_decoded_steps_are_not_written_again(spark, monkeypatch):
+    """The mapping reads each prompt's JSON once: no checkpoint holds the decoded steps of all prompts."""
+    from conftest import SF_SMALL
+    from tessera.plans import files
+
+    def stop(_df):
+        raise AssertionError("decoded steps are checkpointed")
+
+    monkeypatch.setattr(files, "materialize", stop)
+    out = files.QUERIES["optional_top_logprob"](spark, SF_SMALL)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and "Window" not in plan
