@@ -46,3 +46,25 @@ def test_word_properties(spark):
         assert all(w[0] in " Ġ\n\t" for w, _ in words[1:])
         if words and len(words) == 1:
             assert words[0][1] == pytest.approx((len(toks) - 1) / 2)
+
+
+def test_several_metrics_in_one_pass(spark):
+    """The units of every metric as by name, from steps that the plan makes and explodes once."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL, step
+    from tessera.functions.steps import STEP
+    from tessera.operators.by_name import apply_metric, apply_metrics
+    from tessera.plans.evaluators import NAMED
+
+    toks = [" a", "b", " ", "", "\n", "c ", "d", " e", "", " "]
+    rows = [(k, s, p, step(-0.1 * (p + k + 1), -1.0, -2.5, tok=t)) for k in (1, 2) for s in ("context", "answer") for p, t in enumerate(toks[k:])]
+    rows += [(3, "answer", 0, step(-0.5, tok="")), (None, "answer", 4, step(-0.5, -0.7, tok="x"))]
+    seg = spark.createDataFrame(rows, f"eval_id int, segment string, pos int, step {STEP.simpleString()}")
+    cols = ["metric", "eval_id", "segment", "idx", "text_unit"]
+    got = {tuple(r[c] for c in cols): r["value"] for r in apply_metrics(seg, NAMED).collect()}
+    want = {(n, *(r[c] for c in cols[1:])): r["value"] for n in NAMED for r in apply_metric(seg, n).collect()}
+    assert got.keys() == want.keys() and len(want) > 3 * len(rows)
+    for k, v in want.items():
+        assert abs(got[k] - v) < 1e-12, k
+    plan = E.queries()["scores_by_metric"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
